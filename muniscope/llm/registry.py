@@ -1,11 +1,12 @@
 """Queries of the corpus operators and the SQL for those that SQL can express."""
 
-from . import chat, exact_dedup, sentencepiece_codec
+from . import chat, decontam, exact_dedup, sentencepiece_codec
 
 
 def queries() -> dict:
     return {
         "op5_chat": chat.op5_chat,
+        "op6_decontaminate": decontam.op6_decontaminate,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
     }
@@ -14,5 +15,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op5_chat": chat.OP5_SQL,
+        "op6_decontaminate": decontam.OP6_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
     }
