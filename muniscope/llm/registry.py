@@ -1,10 +1,11 @@
 """Queries of the corpus operators and the SQL for those that SQL can express."""
 
-from . import chat, decontam, exact_dedup, sentencepiece_codec
+from . import chat, decontam, exact_dedup, jaccard_join, sentencepiece_codec
 
 
 def queries() -> dict:
     return {
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op5_chat": chat.op5_chat,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
@@ -14,6 +15,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op3_jaccard_join": jaccard_join.OP3_SQL,
         "op5_chat": chat.OP5_SQL,
         "op6_decontaminate": decontam.OP6_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
