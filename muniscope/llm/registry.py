@@ -1,10 +1,11 @@
 """Queries of the corpus operators and the SQL for those that SQL can express."""
 
-from . import chat, decontam, exact_dedup, jaccard_join, sentencepiece_codec
+from . import chat, decontam, exact_dedup, jaccard_join, sentencepiece_codec, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op5_chat": chat.op5_chat,
         "op6_decontaminate": decontam.op6_decontaminate,
