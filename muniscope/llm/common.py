@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Rows in an Arrow batch; with whole texts in a row this bounds a Python worker's memory.
 ARROW_ROWS = 512
 ARROW_BYTES = 16 << 20
@@ -24,6 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bound_arrow(spark: SparkSession) -> None:
     """Keep Arrow batches small in rows and bytes, so that long texts cannot fill a worker."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 

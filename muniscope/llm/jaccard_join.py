@@ -3,12 +3,15 @@
 1.  Every text becomes the set of its distinct word shingles (64-bit hashes). Rows with
     equal sets are one node, named by its least doc_id, so copies never meet as pairs.
 2.  Blocking without loss. Two sets whose similarity reaches the threshold differ in at most
-    k shingles, k following from their sizes. A set is cut by hash into k + 1 parts; then at
-    least one part of such a pair is equal, so each set posts the sums of its parts, tagged
-    by a size class (and the next one if a partner may be there). Parts mix shingles from the
-    whole text: a passage shared by many texts does not make their parts equal.
-3.  Posts that meet give star edges to the least document; their components are the blocks.
-    No link leaves a block.
+    k shingles, k following from their sizes. A set is cut by hash into k + 1 + spare parts; then
+    more than ``spare`` parts of such a pair are equal, so each set posts the sums of its parts,
+    tagged by a size class (and the next one if a partner may be there). Parts mix shingles from
+    the whole text: a passage shared by many texts makes few of their parts equal, and documents
+    with fewer meeting posts than a link needs drop out.
+3.  Star edges to the least node of a post, where two nodes share as many as a link needs,
+    give the first blocks. Once these are joined, only posts count where different
+    components meet, and nodes that still have enough of those: they give the last blocks.
+    No link is outside both.
 4.  In a block, a signature tree: sets ordered by size and least hash, nodes holding the OR of their
     members' token bitmaps and their size range. A dual traversal of the tree against
     itself drops node pairs whose sizes are incompatible, whose largest possible overlap is
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -91,6 +94,9 @@ class Similarity:
 
     def __init__(self, numerator: int, denominator: int):
         self.p, self.q = numerator, denominator
+        #: Parts of fewer shingles are weak; parts hold (q + p) / 2(q - p) of them if all goes well.
+        strict = (self.q + self.p) >= 16 * (self.q - self.p)
+        self.tiny, self.spare = (3, 8) if strict else (1, 4)
         self.bounds = [1]  # size classes [bounds[t], bounds[t+1]), wider than any pair's size ratio
         ratio = max(1.5, 1.05 * denominator / numerator)
         while self.bounds[-1] < 1 << 40:
@@ -99,24 +105,37 @@ class Similarity:
     def linked(self, common: int, a: int, b: int) -> bool:
         return self.q * common >= self.p * (a + b - common)
 
-    def tags(self, n: int) -> list[tuple[int, int]]:
-        """(size class, number of parts) under which a set of n shingles posts."""
+    def tags(self, n: int) -> list[tuple[int, int, int]]:
+        """(size class, number of parts, spare parts) under which a set of n shingles posts."""
         t = bisect.bisect_right(self.bounds, n) - 1
         found = [t]
         if self.q * n >= self.p * self.bounds[t + 1]:
             found.append(t + 1)
-        return [(k, 2 * (self.bounds[k + 1] - 1) * (self.q - self.p) // (self.q + self.p) + 1) for k in found]
+        out = []
+        for k in found:
+            differ = 2 * (self.bounds[k + 1] - 1) * (self.q - self.p) // (self.q + self.p)
+            spare = differ // self.spare + 3 if differ > 8 else 0
+            out.append((k, differ + 1 + spare, spare))
+        return out
+
+    def posts(self, s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(size class, need, posts): a linked pair has at least ``need`` of a set's posts in common.
 
-    def posts(self, s: np.ndarray) -> list[np.ndarray]:
+        Of the parts of a linked pair, spare + 1 at least are equal. Parts too small to tell texts
+        apart are not posted, and lower the need by their number, unless nothing would be left."""
         out = []
-        for tag, parts in self.tags(s.size):
-            part = ((s * _ODD[1]) >> _U(33)) % _U(parts)
+        for tag, parts, spare in self.tags(s.size):
+            part = (((s * _ODD[1]) >> _U(33)) % _U(parts)).astype(np.int64)
+            count = np.bincount(part, minlength=parts)
             order = np.argsort(part, kind="stable")
-            sorted_part = part[order]
-            begins = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1]]))
+            begins = np.cumsum(count) - count
+            full = count > 0
             sums = np.zeros(parts, dtype=np.uint64)
-            sums[sorted_part[begins].astype(np.int64)] = np.add.reduceat(mix(s[order] ^ _ODD[2]), begins)
-            out.append(mix(sums + mix(np.arange(parts, dtype=np.uint64) + (_U(tag) << _U(40)) + _U(1))))
+            sums[full] = np.add.reduceat(mix(s[order] ^ _ODD[2]), begins[full])
+            post = mix(sums + mix(np.arange(parts, dtype=np.uint64) + (_U(tag) << _U(40)) + _U(1)))
+            weak = count < self.tiny
+            few = int(weak.sum())
+            out.append((tag, spare + 1, post) if few > spare else (tag, spare + 1 - few, post[~weak]))
         return out
 
 
@@ -220,7 +239,7 @@ def link_group(sets: list[np.ndarray], labels: np.ndarray, sim: Similarity) -> l
 
 
 SET_SCHEMA = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_shingles", "set_hi", "set_lo")])
-POST_SCHEMA = pa.schema([("doc_id", pa.int64()), ("post", pa.int64())])
+POST_SCHEMA = pa.schema([("doc_id", pa.int64()), ("post", pa.int64()), ("tag", pa.int32()), ("need", pa.int32())])
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -239,19 +258,63 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def posted(docs: DataFrame, size: int, sim: Similarity) -> DataFrame:
-    """(doc_id, post), as many rows per document as its set has parts."""
+    """(doc_id, post, tag, need), as many rows per document as its set posts parts."""
 
     def rows(batch):
-        keys, posts = [], []
+        keys, posts, tags, needs = [], [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             s = shingles(text, size)
-            for mine in sim.posts(s) if s.size and key is not None else ():
+            for tag, need, mine in sim.posts(s) if s.size and key is not None else ():
                 keys.append(np.full(mine.size, key, dtype=np.int64))
                 posts.append(mine.view(np.int64))
-        none = [np.zeros(0, dtype=np.int64)]
-        return record_batch(POST_SCHEMA, np.concatenate(keys or none), np.concatenate(posts or none))
+                tags.append(np.full(mine.size, tag, dtype=np.int32))
+                needs.append(np.full(mine.size, need, dtype=np.int32))
+        if keys:
+            yield record_batch(POST_SCHEMA, *(np.concatenate(c) for c in (keys, posts, tags, needs)))
+
+    return map_rows(docs.select("doc_id", utf8().alias("_b")), rows, "doc_id long, post long, tag int, need int")
+
 
-    return map_rows(docs.select("doc_id", utf8().alias("_b")), rows, "doc_id long, post long")
+def _over_post(column: Column) -> Column:
+    return column.over(Window.partitionBy("post"))
+
+
+def _enough(met: DataFrame) -> DataFrame:
+    """Without the nodes that meet fewer times than a link needs."""
+    return met.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("node", "tag"))).where("_n >= need").drop("_n")
+
+
+def meeting_posts(posts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, post, tag, need): posts that meet another node's, of nodes with enough of them.
+
+    A document has a post for every part of its set, so a group of copies, however large,
+    spreads over as many keys; within a key the window passes over sorted rows and spills."""
+
+    def shared(met: DataFrame) -> DataFrame:
+        return met.withColumn("_n", _over_post(F.count(F.lit(1)))).where("_n > 1").drop("_n")
+
+    once = shared(posts).join(nodes.select("node").distinct(), F.col("doc_id") == F.col("node"))
+    once = materialise(_enough(once.select("node", "post", "tag", "need")), "jaccard-met")
+    return materialise(_enough(shared(once)), "jaccard-met")
+
+
+def strong_stars(met: DataFrame) -> DataFrame:
+    """Edges from a node to the least node of its posts, where these are as many as a link needs."""
+    met = met.withColumn("head", _over_post(F.min("node"))).where("node <> head")
+    often = met.groupBy("node", "head", "tag").agg(F.count(F.lit(1)).alias("_n"), F.min("need").alias("need"))
+    return often.where("_n >= need").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+
+
+def unsettled_stars(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges over posts where different components still meet often enough for a link."""
+    met = met.join(roots.select("node", F.col("root").alias("_root")), "node", "left")
+    met = met.withColumn("label", F.coalesce("_root", "node")).drop("_root")
+    for k in range(2):
+        mixed = _over_post(F.min("label")) != _over_post(F.max("label"))
+        met = _enough(met.withColumn("_m", mixed).where("_m").drop("_m"))
+        met = materialise(met, f"jaccard-unsettled-{k}")
+    met = met.withColumn("head", _over_post(F.min("node"))).where("node <> head")
+    return met.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
 
 
 def _link_sorted(rows: DataFrame, sim: Similarity) -> DataFrame:
@@ -308,51 +371,68 @@ def jaccard_components(
     groups = materialise(
         sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node")), "jaccard-groups"
     )
-    heads = groups.select("node", "n_shingles")
-    blocks = candidate_blocks(posted(base, size, sim), "jaccard").join(heads, "node")
-    blocks = materialise(blocks.select("node", "block", "n_shingles"), "jaccard-found")
-    several = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("block")
-    blocks = materialise(blocks.join(several, "block").select("node", "block", "n_shingles"), "jaccard-blocks")
+    nodes = groups.select("node", "n_shingles")
+    met = meeting_posts(posted(base, size, sim), nodes)
+
+    def joined(stars: DataFrame, known: DataFrame | None) -> DataFrame:
+        blocks = components(stars, "jaccard-blocks").select("node", F.col("root").alias("block")).join(nodes, "node")
+        return link_blocks(base, materialise(blocks, "jaccard-blocks"), known, size, sim, chunk)
+
+    links = joined(strong_stars(met), None)
+    roots = components(links, "jaccard-roots")
+    rest = materialise(unsettled_stars(met, roots), "jaccard-rest")
+    if rest.limit(1).count():
+        links = links.unionByName(joined(rest, roots))
+        roots = components(links, "jaccard-roots")
+    roots = roots.withColumnRenamed("root", "component_id")
+    named = groups.join(roots, "node", "left").select(*key, F.coalesce("component_id", "node").alias("component_id"))
+    return sets.join(named, key, "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    )
 
-    # Where a block is too large for one task: chunks by size class and hash.
-    band = F.floor(F.log("n_shingles") / F.lit(math.log(denominator / numerator))).cast("int")
-    whole = blocks.groupBy("block").agg(F.sum("n_shingles").alias("_all"))
-    large = materialise(whole.where(F.col("_all") > chunk).select("block"), "jaccard-large")
-    some_large = large.limit(1).count() > 0
-    if some_large:
-        sized = blocks.withColumn("band", band).join(large.withColumn("big", F.lit(True)), "block", "left")
-        totals = sized.where("big").groupBy("block", "band").agg(
-            F.ceil(F.sum("n_shingles") / F.lit(chunk)).cast("long").alias("cuts")
-        )
-        placed = sized.join(totals, ["block", "band"], "left").select(
-            "node", "block", "n_shingles", "band", "big",
-            F.when(F.col("big"), F.concat_ws(":", "band", F.pmod(F.xxhash64("node"), "cuts"))).otherwise("").alias("chunk"),
-        )
-        placed = materialise(placed, "jaccard-chunks")
-    else:
-        placed = blocks.withColumn("chunk", F.lit(""))
+
+def link_blocks(
+    base: DataFrame, blocks: DataFrame, known: DataFrame | None, size: int, sim: Similarity, chunk: int
+) -> DataFrame:
+    """Edges (a, b) that with the components in ``known`` connect all linked nodes of each block.
+
+    blocks: (node, block, n_shingles)."""
 
     def hashed(batch):
         schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
         return record_batch(schema, batch.column(0), [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()])
 
-    texts = base.join(blocks.select("node").distinct(), base["doc_id"] == F.col("node")).select("node", utf8().alias("_b"))
-    hashes = map_rows(texts, hashed, "node long, hashes binary").where(F.length("hashes") > 0)
-    if some_large:
-        hashes = materialise(hashes, "jaccard-hashes")
-    rows = placed.join(hashes, "node").withColumn("label", F.col("node"))
-    links = materialise(_link_sorted(rows, sim), "jaccard-links")
-    if some_large:
-        links = _link_large(placed.where("big"), hashes, links, sim)
-    roots = components(links, "jaccard-final").withColumnRenamed("root", "component_id")
-    named = groups.join(roots, "node", "left").select(*key, F.coalesce("component_id", "node").alias("component_id"))
-    return sets.join(named, key, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    texts = base.join(blocks.select("node").distinct(), base["doc_id"] == F.col("node"))
+    hashes = map_rows(texts.select("node", utf8().alias("_b")), hashed, "node long, hashes binary")
+    hashes = hashes.where(F.length("hashes") > 0)
+    if known is not None:
+        blocks = blocks.join(known.withColumnRenamed("root", "label"), "node", "left")
+        blocks = blocks.withColumn("label", F.coalesce("label", "node"))
+    else:
+        blocks = blocks.withColumn("label", F.col("node"))
+
+    # Where a block is too large for one task: chunks by size class and hash.
+    whole = blocks.groupBy("block").agg(F.sum("n_shingles").alias("_all"))
+    large = materialise(whole.where(F.col("_all") > chunk).select("block"), "jaccard-large")
+    if not large.limit(1).count():
+        rows = blocks.withColumn("chunk", F.lit("")).join(hashes, "node")
+        return materialise(_link_sorted(rows, sim), "jaccard-links")
+    band = F.floor(F.log("n_shingles") / F.lit(math.log(sim.q / sim.p))).cast("int")
+    sized = blocks.withColumn("band", band).join(large.withColumn("big", F.lit(True)), "block", "left")
+    totals = sized.where("big").groupBy("block", "band").agg(
+        F.ceil(F.sum("n_shingles") / F.lit(chunk)).cast("long").alias("cuts")
     )
+    cut = F.concat_ws(":", "band", F.pmod(F.xxhash64("node"), "cuts"))
+    placed = sized.join(totals, ["block", "band"], "left").withColumn("chunk", F.when(F.col("big"), cut).otherwise(""))
+    placed = materialise(placed.drop("cuts"), "jaccard-chunks")
+    hashes = materialise(hashes, "jaccard-hashes")
+    links = materialise(_link_sorted(placed.join(hashes, "node"), sim), "jaccard-links")
+    before = links if known is None else links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return links.unionByName(_link_large(placed.where("big").drop("label"), hashes, before, sim))
 
 
 def _link_large(placed: DataFrame, hashes: DataFrame, links: DataFrame, sim: Similarity) -> DataFrame:
-    """The links of single chunks, and those between chunks of the same block."""
+    """The links between chunks of the same block, given those already known."""
 
     def labelled(known: DataFrame, tag: str) -> DataFrame:
         roots = components(known, tag).withColumnRenamed("root", "label")
@@ -371,19 +451,18 @@ def _link_large(placed: DataFrame, hashes: DataFrame, links: DataFrame, sim: Sim
         "chunk", F.concat(F.lit("pivots:"), F.pmod(F.xxhash64("chunk"), F.lit(64)).cast("string"))
     )
     between = materialise(_link_sorted(pivots.join(hashes, "node"), sim), "jaccard-pivots")
-    links = links.unionByName(between)
 
-    named = labelled(links, "jaccard-between")
+    named = labelled(links.unionByName(between), "jaccard-between")
     rest = named.join(largest(named, "block"), "block").where("label <> main")
     chunks = placed.select("block", "chunk", "band").distinct()
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
     guests = rest.select("node", "label", "block", F.col("chunk").alias("home"), near).join(chunks, ["block", "band"])
     guests = guests.where("chunk <> home").select("block", "chunk", "node", "label")
-    # A chunk without guests and with one component has nothing left to compare.
+    # A chunk without guests has one component, the block's largest: nothing is left to compare.
     busy = guests.select("block", "chunk").distinct()
     members = named.join(busy, ["block", "chunk"]).select("block", "chunk", "node", "label")
     last = _link_sorted(members.unionByName(guests).join(hashes, "node"), sim)
-    return links.unionByName(materialise(last, "jaccard-last"))
+    return between.unionByName(materialise(last, "jaccard-last"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
