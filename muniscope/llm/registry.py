@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL for those that SQL can express."""
 
-from . import chat, decontam, exact_dedup, jaccard_join, sentencepiece_codec, toxicity
+from . import chat, decontam, exact_dedup, html_extract, jaccard_join, sentencepiece_codec, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op5_chat": chat.op5_chat,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_html_extract": html_extract.op9_html_extract,
         "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
     }
 
