@@ -1,11 +1,12 @@
 """Queries of the corpus operators and the SQL for those that SQL can express."""
 
-from . import chat, decontam, exact_dedup, html_extract, jaccard_join, sentencepiece_codec, toxicity
+from . import chat, decontam, exact_dedup, html_extract, jaccard_join, sentencepiece_codec, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_warc": warc.op2_warc,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op5_chat": chat.op5_chat,
         "op6_decontaminate": decontam.op6_decontaminate,
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op2_warc": warc.OP2_SQL,
         "op3_jaccard_join": jaccard_join.OP3_SQL,
         "op5_chat": chat.OP5_SQL,
         "op6_decontaminate": decontam.OP6_SQL,
