@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL for those that SQL can express."""
 
-from . import chat, decontam, exact_dedup, html_extract, jaccard_join, sentencepiece_codec, toxicity, warc
+from . import chat, decontam, exact_dedup, html_extract, jaccard_join, line_templates, sentencepiece_codec, toxicity, warc
 
 
 def queries() -> dict:
@@ -8,6 +8,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_warc": warc.op2_warc,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+        "op4_line_templates": line_templates.op4_line_templates,
         "op5_chat": chat.op5_chat,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
@@ -20,6 +21,7 @@ def oracle_sql() -> dict:
     return {
         "op2_warc": warc.OP2_SQL,
         "op3_jaccard_join": jaccard_join.OP3_SQL,
+        "op4_line_templates": line_templates.OP4_SQL,
         "op5_chat": chat.OP5_SQL,
         "op6_decontaminate": decontam.OP6_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
