@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL for those that SQL can express."""
 
-from . import chat, decontam, exact_dedup, html_extract, jaccard_join, line_templates, sentencepiece_codec, toxicity, warc
+from . import chat, decontam, exact_dedup, html_extract, jaccard_join, license_scan, line_templates, sentencepiece_codec, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_line_templates": line_templates.op4_line_templates,
         "op5_chat": chat.op5_chat,
         "op6_decontaminate": decontam.op6_decontaminate,
+        "op7_license_scan": license_scan.op7_license_scan,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
@@ -24,5 +25,6 @@ def oracle_sql() -> dict:
         "op4_line_templates": line_templates.OP4_SQL,
         "op5_chat": chat.OP5_SQL,
         "op6_decontaminate": decontam.OP6_SQL,
+        "op7_license_scan": license_scan.OP7_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
     }
