@@ -1,11 +1,14 @@
 """Every registered query with the SQL that states the same result."""
 
+from . import canonical_queries, case_queries, peer_queries  # noqa: F401  each module registers its queries
+from .registry import ORACLES, QUERIES
+
 FLAGSHIP = "peer_zscore_ladder"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
