@@ -3,11 +3,11 @@
 Texts and templates are words (runs of 0-9, a-z and characters beyond ASCII, A-Z lower-cased)
 and their 5-word shingles. A template of n shingles has the size class c, the least power of two
 not below n. For each class a document is cut into blocks of c shingles, and every two neighbouring
-blocks are a window, so windows overlap by half. A window that holds the share CONTAINMENT of a
-template's shingles has a Jaccard similarity s of at least CONTAINMENT * n / (2c + n) > 0.16
-with it, so BANDS bands of one minimum hash each miss it with a probability below (1 - s) ** BANDS,
-under 0.002 for the least favourable length and under 0.00001 for n = c. What the bands retrieve
-is verified by exact shingle containment in the window.
+blocks are a window, so windows overlap by half. A window that holds m = ceil(CONTAINMENT * n) of
+a template's shingles has a Jaccard similarity s of at least m / (2c + n - m) with it. A class has as
+many bands, of one minimum hash each, as make (1 - s) ** bands less than MISS for every template
+in it: the probability to overlook a template that is there. What the bands retrieve is verified
+by exact shingle containment in the window.
 
 Defined results: null and empty texts, and texts of fewer words than a shingle, match
 nothing; templates need five words; repeated rows give repeated results; an empty table an
@@ -17,6 +17,7 @@ MOST_TEMPLATE_WORDS bounds them.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,9 @@ from .jaccard_join import mix
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS = 40
+MISS = 1e-4
+SEGMENT = 1 << 16
+FEW = 32
 MOST_TEMPLATE_WORDS = 2_000_000
 
 #: Statements and notices as they are commonly written.
@@ -72,7 +75,6 @@ TEMPLATES = {
 }
 
 _U = np.uint64
-_SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
 class _Hashes(dict):
@@ -100,71 +102,99 @@ def shingle_row(words: list[bytes]) -> np.ndarray:
     return mix(s)
 
 
-def _classes(n: int) -> int:
+def _class(n: int) -> int:
     c = 1
     while c < n:
         c *= 2
     return c
 
 
-def minhashes(blocks: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(BANDS, blocks): the least hash of each block under every band's permutation."""
-    return np.minimum.reduceat((blocks[None, :] * _SEEDS[:, None]) >> _U(20), starts, axis=1)
+def _bands(n: int) -> int:
+    c, m = _class(n), math.ceil(CONTAINMENT * n)
+    return math.ceil(math.log(MISS) / math.log(1 - m / (2 * c + n - m)))
+
+
+def _permuted(row: np.ndarray, bands: int) -> np.ndarray:
+    """(bands, shingles): the shingles' upper halves under as many permutations of 32 bits."""
+    odd = (mix(np.arange(1, bands + 1, dtype=np.uint64)) >> _U(32)).astype(np.uint32) | np.uint32(1)
+    return (row >> _U(32)).astype(np.uint32)[None, :] * odd[:, None]
+
+
+@dataclass
+class SizeClass:
+    bands: int
+    templates: list[int]
+    least: np.ndarray  # (bands, templates): each template's minimum hashes
+    keys: np.ndarray  # the same with the band above, sorted, for many templates
+    owners: np.ndarray
 
 
 @dataclass
 class Templates:
     names: list[str]
     sets: list[np.ndarray]  # sorted distinct shingles
-    by_class: dict[int, tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]]  # per band: sorted hashes, their templates
+    classes: dict[int, SizeClass]
+    bands: int
 
     @staticmethod
     def of(texts: dict[str, str]) -> Templates:
-        names, sets = [], []
         if sum(len(t.split()) for t in texts.values()) > MOST_TEMPLATE_WORDS:
             raise ValueError("templates are too large to send with every task: scan them in parts")
-        for name, text in sorted(texts.items()):
-            s = np.unique(shingle_row(words_of(text.encode())))
-            if s.size:
-                names.append(name)
-                sets.append(s)
-        by_class: dict[int, tuple[list[int], list]] = {}
-        for c in sorted({_classes(s.size) for s in sets}):
-            mine = [i for i, s in enumerate(sets) if _classes(s.size) == c]
-            least = np.stack([minhashes(sets[i], np.zeros(1, dtype=np.int64))[:, 0] for i in mine], axis=1)
-            bands = []
-            for row in least:
-                order = np.argsort(row, kind="stable")
-                bands.append((row[order], np.array(mine)[order]))
-            by_class[c] = (mine, bands)
-        return Templates(names, sets, by_class)
+        known = {name: np.unique(shingle_row(words_of(text.encode()))) for name, text in sorted(texts.items())}
+        names = [name for name, s in known.items() if s.size]
+        sets = [known[name] for name in names]
+        classes = {}
+        for c in sorted({_class(s.size) for s in sets}):
+            mine = [i for i, s in enumerate(sets) if _class(s.size) == c]
+            bands = max(_bands(sets[i].size) for i in mine)
+            least = np.stack([_permuted(sets[i], bands).min(axis=1) for i in mine], axis=1)
+            keys = least.astype(np.uint64) | (np.arange(bands, dtype=np.uint64)[:, None] << _U(32))
+            order = np.argsort(keys.ravel(), kind="stable")
+            classes[c] = SizeClass(bands, mine, least, keys.ravel()[order], np.tile(mine, bands)[order])
+        return Templates(names, sets, classes, max((c.bands for c in classes.values()), default=0))
+
+
+def _retrieve(windows: np.ndarray, size: SizeClass) -> set[tuple[int, int]]:
+    """(window, template) with an equal minimum in some band."""
+    if len(size.templates) <= FEW:
+        return {
+            (int(w), t)
+            for k, t in enumerate(size.templates)
+            for w in np.flatnonzero((windows == size.least[:, k : k + 1]).any(axis=0))
+        }
+    keys = windows.astype(np.uint64) | (np.arange(size.bands, dtype=np.uint64)[:, None] << _U(32))
+    low, high = np.searchsorted(size.keys, keys, "left"), np.searchsorted(size.keys, keys, "right")
+    return {
+        (int(w), int(t)) for b, w in zip(*np.nonzero(high > low)) for t in size.owners[low[b, w] : high[b, w]]
+    }
 
 
 def scan(text: bytes, templates: Templates) -> list[tuple[str, float, int, int]]:
     """(template, best containment, first and past-the-last word of that window) found in a text."""
     row = shingle_row(words_of(text))
     best: dict[int, tuple[float, int, int]] = {}
-    for c, (_, bands) in templates.by_class.items():
-        if not row.size:
-            break
-        starts = np.arange(0, row.size, c)
-        least = minhashes(row, starts)
-        if starts.size > 1:
-            least = np.minimum(least[:, :-1], least[:, 1:])
-        candidates: set[tuple[int, int]] = set()
-        for mine, (values, owner) in zip(least, bands, strict=True):
-            low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
-            for w in np.flatnonzero(high > low).tolist():
-                candidates.update((w, int(t)) for t in owner[low[w] : high[w]])
-        for w, t in candidates:
-            window = row[w * c : (w + 2) * c]
-            share = np.isin(templates.sets[t], window).sum() / templates.sets[t].size
-            if share >= CONTAINMENT:
-                found = (float(share), -w * c)
-                if t not in best or found > (best[t][0], -best[t][1]):
-                    inside = np.flatnonzero(np.isin(window, templates.sets[t]))
-                    begin = w * c
-                    best[t] = (float(share), begin, begin + int(inside[-1]) + SHINGLE)
+    widest = max(templates.classes, default=1)
+    segment = max(SEGMENT, widest)
+    for at in range(0, row.size if templates.classes else 0, segment):
+        least = _permuted(row[at : at + segment + widest], templates.bands)
+        c = 1
+        while c <= widest:
+            if size := templates.classes.get(c):
+                windows = least[: size.bands]
+                if windows.shape[1] > 1:
+                    windows = np.minimum(windows[:, :-1], windows[:, 1:])
+                for w, t in _retrieve(windows[:, : segment // c], size):
+                    begin = at + w * c
+                    inside = np.isin(row[begin : begin + 2 * c], templates.sets[t])
+                    share = np.unique(row[begin : begin + 2 * c][inside]).size / templates.sets[t].size
+                    if share >= CONTAINMENT and (t not in best or (share, -begin) > (best[t][0], -best[t][1])):
+                        best[t] = (float(share), begin, begin + int(np.flatnonzero(inside)[-1]) + SHINGLE)
+            # Blocks of the next class: minima of neighbours, an odd last one alone.
+            even, odd = least[:, 0::2], least[:, 1::2]
+            joined = even.copy()
+            joined[:, : odd.shape[1]] = np.minimum(even[:, : odd.shape[1]], odd)
+            least = joined
+            c *= 2
     return [(templates.names[t], *best[t]) for t in sorted(best)]
 
 
