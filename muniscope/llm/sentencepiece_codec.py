@@ -174,7 +174,7 @@ class Codec:
         length = self.length[ids_array]
         unknown = np.flatnonzero(ids_array == self.unknown)
         if unknown.size:  # without byte fallback: the library tells what each unknown piece covers
-            proto = self.sp.encode(text.decode("utf-8", "replace"), out_type="immutable_proto")
+            proto = self.sp.encode(text.decode("utf-8", "replace"), return_type="proto")
             length[: len(proto.pieces)] = [len(p.piece.encode()) for p in proto.pieces]
         ends = np.cumsum(length)
         if ends.size and ends[-1] != align.size - 1:
