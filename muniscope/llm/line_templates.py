@@ -30,40 +30,51 @@ VARIABLE = "<*>"
 _SPACE = r"[ \t\r\f\x0B]+"
 
 
-def masked(line: Column) -> Column:
-    """The line with single spaces and a mark for each token that holds a digit."""
-    flat = F.regexp_replace(F.regexp_replace(line, _SPACE, " "), "^ | $", "")
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, "[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(flat)
+def _flat(line: Column) -> Column:
+    """Single spaces between tokens; the regular expressions only run where there is something to do."""
+    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    for c in "\t\r\f\x0b":
+        odd = odd | line.contains(c)
+    return F.when(odd, F.regexp_replace(F.regexp_replace(line, _SPACE, " "), "^ | $", "")).otherwise(line)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line): masked lines of MIN_TOKENS tokens or more."""
-    split = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("raw"))
-    return split.select("doc_id", masked(F.col("raw")).alias("line")).where(
-        F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) >= MIN_TOKENS - 1
-    )
+def _mask(line: Column) -> Column:
+    """A mark for each token that holds a digit."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(line)
+
+
+def masked_lines(text: Column) -> Column:
+    """Array of a text's masked lines. Nested transforms evaluate each step once per line,
+    where a filter on a derived column would be pushed down and evaluate it again."""
+    return F.transform(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), _flat), _mask)
+
+
+def _count(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _leaf(line: Column) -> Column:
-    tokens = F.split(line, " ")
-    return F.xxhash64(F.size(tokens), *(F.get(tokens, F.lit(i)) for i in range(DEPTH)))
+def _leaves(docs: DataFrame, *extra: str) -> DataFrame:
+    """(doc_id, leaf, ...) per line of MIN_TOKENS tokens or more; extra: h, a hash of the line, or line."""
+
+    def entry(line: Column) -> Column:
+        made = {"h": F.xxhash64(line), "line": line}
+        return F.struct(_count(line).alias("n"), F.substring_index(line, " ", DEPTH).alias("head"), *(made[x].alias(x) for x in extra))
+
+    lines = F.filter(F.transform(masked_lines(F.col("text")), entry), lambda e: e.n >= MIN_TOKENS)
+    split = docs.select("doc_id", F.inline(lines))
+    return split.select("doc_id", F.xxhash64("n", "head").alias("leaf"), *extra)
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, drops): for documents with lines to drop, the hashes of these lines."""
-    lines = _lines(docs)
-    seen = materialise(
-        lines.select("doc_id", _leaf(F.col("line")).alias("leaf"), F.xxhash64("line").alias("h"))
-        .groupBy("doc_id", "leaf", "h")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "template-seen",
-    )
+    seen = _leaves(docs, "h").groupBy("doc_id", "leaf", "h").agg(F.count(F.lit(1)).alias("n"))
+    seen = materialise(seen, "template-seen")
     by_doc = seen.groupBy("leaf", "doc_id").agg(F.sum("n").alias("n"))
     leaves = by_doc.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("leaf_lines"))
     leaves = materialise(leaves.where(F.col("docs") >= MIN_DOCS).select("leaf", "leaf_lines"), "template-leaves")
 
     # The distinct lines of leaves that recur at all.
-    kept = lines.withColumn("leaf", _leaf(F.col("line"))).join(leaves.select("leaf"), "leaf")
+    kept = _leaves(docs, "line").join(leaves.select("leaf"), "leaf")
     distinct = materialise(kept.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")), "template-lines")
     tokens = distinct.select("leaf", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     counts = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
@@ -90,15 +101,22 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) per row, text without the lines that recur."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     drops = recurring_lines(source)
-    raw = F.split("text", "\n", -1)
+    # Steps pass structs on, so that no lambda refers to a derived column: such a column would be
+    # inlined and evaluated again for every line.
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("raw"), _flat(x).alias("flat")))
+    hashed = F.transform(lines, lambda s: F.struct(s.raw.alias("raw"), F.xxhash64(_mask(s.flat)).alias("h")))
+    stay = F.filter(hashed, lambda s: ~F.array_contains("drops", s.h))
+    rebuilt = F.transform(
+        F.array(stay), lambda k: F.struct(F.array_join(F.transform(k, lambda s: s.raw), "\n").alias("text"), F.size(k).alias("n"))
+    )
     has_any = F.col("drops").isNotNull()
-    stay = F.filter(raw, lambda x: ~F.array_contains("drops", F.xxhash64(masked(x))))
-    joined = source.join(drops, "doc_id", "left").withColumn("_kept", F.when(has_any, stay))
+    joined = source.join(drops, "doc_id", "left").withColumn("_new", F.when(has_any, F.get(rebuilt, F.lit(0))))
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return joined.select(
         "doc_id",
-        F.when(has_any, F.array_join("_kept", "\n")).otherwise(F.col("text")).alias("text"),
-        F.size(raw).cast("long").alias("n_lines"),
-        F.when(has_any, F.size(raw) - F.size("_kept")).otherwise(0).cast("long").alias("n_dropped"),
+        F.coalesce("_new.text", "text").alias("text"),
+        n_lines.cast("long").alias("n_lines"),
+        F.coalesce(n_lines - F.col("_new.n"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
