@@ -41,7 +41,8 @@ SECOND_PERSON = frozenset(
     "tú ti tus usted ustedes vosotros vuestro".split()
 )
 FEATURES = (
-    "lexicon_weight", "lexicon_density", "lexicon_strong", "lexicon_distinct", "lexicon_most", "near_second_person",
+    "lexicon_weight", "lexicon_density", "lexicon_strong", "lexicon_distinct", "lexicon_most", "lexicon_surest",
+    "surest_density", "near_second_person",
     "second_person", "capitals", "shouting", "punctuation", "exclamations", "obfuscation", "digits", "log_words",
 )
 
@@ -71,6 +72,7 @@ class Weights(dict):
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon = lexicon
+        self.sure = 0.75 * max(lexicon.values(), default=math.inf)
 
     def __missing__(self, word: bytes) -> float:
         if len(self) >= self.MOST:
@@ -101,12 +103,15 @@ def features(text: bytes, weights: Weights) -> list[float]:
     low = text.lower()
     letters = size - len(text.translate(None, _UPPER))
     strong = w[hits] >= 2.0
+    surest = hits[w[hits] >= weights.sure]
     return [
         float(w.sum()) / max(n, 1),
         hits.size / max(n, 1),
         float(strong.sum()) / max(n, 1),
         float(len({found[i] for i in hits.tolist()})),
         float(w.max()) if n else 0.0,
+        float(len({found[i] for i in surest.tolist()})),
+        surest.size / max(n, 1),
         near,
         second,
         letters / size,
