@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .graph import shared_table
 
 TREES, SAMPLE, SEED = 150, 256, 42
 
@@ -89,6 +90,6 @@ def isolation_scores(df: DataFrame, key: str, features: list[str], contamination
         mean = sum(depths(t, v) for t in trees) / len(trees)
         return pd.Series(2.0 ** (-mean / norm))
 
-    scored = rows.select(key, score(*features).alias("score"))
+    scored = shared_table(rows.select(key, score(*features).alias("score")), "forest")  # read twice
     cut = scored.agg(F.percentile("score", F.lit(1 - contamination)).alias("cut"))
     return scored.withColumn("flag", F.col("score") > cut.scalar())

@@ -26,17 +26,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     jump to their label's label, so rounds grow with the logarithm of the longest path."""
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     both = shared_table(pairs.union(pairs.select("b", "a")).distinct(), "edges")
-    labels = shared_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_least"))
+    labels = shared_table(first.select("node", F.least("node", "_least").alias("component")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        closer = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("next"))
+        closer = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("next"))
         up = labels.select(F.col("node").alias("_n"), F.col("component").alias("_up"))
-        moved = closer.join(up, closer["next"] == up["_n"], "left").select("node", F.least("next", F.coalesce("_up", "next")).alias("component"))
+        jumped = F.least("next", F.coalesce("_up", "next"))
+        moved = closer.join(up, closer["next"] == up["_n"], "left").select(
+            "node", jumped.alias("component"), (jumped != F.col("component")).alias("moved")
+        )
         moved = shared_table(moved, "labels")
-        old = labels.withColumnRenamed("component", "old")
-        changed = moved.join(old, "node").where("component <> old").limit(1).count()
-        labels = moved
-        if not changed:
+        labels = moved.select("node", "component")
+        if not moved.where("moved").limit(1).count():
             return labels
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import shared_table
+
 MIN_PEERS = 10
 MAD_SCALE = 1.4826
 FLAG_Z = 2.5
@@ -23,7 +25,9 @@ def ladder_z(df: DataFrame, value: str, category: str, place: str, min_peers: in
     category everywhere, else all rows. Sizes count rows, medians skip nulls, and a wider
     group holds every row of the category. A null value has z 0. Each rung is an aggregate with
     its median and then its MAD, joined back on the group's key: groups are few, rows are not moved
-    more than once for a key."""
+    more than once for a key. The input is written once to the shared folder: every rung reads it
+    twice, and what it was made from is not computed again."""
+    df = shared_table(df, "ladder")
     rungs = [("place", [category, place]), ("category", [category]), ("all", [])]
     out = df
     for name, keys in rungs[:2]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import cases
+from ..operators import cases, graph
 from ..sources import views
 from .registry import query
 
@@ -49,8 +49,8 @@ def risk_applicable_only(spark, sf):
     return s.select("work", "risk", scores.band(F.col("risk")).alias("band"))
 
 
-def _standard(spark, sf):
-    s = _signals(spark, sf)
+def _standard(spark, sf, s=None):
+    s = s or _signals(spark, sf)
     lag = F.col("lag")
     late = F.when(lag >= 0, F.when(lag > 45, scores.excess_ratio(lag, F.lit(45.0))).otherwise(0.0))
     return cases.standard_signals(s, "work", {
@@ -104,12 +104,12 @@ cases AS (SELECT c.work, clusters, codes, round(least(coalesce(c.anomaly, 0), 1)
 
 
 def _cases(spark, sf):
-    s = _signals(spark, sf)
+    s = graph.shared_table(_signals(spark, sf), "signals")  # three inputs of one operator
     severities = s.where("lag < 0").select("work", F.lit("critical").alias("severity")).unionByName(
         s.where("missing > 0").select("work", F.lit("warning").alias("severity"))
     )
     over = s.where("lag > 45").select("work", (F.col("lag") - 45).alias("days_over"))
-    return cases.consolidate(_standard(spark, sf), severities, over)
+    return cases.consolidate(_standard(spark, sf, s), severities, over)
 
 
 @query(f"WITH {_CASES} SELECT work, clusters, codes, anomaly_priority, inefficiency_priority, completeness, confidence, tier FROM cases")
