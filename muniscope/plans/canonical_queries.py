@@ -58,8 +58,8 @@ def amount_normalize_cases(spark, sf):
 
 
 @query(f"""WITH o AS (SELECT o_orderkey AS id, o_custkey AS c, {_FY.format('o_orderdate')} AS fy FROM orders)
-SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE c END AS mp_code, CASE WHEN id % 7 = 0 THEN NULL ELSE fy END AS fy_start_year,
-  CASE WHEN id % 7 = 0 THEN NULL ELSE fy + 1 END AS fy_end_year, CASE WHEN id % 7 = 0 THEN NULL ELSE id END AS letter_seq FROM o""")
+SELECT id, CAST(CASE WHEN id % 7 = 0 THEN NULL ELSE c END AS INTEGER) AS mp_code, CAST(CASE WHEN id % 7 = 0 THEN NULL ELSE fy END AS INTEGER) AS fy_start_year,
+  CAST(CASE WHEN id % 7 = 0 THEN NULL ELSE fy + 1 END AS INTEGER) AS fy_end_year, CAST(CASE WHEN id % 7 = 0 THEN NULL ELSE id END AS INTEGER) AS letter_seq FROM o""")
 def letter_no_parse(spark, sf):
     """Letter numbers with white space inside, one in seven not in the format."""
     fy = letters.fiscal_year(F.col("o_orderdate"))

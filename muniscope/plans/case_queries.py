@@ -98,7 +98,7 @@ bw AS (SELECT work, round(count(*) FILTER (available) / count(*), 3) AS complete
 c AS (SELECT work, sum(strong) AS strong, count(*) FILTER (medium > 0) AS mediums, sum(best) FILTER (cluster <> 'late_sanction') AS anomaly,
   sum(best) FILTER (cluster = 'late_sanction') AS slow, array_to_string(list_sort(list(cluster) FILTER (best IS NOT NULL)), ',') AS clusters FROM bc GROUP BY work),
 cases AS (SELECT c.work, clusters, codes, round(least(coalesce(c.anomaly, 0), 1), 3) AS anomaly_priority, round(least(coalesce(slow, 0), 1), 3) AS inefficiency_priority, completeness,
-  CASE WHEN lag < 0 THEN 0.2 WHEN missing > 0 THEN 0.5 ELSE 1.0 END AS confidence,
+  CAST(CASE WHEN lag < 0 THEN 0.2 WHEN missing > 0 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS confidence,
   CASE WHEN clusters = 'late_sanction' AND lag - 45 < 225 THEN 'systemic_cohort' ELSE 'actionable' END AS tier
   FROM c JOIN bw USING (work) JOIN g USING (work) WHERE strong > 0 OR mediums >= 2)"""
 

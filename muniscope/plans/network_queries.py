@@ -145,7 +145,7 @@ def round_trip_interval_join(spark, sf):
 @query(f"""WITH {_W}, b AS (SELECT mp, vendor, count(*) AS works FROM w GROUP BY mp, vendor), t AS (SELECT mp, sum(works) AS total FROM b GROUP BY mp),
 c AS (SELECT DISTINCT vendor FROM b JOIN t USING (mp) WHERE works / total >= 0.05 AND total >= 20),
 e AS (SELECT DISTINCT vendor, mp FROM w), n AS (SELECT (SELECT count(DISTINCT vendor) FROM e) + (SELECT count(DISTINCT mp) FROM e) AS n)
-SELECT vendor, count(*) AS works, count(DISTINCT mp) AS officials, round(sum(amount), 1) AS total, any_value(CASE WHEN vendor IN (SELECT vendor FROM c) THEN 1 ELSE 0 END) AS patterns,
+SELECT vendor, count(*) AS works, count(DISTINCT mp) AS officials, round(sum(amount), 1) AS total, CAST(any_value(CASE WHEN vendor IN (SELECT vendor FROM c) THEN 1 ELSE 0 END) AS BIGINT) AS patterns,
   round(least(least(0.3 * any_value(CASE WHEN vendor IN (SELECT vendor FROM c) THEN 1 ELSE 0 END), 1) + 0.2 * count(DISTINCT mp) / (any_value(n) - 1), 1), 6) AS score FROM w, n GROUP BY vendor""")
 def vendor_rollup(spark, sf):
     """Totals, patterns and score per vendor."""

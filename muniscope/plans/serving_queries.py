@@ -158,9 +158,9 @@ def describe_percentiles(spark, sf):
     return d.select("activity", "n", *(F.round(c, 3).alias(c) for c in ("mean", "std")), "least", "most", *(F.round(c, 3).alias(c) for c in ("p5", "p50", "p95")))
 
 
-@query("""SELECT 'c_name' AS "column", count(*) FILTER (c_name IS NULL) AS nulls, 0.0 AS null_rate, count(DISTINCT c_name) AS "distinct" FROM customer
-UNION ALL SELECT 'c_nationkey', count(*) FILTER (c_nationkey IS NULL), 0.0, count(DISTINCT c_nationkey) FROM customer
-UNION ALL SELECT 'c_mktsegment', count(*) FILTER (c_mktsegment IS NULL), 0.0, count(DISTINCT c_mktsegment) FROM customer""")
+@query("""SELECT 'c_name' AS "column", count(*) FILTER (c_name IS NULL) AS nulls, CAST(0 AS DOUBLE) AS null_rate, count(DISTINCT c_name) AS "distinct" FROM customer
+UNION ALL SELECT 'c_nationkey', count(*) FILTER (c_nationkey IS NULL), CAST(0 AS DOUBLE), count(DISTINCT c_nationkey) FROM customer
+UNION ALL SELECT 'c_mktsegment', count(*) FILTER (c_mktsegment IS NULL), CAST(0 AS DOUBLE), count(DISTINCT c_mktsegment) FROM customer""")
 def column_profile(spark, sf):
     """Nulls and distinct values of columns in one pass."""
     return profile.column_profile(views.load(spark, sf, "customer"), ["c_name", "c_nationkey", "c_mktsegment"])
