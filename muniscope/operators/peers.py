@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .graph import shared_table
+from .quantiles import medians, ranks
 
 MIN_PEERS = 10
 MAD_SCALE = 1.4826
@@ -23,27 +23,32 @@ def ladder_z(df: DataFrame, value: str, category: str, place: str, min_peers: in
 
     A row's peers are its category in its place if these are min_peers at least, else its
     category everywhere, else all rows. Sizes count rows, medians skip nulls, and a wider
-    group holds every row of the category. A null value has z 0. Each rung is an aggregate with
-    its median and then its MAD, joined back on the group's key: groups are few, rows are not moved
-    more than once for a key. The input is written once to the shared folder: every rung reads it
-    twice, and what it was made from is not computed again."""
-    df = shared_table(df, "ladder")
+    group holds every row of the category. A null value has z 0; a null category or place has no
+    group of its own. Values are counted once by (category, place); the wider rungs add these counts
+    up, and the medians of all rungs come from one table of ranks, so no task holds a group."""
     rungs = [("place", [category, place]), ("category", [category]), ("all", [])]
+    df = shared_table(df, "ladder")  # what it was made from is not computed again
+    cells = df.groupBy(category, place, value).agg(F.count(F.lit(1)).alias("_k"))
+    steps = F.array(
+        *(
+            F.struct(F.lit(name).alias("_rung"), *(F.col(k) if k in keys else F.lit("").alias(k) for k in (category, place)))
+            for name, keys in rungs
+        )
+    )
+    by = ["_rung", category, place]
+    stacked = cells.select(F.inline(steps), F.col(value), "_k").na.drop(subset=by)
+    counts = shared_table(stacked.groupBy(*by, value).agg(F.sum("_k").alias("_k")), "counts")
+    middle = medians(counts, value, "_k", by, "_m")
+    away = counts.join(middle, by).withColumn("_away", F.abs(F.col(value) - F.col("_m"))).groupBy(*by, "_away")
+    mad = medians(away.agg(F.sum("_k").alias("_k")), "_away", "_k", by, "_d")
+    size = counts.groupBy(*by).agg(F.sum("_k").alias("_n"))
+    stats = shared_table(size.join(middle, by, "left").join(mad, by, "left"), "ladder-stats")
     out = df
     for name, keys in rungs[:2]:
-        size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n_{name}"), F.median(value).alias(f"_m_{name}"))
-        away = F.abs(F.col(value) - F.col(f"_m_{name}"))
-        mad = df.select(*keys, value).join(size, keys).groupBy(*keys).agg(F.median(away).alias(f"_d_{name}"))
-        out = out.join(size.join(mad, keys), keys, "left")
-    total = df.agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("m"))
-    away = df.agg(F.median(F.abs(F.col(value) - total.select("m").scalar())).alias("d"))
-    out = out.withColumns(
-        {
-            "_n_all": total.select("n").scalar(),
-            "_m_all": total.select("m").scalar(),
-            "_d_all": away.scalar(),
-        }
-    )
+        mine = stats.where(F.col("_rung") == name).select(*keys, *(F.col(c).alias(f"{c}_{name}") for c in ("_n", "_m", "_d")))
+        out = out.join(mine, keys, "left")
+    total = stats.where("_rung = 'all'")
+    out = out.withColumns({f"{c}_all": total.select(c).scalar() for c in ("_n", "_m", "_d")})
 
     def pick(prefix: str) -> Column:
         a, b, c = (F.col(f"{prefix}{name}") for name, _ in rungs)
@@ -74,9 +79,13 @@ def ladder_z(df: DataFrame, value: str, category: str, place: str, min_peers: in
 
 def group_threshold(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """(keys, n, median, mad, threshold) of the rows assigned to a group."""
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"))
-    mad = df.join(size, list(keys)).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    out = size.join(mad, list(keys))
+    by = list(keys)
+    counts = shared_table(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k")), "counts")
+    size = counts.groupBy(*by).agg(F.sum("_k").alias("n"))
+    middle = medians(counts, value, "_k", by, "median")
+    away = counts.join(middle, by).withColumn("_away", F.abs(F.col(value) - F.col("median")))
+    mad = medians(away.groupBy(*by, "_away").agg(F.sum("_k").alias("_k")), "_away", "_k", by, "mad")
+    out = size.join(middle, by).join(mad, by)
     return out.withColumn("threshold", F.col("median") + FLAG_Z * robust_scale(F.col("median"), F.col("mad")))
 
 
@@ -84,17 +93,9 @@ def average_rank(df: DataFrame, value: str) -> DataFrame:
     """df with pct_rank: the mean rank of ties over the number of rows.
 
     Ranks come from counts per distinct value, summed over ranges of values, so no task holds all rows."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    part = counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id())
-    sums = part.groupBy("_p").agg(F.sum("_n").alias("_s"))
-    # One row per partition: the only window without a partition key.
-    before = sums.withColumn(
-        "_before", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).withColumn("_all", F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    run = F.sum("_n").over(Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = part.withColumn("_run", run).join(F.broadcast(before.drop("_s")), "_p")
-    pct = (F.col("_before") + F.col("_run") - (F.col("_n") - 1) / 2.0) / F.col("_all")
-    return df.join(ranked.select(value, pct.alias("pct_rank")), value)
+    r = ranks(df.groupBy(value).agg(F.count(F.lit(1)).alias("_k")), value, "_k", [])
+    pct = (F.col("upto") - (F.col("_k") - 1) / 2.0) / F.col("total")
+    return df.join(r.select(value, pct.alias("pct_rank")), value)
 
 
 def mean_std_z(df: DataFrame, value: str, *keys: str) -> DataFrame:
