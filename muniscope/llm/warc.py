@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, materialise, record_batch, shared_dir, table, utf8
 
-FILE_RECORDS = 4_000
+FILE_RECORDS = 1_000
 RANGE_ROWS = 100_000
 EPOCH = datetime(2024, 1, 1)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
