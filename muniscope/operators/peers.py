@@ -38,7 +38,7 @@ def ladder_z(df: DataFrame, value: str, category: str, place: str, min_peers: in
     by = ["_rung", category, place]
     stacked = cells.select(F.inline(steps), F.col(value), "_k").na.drop(subset=by)
     counts = shared_table(stacked.groupBy(*by, value).agg(F.sum("_k").alias("_k")), "counts")
-    middle = medians(counts, value, "_k", by, "_m")
+    middle = shared_table(medians(counts, value, "_k", by, "_m"), "medians")  # a row per group, used twice
     away = counts.join(middle, by).withColumn("_away", F.abs(F.col(value) - F.col("_m"))).groupBy(*by, "_away")
     mad = medians(away.agg(F.sum("_k").alias("_k")), "_away", "_k", by, "_d")
     size = counts.groupBy(*by).agg(F.sum("_k").alias("_n"))
@@ -82,7 +82,7 @@ def group_threshold(df: DataFrame, value: str, *keys: str) -> DataFrame:
     by = list(keys)
     counts = shared_table(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k")), "counts")
     size = counts.groupBy(*by).agg(F.sum("_k").alias("n"))
-    middle = medians(counts, value, "_k", by, "median")
+    middle = shared_table(medians(counts, value, "_k", by, "median"), "medians")
     away = counts.join(middle, by).withColumn("_away", F.abs(F.col(value) - F.col("median")))
     mad = medians(away.groupBy(*by, "_away").agg(F.sum("_k").alias("_k")), "_away", "_k", by, "mad")
     out = size.join(middle, by).join(mad, by)
