@@ -122,7 +122,9 @@ class Similarity:
         """(size class, need, posts): a linked pair has at least ``need`` of a set's posts in common.
 
         Of the parts of a linked pair, spare + 1 at least are equal. Parts too small to tell texts
-        apart are not posted, and lower the need by their number, unless nothing would be left."""
+        apart are not posted, and lower the need by their number, unless nothing would be left: then
+        all are posted. A partner that posts no weak parts leaves out spare of them at most; where
+        the shingles it may have besides can make it one, one post in common is all that is sure."""
         out = []
         for tag, parts, spare in self.tags(s.size):
             part = (((s * _ODD[1]) >> _U(33)) % _U(parts)).astype(np.int64)
@@ -135,7 +137,12 @@ class Similarity:
             post = mix(sums + mix(np.arange(parts, dtype=np.uint64) + (_U(tag) << _U(40)) + _U(1)))
             weak = count < self.tiny
             few = int(weak.sum())
-            out.append((tag, spare + 1, post) if few > spare else (tag, spare + 1 - few, post[~weak]))
+            if few <= spare:
+                out.append((tag, spare + 1 - few, post[~weak]))
+                continue
+            more = s.size * (self.q - self.p) // self.p  # shingles of a partner that are not in this set
+            filled = int(np.searchsorted(np.cumsum(np.sort(self.tiny - count[weak])), more, side="right"))
+            out.append((tag, 1 if few - filled <= spare else spare + 1, post))
         return out
 
 
