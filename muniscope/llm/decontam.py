@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, record_batch, table, utf8
+from .common import bound_arrow, materialise, record_batch, table, utf8
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
@@ -282,18 +282,22 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), utf8().alias("_b"))
     total = items.agg(F.sum(F.length("_b"))).first()[0] or 0
     blocks = int(total // BLOCK_BYTES) + 1
+    if blocks > 1:  # ids may repeat or be null: rows of several blocks meet by a number, written once
+        source = materialise(source.withColumn("_row", F.monotonically_increasing_id()), "decontam-rows")
+    searched = source.select("_row", "_b") if blocks > 1 else source
     parts = []
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
         rows = [(r[0] or "", bytes(r[1])) for r in mine.collect()]
-        parts.append(_search_block(source, Phrases(rows)))
+        parts.append(_search_block(searched, Phrases(rows)))
     if blocks == 1:
         return parts[0]
-    return _merge_blocks(parts)
+    merged = _merge_blocks(parts).withColumnRenamed("doc_id", "_row")
+    return merged.join(source.select("_row", "doc_id"), "_row").select(*parts[0].columns)
 
 
 def _merge_blocks(parts: list[DataFrame]) -> DataFrame:
-    """Unite what the blocks found. Needs unique ids: rows meet by doc_id."""
+    """Unite what the blocks found. Needs unique keys in doc_id: find_passages gives row numbers."""
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)

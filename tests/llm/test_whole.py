@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from muniscope.llm import jaccard_join
+from muniscope.llm import decontam, jaccard_join
 
 
 @pytest.mark.parametrize(
@@ -33,3 +33,12 @@ def test_posts_of_random_pairs_at_the_threshold(p, q):
         x = rng.integers(0, 1 << 63, n + m - common).astype(np.uint64)
         a, b = ({t: (need, set(v.tolist())) for t, need, v in sim.posts(s)} for s in (np.sort(x[:n]), np.sort(x[n - common :])))
         assert sim.linked(common, n, m) and any(len(a[t][1] & b[t][1]) >= max(a[t][0], b[t][0]) for t in a.keys() & b.keys())
+
+
+def test_decontamination_in_blocks_keeps_rows_without_unique_ids(spark, monkeypatch):
+    items = spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k}") for k in range(9)], "item_id long, text string")
+    rows = [(1, "alpha1 beta1 gamma1 x"), (1, "y z alpha2 beta2 gamma2"), (1, "y"), (None, "alpha3 beta3 gamma3"), (None, None), (None, "clean"), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(repr, decontam.find_passages(docs, items).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 40)
+    assert len(whole) == len(rows) and sorted(map(repr, decontam.find_passages(docs, items).collect())) == whole
