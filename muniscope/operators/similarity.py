@@ -32,6 +32,17 @@ def pairs_of(df: DataFrame, key: list[str], item: str, group: str) -> DataFrame:
     return linked.where("b IS NOT NULL").select(*key, F.col(item).alias("a"), "b", (F.col(group) != F.col("_g")).alias("crosses"))
 
 
+def members_of(df: DataFrame, key: list[str], item: str, group: str, across: str) -> DataFrame:
+    """(class, item, group): all members of the classes of equal keys that span several values of ``across``.
+
+    A class is named by its least item. One row per member, so that every pair can be had from it."""
+    rows = df.select(*key, item, group).distinct()
+    spans = rows.groupBy(*key).agg(F.min(item).alias("class"), F.count_distinct(across).alias("_n")).where("_n > 1")
+    spans = spans.select(*(F.col(k).alias(f"_{k}") for k in key), "class")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return rows.join(spans, same).select("class", item, group)
+
+
 def hamming_pairs(df: DataFrame, item: str, bits: str, distance: int, width: int = 64) -> DataFrame:
     """(a, b, distance): all pairs of 64-bit values at most ``distance`` apart, without loss.
 

@@ -25,6 +25,24 @@ def exact_text_cross_group_pairs(spark, sf):
     return similarity.pairs_of(d, ["lang", "h"], "doc_id", "source").where("crosses").select("a", "b")
 
 
+@query("""WITH d AS (SELECT DISTINCT lang, md5(text) AS h, doc_id, source FROM documents WHERE text IS NOT NULL),
+c AS (SELECT lang, h, min(doc_id) AS class FROM d GROUP BY lang, h HAVING count(DISTINCT source) > 1)
+SELECT c.class, d.doc_id, d.source FROM d JOIN c ON d.h = c.h AND d.lang IS NOT DISTINCT FROM c.lang""")
+def exact_text_cross_group_members(spark, sf):
+    """Every member of the classes of equal text and language that span several sources; null texts are in none."""
+    d = views.load(spark, sf, "documents").where("text IS NOT NULL").select("lang", F.md5("text").alias("h"), "doc_id", "source")
+    return similarity.members_of(d, ["lang", "h"], "doc_id", "source", "source")
+
+
+@query("""WITH d AS (SELECT DISTINCT md5(text) AS h, doc_id, source FROM documents WHERE text IS NOT NULL),
+c AS (SELECT h, min(doc_id) AS class FROM d GROUP BY h HAVING count(DISTINCT doc_id) > 1)
+SELECT c.class, d.doc_id, d.source FROM d JOIN c ON d.h = c.h""")
+def exact_hash_members(spark, sf):
+    """Every member of the classes of equal content; null texts are in none."""
+    d = views.load(spark, sf, "documents").where("text IS NOT NULL").select(F.md5("text").alias("h"), "doc_id", "source")
+    return similarity.members_of(d, ["h"], "doc_id", "source", "doc_id")
+
+
 _BITS = """e AS (SELECT vec_id AS id, embedding AS v, list_sort(embedding)[32] AS mid FROM embeddings),
 h AS (SELECT id, list_transform(v, lambda x: x > mid) AS bits FROM e),
 p AS (SELECT a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS d FROM h a JOIN h b ON a.id < b.id)"""
