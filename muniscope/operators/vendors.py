@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +32,21 @@ def collusion(works: DataFrame, tolerance: float = 0.02) -> DataFrame:
     return near.where((F.col("vendor") != F.col("other")) & close).select("mp", "day", "vendor", "other")
 
 
+def collusion_pairs(works: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """(mp, day, vendor, other): all pairs of vendors with bids within ``tolerance`` of the higher one, same official and day.
+
+    Bids meet in geometric buckets of amounts a little wider than the tolerance, their own and the
+    next one, then by the exact test. Only a bid of zero is near one of zero; none is near a negative one."""
+    width = -math.log(1 - tolerance) * 1.0001
+    bucket = F.when(F.col("amount") > 0, F.floor(F.log("amount") / width)).when(F.col("amount") == 0, F.lit(-(1 << 40)))
+    bids = works.select("mp", "day", "vendor", "amount", bucket.alias("_b")).where("_b IS NOT NULL").distinct()
+    low = bids.withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") + 1)))
+    high = bids.select("mp", "day", "_b", F.col("vendor").alias("other"), F.col("amount").alias("next"))
+    near = (F.col("next") >= F.col("amount")) & (F.col("next") - F.col("amount") <= tolerance * F.col("next"))
+    met = low.join(high, ["mp", "day", "_b"]).where(near & (F.col("vendor") != F.col("other")))
+    return met.select("mp", "day", F.least("vendor", "other").alias("vendor"), F.greatest("vendor", "other").alias("other")).distinct()
+
+
 def split_invoicing(works: DataFrame, limit: float, under: float = 0.1, days: int = 7) -> DataFrame:
     """(vendor, mp, invoices, total): amounts just under a limit, some days apart at most, above it together."""
     low = works.where((F.col("amount") < limit) & (F.col("amount") >= limit * (1 - under)))

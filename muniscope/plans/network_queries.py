@@ -143,6 +143,13 @@ def vendor_collusion(spark, sf):
     return vendors.collusion(_vendor_works(spark, sf))
 
 
+@query(f"""WITH {_W} SELECT DISTINCT a.mp, a.day, least(a.vendor, b.vendor) AS vendor, greatest(a.vendor, b.vendor) AS other
+FROM w a JOIN w b ON a.mp = b.mp AND a.day = b.day AND a.vendor <> b.vendor WHERE b.amount >= a.amount AND b.amount - a.amount <= 0.02 * b.amount""")
+def vendor_collusion_pairs(spark, sf):
+    """Every pair of vendors with near-equal bids on one day."""
+    return vendors.collusion_pairs(_vendor_works(spark, sf))
+
+
 @query(f"""WITH {_W}, low AS (SELECT * FROM w WHERE amount < 50000 AND amount >= 50000 * (1 - 0.1)),
 r AS (SELECT *, CASE WHEN coalesce(date_diff('day', lag(day) OVER o, day) > 700, true) THEN 1 ELSE 0 END AS fresh FROM low WINDOW o AS (PARTITION BY vendor, mp ORDER BY day, id)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY vendor, mp ORDER BY day, id ROWS UNBOUNDED PRECEDING) AS run FROM r)

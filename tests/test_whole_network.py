@@ -1,6 +1,6 @@
 """Rows that links between neighbours alone would leave out."""
 
-from muniscope.operators import similarity
+from muniscope.operators import similarity, vendors
 
 
 def test_members_of_classes_across_groups(spark):
@@ -11,3 +11,14 @@ def test_members_of_classes_across_groups(spark):
     linked = similarity.pairs_of(d, ["h"], "id", "source").where("crosses")
     assert 1 not in {x for r in linked.collect() for x in (r.a, r.b)}
     assert len(similarity.members_of(d, ["h"], "id", "source", "id").collect()) == 7
+
+
+def test_collusion_pairs_are_all_pairs_within_the_tolerance(spark):
+    bids = [(1, "d", "V1", 100.0), (1, "d", "V2", 100.5), (1, "d", "V3", 101.0), (1, "d", "V4", 105.0), (2, "d", "V1", 100.0), (2, "e", "V2", 100.0)]
+    bids += [(3, "d", "V1", 50.0), (3, "d", "V1", 50.2), (3, "d", "V1", 50.9), (3, "d", "V2", 51.0), (4, "d", "V1", 0.0), (4, "d", "V2", 0.0), (4, "d", "V3", -1.0)]
+    bids += [(5, "d", f"W{k:03}", 10 * 1.0037**k) for k in range(120)]
+    d = spark.createDataFrame(bids, "mp int, day string, vendor string, amount double")
+    want = {(a[0], a[1], *sorted((a[2], b[2]))) for a in bids for b in bids if a[:2] == b[:2] and a[2] != b[2] and 0 <= b[3] - a[3] <= 0.02 * b[3]}
+    got = [tuple(r) for r in vendors.collusion_pairs(d).collect()]
+    assert len(got) == len(want) and set(got) == want and (1, "d", "V1", "V3") in want
+    assert (1, "d", "V1", "V3") not in {tuple(r) for r in vendors.collusion(d).collect()}
