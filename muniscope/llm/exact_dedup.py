@@ -163,9 +163,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows that stay."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi")
+    """Pipeline stage: the rows that stay. Rows without a doc_id are told apart by their text: they
+    stay, copies of each other too, unless a row with a doc_id has the same text."""
+    named = F.when(F.col("doc_id").isNull(), F.col("text_sha256"))
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"), named.alias("_sha")).distinct()
+    norm = F.translate(F.coalesce(docs["text"], F.lit("")), UPPER, LOWER)
+    sha = F.when(docs["doc_id"].isNull(), F.sha2(norm.cast("binary"), 256))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]) & sha.eqNullSafe(kept["_sha"]), "left_semi")
 
 
 OP8_SQL = f"""

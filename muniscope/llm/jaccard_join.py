@@ -477,9 +477,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every component (five words, similarity 0.8) the least id stays."""
+    """Pipeline stage: of every component (five words, similarity 0.8) the least id stays.
+
+    Rows without a doc_id can be named in no link and all stay, near copies among them too."""
     kept = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi")
+    named = docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi")
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 OP3_SQL = r"""

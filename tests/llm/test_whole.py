@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from muniscope.llm import decontam, jaccard_join
+from muniscope.llm import decontam, exact_dedup, jaccard_join
 
 
 @pytest.mark.parametrize(
@@ -42,3 +42,12 @@ def test_decontamination_in_blocks_keeps_rows_without_unique_ids(spark, monkeypa
     whole = sorted(map(repr, decontam.find_passages(docs, items).collect()))
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 40)
     assert len(whole) == len(rows) and sorted(map(repr, decontam.find_passages(docs, items).collect())) == whole
+
+
+def test_rows_without_an_id_stay_in_the_stages(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "a b"), (2, "A B"), (None, "a B"), (None, "C d\u00c9"), (None, None), (3, long), (4, long + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = exact_dedup.drop_copies(spark, docs, "")
+    assert set(map(tuple, exact.collect())) == {rows[k] for k in (1, 3, 4, 5, 6)}
+    assert {tuple(r) for r in jaccard_join.drop_near_copies(spark, exact, "").collect()} == {rows[k] for k in (1, 3, 4, 5)}
