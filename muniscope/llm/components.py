@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:
@@ -13,7 +13,9 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
 
     Each round links every node's root to the least root beside it, then jumps pointers
     once, so path lengths shrink geometrically; state is written to the shared folder
-    every round. Hot nodes are met by map-side minimum aggregation only.
+    every round and deleted when the next one stands. A node with many edges meets map-side
+    minima; the joins of all nodes with their roots are written as they come, so AQE can
+    split the side of a giant component's root.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     both = materialise(both, f"{tag}-edges")
@@ -31,7 +33,7 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         # Edges between roots; an edge inside a component is finished.
         left = state.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = state.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        live = (
+        before, live = live, (
             live.join(left, "a")
             .join(right, "b")
             .where("ra <> rb")
@@ -39,6 +41,7 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
             .distinct()
         )
         live = materialise(live, f"{tag}-live")
+        discard(before)
         hook = live.groupBy("a").agg(F.min("b").alias("to"))
         hooked = (
             state.join(hook, state["root"] == hook["a"], "left")
@@ -54,6 +57,8 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         )
         up = jumped.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         unsettled = jumped.join(up, jumped["root"] == up["_n"]).where("root <> _r").limit(1).count()
+        discard(state, hooked)
         state = jumped
         if not unsettled and live.limit(1).count() == 0:
+            discard(live)
             return state
