@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard self-join of a corpus with signature trees.
 
 1.  Every text becomes the set of its distinct word shingles (64-bit hashes). Rows with
-    equal sets are one node, named by its least doc_id, so copies never meet as pairs.
+    equal sets are one node, so copies never meet as pairs; of sets that hold more than a
+    thousandth of all rows only the node's own row posts what follows.
 2.  Blocking without loss. Two sets whose similarity reaches the threshold differ in at most
     k shingles, k following from their sizes. A set is cut by hash into k + 1 + spare parts; then
     more than ``spare`` parts of such a pair are equal, so each set posts the sums of its parts,
@@ -18,13 +19,18 @@
     too small, or whose members are all connected already; what remains is verified by
     exact intersection.
 5.  A block above CHUNK_SHINGLES is cut by size class and hash. Chunks are joined alone,
-    some members of each chunk's largest component against one another, and then whatever is
-    still outside the block's largest component against every chunk of compatible size.
-    That loses no link between components, and moves each chunk once when they are connected.
+    some members of each chunk's largest component against one another, and then every
+    chunk that still has members outside the block's largest component against each chunk of compatible
+    size, a pair of chunks being a task. That loses no link between components.
+6.  Every link lies within a component, so links are counted there: a dual traversal of the trees
+    without regard to what is connected, and exact intersections of the leaves that remain as
+    products of small 0/1 matrices. A large component is cut into chunks as above and every pair of
+    compatible chunks is a task, so memory is bounded; the work in a component grows with the
+    square of its distinct sets, as its links do.
 
 Defined results: null, empty and blank texts have no shingles and no links; a text of fewer
-words than a shingle is one shingle; rows that repeat a doc_id are one node; an empty
-table gives an empty result.
+words than a shingle is one shingle; every row counts, whether its doc_id is null, repeated or its
+own; a component is named by its least doc_id, null if it has none; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,10 +46,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_arrow, map_rows, materialise, record_batch, table, utf8
+from .common import HOT_SHARE, bound_arrow, discard, join_groups, map_rows, materialise, record_batch, row_keyed, table, utf8
 from .components import components
 
-CHUNK_SHINGLES = 250_000
+CHUNK_SHINGLES = 200_000
 LEAF = 16
 FAN = 4
 PIVOTS = 8
@@ -146,15 +152,25 @@ class Similarity:
         return out
 
 
+def bitmap_width(sizes: np.ndarray) -> int:
+    width = 256
+    while width < 2 * np.median(sizes) and width < 1 << 14:
+        width *= 2
+    return width
+
+
+def tree_order(sets: list[np.ndarray]) -> list[int]:
+    """Positions by size, in steps of a tenth, and least hash: what is alike is near."""
+    return sorted(range(len(sets)), key=lambda i: (int(math.log(sets[i].size) / 0.105), int(sets[i][0])))
+
+
 class SignatureTree:
     """Sets in an order; level 0 holds runs of LEAF sets, each level above runs of FAN nodes."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], width: int | None = None):
         self.sets = sets
         self.sizes = np.array([s.size for s in sets], dtype=np.int64)
-        width = 256
-        while width < 2 * np.median(self.sizes) and width < 1 << 14:
-            width *= 2
+        width = width or bitmap_width(self.sizes)
         bits = np.zeros((len(sets), width // 64), dtype=np.uint64)
         for row, s in zip(bits, sets):
             token = s % _U(width)
@@ -182,6 +198,94 @@ class SignatureTree:
         step = LEAF * FAN**level
         return node * step, min(len(self.sets), (node + 1) * step)
 
+    def kids(self, level: int, node: int) -> range:
+        return range(node * FAN, min(self.levels[level - 1][1].size, (node + 1) * FAN))
+
+    def apart(self, level: int, node: int, other: SignatureTree, its_level: int, its_node: int, sim: Similarity) -> bool:
+        """No member of one node can be linked with one of the other: sizes or the largest overlap forbid it."""
+        ors, least, most, slacks = (x[node] for x in self.levels[level])
+        its_ors, its_least, its_most, its_slacks = (x[its_node] for x in other.levels[its_level])
+        if sim.q * most < sim.p * its_least or sim.q * its_most < sim.p * least:
+            return True
+        overlap = int(np.bitwise_count(ors & its_ors).sum()) + min(slacks, its_slacks)
+        return overlap < sim.p / (sim.p + sim.q) * (least + its_least) - 1e-6
+
+
+def leaf_pairs(x: SignatureTree, y: SignatureTree, sim: Similarity) -> dict[int, list[int]]:
+    """For leaves of x those of y that may hold a linked partner; of a tree with itself each pair once."""
+    found: dict[int, list[int]] = {}
+    stack = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
+    while stack:
+        i, a, j, b = stack.pop()
+        same = x is y and i == j and a == b
+        if not same and x.apart(i, a, y, j, b, sim):
+            continue
+        if i == j == 0:
+            found.setdefault(a, []).append(b)
+        elif x is y:  # both sides go down together
+            stack += [(i - 1, k, j - 1, m) for k in x.kids(i, a) for m in y.kids(j, b) if not same or k <= m]
+        elif i >= j:
+            stack += [(i - 1, k, j, b) for k in x.kids(i, a)]
+        else:
+            stack += [(i, a, j - 1, m) for m in y.kids(j, b)]
+    return found
+
+
+CELLS = 1 << 22
+
+
+def count_links(
+    left: list[np.ndarray], right: list[np.ndarray] | None, weight: np.ndarray, other: np.ndarray | None, sim: Similarity
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the linked partners of every set of both sides; without ``right`` of one side with itself."""
+    alone = right is None
+    sides = [left] if alone else [left, right]
+    width = bitmap_width(np.array([s.size for side in sides for s in side]))
+    orders = [tree_order(side) for side in sides]
+    trees = [SignatureTree([side[i] for i in order], width) for side, order in zip(sides, orders)]
+    weights = [w[order].astype(np.float64) for w, order in zip((weight, other), orders)]
+    # Shingles as numbers of this task; columns of a leaf's matrix are the shingles the leaf has.
+    names, number = np.unique(np.concatenate([s for t in trees for s in t.sets]), return_inverse=True)
+    ends = np.cumsum([s.size for t in trees for s in t.sets])
+    number = [number[e - s.size : e] for e, s in zip(ends.tolist(), (s for t in trees for s in t.sets))]
+    numbers = [number[: len(left)], number[len(left) :]] if not alone else [number]
+    column = np.full(names.size, -1, dtype=np.int64)
+    counts = [np.zeros(len(side)) for side in sides]
+    x, y = trees[0], trees[-1]
+    sizes = [t.sizes for t in trees]
+
+    def dense(rows: list[np.ndarray], wide: int) -> np.ndarray:
+        at = np.repeat(np.arange(len(rows)), [r.size for r in rows])
+        col = column[np.concatenate(rows)]
+        out = np.zeros((len(rows), wide), dtype=np.float32)
+        out[at[col >= 0], col[col >= 0]] = 1
+        return out
+
+    for a, leaves in leaf_pairs(x, y, sim).items():
+        low, high = x.span(0, a)
+        mine = numbers[0][low:high]
+        own = np.unique(np.concatenate(mine))
+        column[own] = np.arange(own.size)
+        matrix = dense(mine, own.size)
+        places = np.concatenate([np.arange(*y.span(0, b)) for b in sorted(leaves)])
+        step = max(LEAF, CELLS // max(1, own.size))
+        for at in range(0, places.size, step):
+            js = places[at : at + step]
+            common = matrix @ dense([numbers[-1][j] for j in js.tolist()], own.size).T
+            both = sizes[0][low:high, None] + sizes[-1][js][None, :]
+            linked = sim.q * common.astype(np.int64) >= sim.p * (both - common.astype(np.int64))
+            if alone:
+                linked &= np.arange(low, high)[:, None] < js[None, :]
+            counts[0][low:high] += linked @ weights[-1][js]
+            counts[-1][js] += weights[0][low:high] @ linked
+        column[own] = -1
+    out = []
+    for count, order in zip(counts, orders):
+        back = np.zeros(len(order), dtype=np.int64)
+        back[order] = np.rint(count).astype(np.int64)
+        out.append(back)
+    return out[0], out[-1]
+
 
 def link_group(sets: list[np.ndarray], labels: np.ndarray, sim: Similarity) -> list[tuple[int, int]]:
     """Links (positions) that, with ``labels`` as known components, connect all linked sets.
@@ -189,12 +293,11 @@ def link_group(sets: list[np.ndarray], labels: np.ndarray, sim: Similarity) -> l
     Every linked pair of different components is found or made redundant by other links."""
     if len(sets) < 2:
         return []
-    order = sorted(range(len(sets)), key=lambda i: (int(math.log(sets[i].size) / 0.105), int(sets[i][0])))
+    order = tree_order(sets)
     tree = SignatureTree([sets[i] for i in order])
     label = labels[order].copy()
     sizes, bits, slack = tree.sizes, tree.bits, tree.slack
     found: list[tuple[int, int]] = []
-    share = sim.p / (sim.p + sim.q)  # of the two sizes' sum that a linked pair has in common
 
     def settled(a: tuple[int, int], b: tuple[int, int]) -> bool:
         one = label[a[0]]
@@ -226,18 +329,12 @@ def link_group(sets: list[np.ndarray], labels: np.ndarray, sim: Similarity) -> l
         a, b = tree.span(level, x), tree.span(level, y)
         if settled(a, b):
             continue
-        ors, least, most, slacks = tree.levels[level]
-        if x != y:
-            if sim.q * most[x] < sim.p * least[y] or sim.q * most[y] < sim.p * least[x]:
-                continue
-            overlap = int(np.bitwise_count(ors[x] & ors[y]).sum()) + min(slacks[x], slacks[y])
-            if overlap < share * (least[x] + least[y]) - 1e-6:
-                continue
+        if x != y and tree.apart(level, x, tree, level, y, sim):
+            continue
         if level == 0:
             leaves(a, b)
             continue
-        below = tree.levels[level - 1][1].size
-        kids = [range(n * FAN, min(below, (n + 1) * FAN)) for n in (x, y)]
+        kids = [tree.kids(level, n) for n in (x, y)]
         pairs = [(i, j) for i in kids[0] for j in kids[1] if x != y or i < j]
         stack += [(level - 1, i, j) for i, j in pairs]
         if x == y:  # own pairs come off the stack first: what is alike gets connected early
@@ -245,33 +342,39 @@ def link_group(sets: list[np.ndarray], labels: np.ndarray, sim: Similarity) -> l
     return found
 
 
-SET_SCHEMA = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_shingles", "set_hi", "set_lo")])
-POST_SCHEMA = pa.schema([("doc_id", pa.int64()), ("post", pa.int64()), ("tag", pa.int32()), ("need", pa.int32())])
+SET_SCHEMA = pa.schema([(c, pa.int64()) for c in ("row", "doc_id", "n_shingles", "set_hi", "set_lo")])
+POST_SCHEMA = pa.schema([("row", pa.int64()), ("post", pa.int64()), ("tag", pa.int32()), ("need", pa.int32())])
+SET = ["n_shingles", "set_hi", "set_lo"]
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hi, set_lo) per row: a set's size and two sums of its hashes."""
+def set_key(s: np.ndarray) -> tuple[int, int, int]:
+    """A set's size and two sums of its hashes."""
+    return s.size, int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ _ODD[3]).sum(dtype=np.uint64).view(np.int64))
+
+
+def shingle_sets(base: DataFrame, size: int) -> DataFrame:
+    """(row, doc_id, n_shingles, set_hi, set_lo) per row."""
 
     def rows(batch):
-        n, hi, lo = [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text, size)
-            n.append(s.size)
-            hi.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-            lo.append(int(mix(s ^ _ODD[3]).sum(dtype=np.uint64).view(np.int64)))
-        return record_batch(SET_SCHEMA, batch.column(0), n, hi, lo)
+        keys = [set_key(shingles(text, size)) for text in batch.column(2).to_pylist()]
+        return record_batch(SET_SCHEMA, batch.column(0), batch.column(1), *zip(*keys, strict=True))
 
-    return map_rows(docs.select("doc_id", utf8().alias("_b")), rows, "doc_id long, n_shingles long, set_hi long, set_lo long")
+    ddl = "row long, doc_id long, n_shingles long, set_hi long, set_lo long"
+    return map_rows(base.select("row", "doc_id", utf8().alias("_b")), rows, ddl)
 
 
-def posted(docs: DataFrame, size: int, sim: Similarity) -> DataFrame:
-    """(doc_id, post, tag, need), as many rows per document as its set posts parts."""
+def posted(base: DataFrame, size: int, sim: Similarity, hot: dict[tuple[int, int, int], int]) -> DataFrame:
+    """(row, post, tag, need), as many rows per document as its set posts parts.
+
+    hot: the node's row of each set that very many rows have; the others of its rows post nothing."""
 
     def rows(batch):
         keys, posts, tags, needs = [], [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             s = shingles(text, size)
-            for tag, need, mine in sim.posts(s) if s.size and key is not None else ():
+            if not s.size or hot and hot.get(set_key(s), key) != key:
+                continue
+            for tag, need, mine in sim.posts(s):
                 keys.append(np.full(mine.size, key, dtype=np.int64))
                 posts.append(mine.view(np.int64))
                 tags.append(np.full(mine.size, tag, dtype=np.int32))
@@ -279,7 +382,7 @@ def posted(docs: DataFrame, size: int, sim: Similarity) -> DataFrame:
         if keys:
             yield record_batch(POST_SCHEMA, *(np.concatenate(c) for c in (keys, posts, tags, needs)))
 
-    return map_rows(docs.select("doc_id", utf8().alias("_b")), rows, "doc_id long, post long, tag int, need int")
+    return map_rows(base.select("row", utf8().alias("_b")), rows, "row long, post long, tag int, need int")
 
 
 def _over_post(column: Column) -> Column:
@@ -300,9 +403,11 @@ def meeting_posts(posts: DataFrame, nodes: DataFrame) -> DataFrame:
     def shared(met: DataFrame) -> DataFrame:
         return met.withColumn("_n", _over_post(F.count(F.lit(1)))).where("_n > 1").drop("_n")
 
-    once = shared(posts).join(nodes.select("node").distinct(), F.col("doc_id") == F.col("node"))
+    once = shared(posts).join(nodes.select("node"), F.col("row") == F.col("node"))
     once = materialise(_enough(once.select("node", "post", "tag", "need")), "jaccard-met")
-    return materialise(_enough(shared(once)), "jaccard-met")
+    met = materialise(_enough(shared(once)), "jaccard-met")
+    discard(once)
+    return met
 
 
 def strong_stars(met: DataFrame) -> DataFrame:
@@ -316,12 +421,16 @@ def unsettled_stars(met: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges over posts where different components still meet often enough for a link."""
     met = met.join(roots.select("node", F.col("root").alias("_root")), "node", "left")
     met = met.withColumn("label", F.coalesce("_root", "node")).drop("_root")
+    rounds = []
     for k in range(2):
         mixed = _over_post(F.min("label")) != _over_post(F.max("label"))
         met = _enough(met.withColumn("_m", mixed).where("_m").drop("_m"))
         met = materialise(met, f"jaccard-unsettled-{k}")
+        rounds.append(met)
     met = met.withColumn("head", _over_post(F.min("node"))).where("node <> head")
-    return met.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    stars = materialise(met.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "jaccard-rest")
+    discard(*rounds)
+    return stars
 
 
 def _link_sorted(rows: DataFrame, sim: Similarity) -> DataFrame:
@@ -333,10 +442,7 @@ def _link_sorted(rows: DataFrame, sim: Similarity) -> DataFrame:
 
         def close():
             links = link_group(sets, np.array(labels, dtype=np.int64), sim)
-            same = {}  # rows that repeat a node are one
-            links = [(nodes[i], nodes[j]) for i, j in links]
-            links += [(n, same.setdefault(n, n)) for n in nodes if n in same]
-            return record_batch(schema, [a for a, _ in links], [b for _, b in links])
+            return record_batch(schema, [nodes[a] for a, _ in links], [nodes[b] for _, b in links])
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
@@ -356,84 +462,36 @@ def _link_sorted(rows: DataFrame, sim: Similarity) -> DataFrame:
     return placed.sortWithinPartitions("block", "chunk", "node").mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def candidate_blocks(posts: DataFrame, tag: str) -> DataFrame:
-    """(node, block) of the documents whose posts meet another's.
-
-    A document has a post for every part of its set, so a group of copies, however large,
-    spreads over as many keys; within a key the window passes over sorted rows and spills."""
-    met = posts.withColumn("head", F.min("doc_id").over(Window.partitionBy("post"))).where("doc_id <> head")
-    stars = met.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    found = components(stars, f"{tag}-blocks")
-    return found.select("node", F.col("root").alias("block"))
+def _cut(nodes: DataFrame, group: str, sim: Similarity, chunk: int) -> DataFrame:
+    """nodes (group, node, n_shingles, ...) with big, band and chunk: where a group is too large for one
+    task, its chunks go by size class and hash and hold about ``chunk`` shingles."""
+    whole = nodes.groupBy(group).agg(F.sum("n_shingles").alias("_all"))
+    large = whole.where(F.col("_all") > chunk).select(group, F.lit(True).alias("big"))
+    band = F.floor(F.log("n_shingles") / F.lit(math.log(sim.q / sim.p))).cast("int")
+    sized = nodes.withColumn("band", band).join(large, group, "left")
+    totals = sized.where("big").groupBy(group, "band").agg(F.ceil(F.sum("n_shingles") / F.lit(chunk)).cast("long").alias("cuts"))
+    name = F.concat_ws(":", "band", F.pmod(F.xxhash64("node"), "cuts"))
+    return sized.join(totals, [group, "band"], "left").withColumn("chunk", F.when(F.col("big"), name).otherwise("")).drop("cuts")
 
 
-def jaccard_components(
-    docs: DataFrame, size: int = 5, numerator: int = 4, denominator: int = 5, chunk: int = CHUNK_SHINGLES
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row: links at Jaccard >= numerator / denominator."""
-    sim = Similarity(numerator, denominator)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialise(shingle_sets(base, size), "jaccard-sets")
-    key = ["n_shingles", "set_hi", "set_lo"]
-    groups = materialise(
-        sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node")), "jaccard-groups"
-    )
-    nodes = groups.select("node", "n_shingles")
-    met = meeting_posts(posted(base, size, sim), nodes)
+def _near(chunks: DataFrame) -> DataFrame:
+    """chunks (.., band) once for each band that holds sets of compatible size."""
+    return chunks.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
 
-    def joined(stars: DataFrame, known: DataFrame | None) -> DataFrame:
-        blocks = components(stars, "jaccard-blocks").select("node", F.col("root").alias("block")).join(nodes, "node")
-        return link_blocks(base, materialise(blocks, "jaccard-blocks"), known, size, sim, chunk)
 
-    links = joined(strong_stars(met), None)
-    roots = components(links, "jaccard-roots")
-    rest = materialise(unsettled_stars(met, roots), "jaccard-rest")
-    if rest.limit(1).count():
-        links = links.unionByName(joined(rest, roots))
-        roots = components(links, "jaccard-roots")
-    roots = roots.withColumnRenamed("root", "component_id")
-    named = groups.join(roots, "node", "left").select(*key, F.coalesce("component_id", "node").alias("component_id"))
-    return sets.join(named, key, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
-
-
-def link_blocks(
-    base: DataFrame, blocks: DataFrame, known: DataFrame | None, size: int, sim: Similarity, chunk: int
-) -> DataFrame:
+def link_blocks(blocks: DataFrame, hashes: DataFrame, known: DataFrame | None, sim: Similarity, chunk: int) -> DataFrame:
     """Edges (a, b) that with the components in ``known`` connect all linked nodes of each block.
 
     blocks: (node, block, n_shingles)."""
-
-    def hashed(batch):
-        schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
-        return record_batch(schema, batch.column(0), [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()])
-
-    texts = base.join(blocks.select("node").distinct(), base["doc_id"] == F.col("node"))
-    hashes = map_rows(texts.select("node", utf8().alias("_b")), hashed, "node long, hashes binary")
-    hashes = hashes.where(F.length("hashes") > 0)
     if known is not None:
         blocks = blocks.join(known.withColumnRenamed("root", "label"), "node", "left")
         blocks = blocks.withColumn("label", F.coalesce("label", "node"))
     else:
         blocks = blocks.withColumn("label", F.col("node"))
-
-    # Where a block is too large for one task: chunks by size class and hash.
-    whole = blocks.groupBy("block").agg(F.sum("n_shingles").alias("_all"))
-    large = materialise(whole.where(F.col("_all") > chunk).select("block"), "jaccard-large")
-    if not large.limit(1).count():
-        rows = blocks.withColumn("chunk", F.lit("")).join(hashes, "node")
-        return materialise(_link_sorted(rows, sim), "jaccard-links")
-    band = F.floor(F.log("n_shingles") / F.lit(math.log(sim.q / sim.p))).cast("int")
-    sized = blocks.withColumn("band", band).join(large.withColumn("big", F.lit(True)), "block", "left")
-    totals = sized.where("big").groupBy("block", "band").agg(
-        F.ceil(F.sum("n_shingles") / F.lit(chunk)).cast("long").alias("cuts")
-    )
-    cut = F.concat_ws(":", "band", F.pmod(F.xxhash64("node"), "cuts"))
-    placed = sized.join(totals, ["block", "band"], "left").withColumn("chunk", F.when(F.col("big"), cut).otherwise(""))
-    placed = materialise(placed.drop("cuts"), "jaccard-chunks")
-    hashes = materialise(hashes, "jaccard-hashes")
+    placed = materialise(_cut(blocks, "block", sim, chunk), "jaccard-chunks")
     links = materialise(_link_sorted(placed.join(hashes, "node"), sim), "jaccard-links")
+    if not placed.where("big").limit(1).count():
+        return links
     before = links if known is None else links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return links.unionByName(_link_large(placed.where("big").drop("label"), hashes, before, sim))
 
@@ -460,16 +518,129 @@ def _link_large(placed: DataFrame, hashes: DataFrame, links: DataFrame, sim: Sim
     between = materialise(_link_sorted(pivots.join(hashes, "node"), sim), "jaccard-pivots")
 
     named = labelled(links.unionByName(between), "jaccard-between")
-    rest = named.join(largest(named, "block"), "block").where("label <> main")
-    chunks = placed.select("block", "chunk", "band").distinct()
-    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
-    guests = rest.select("node", "label", "block", F.col("chunk").alias("home"), near).join(chunks, ["block", "band"])
-    guests = guests.where("chunk <> home").select("block", "chunk", "node", "label")
-    # A chunk without guests has one component, the block's largest: nothing is left to compare.
-    busy = guests.select("block", "chunk").distinct()
-    members = named.join(busy, ["block", "chunk"]).select("block", "chunk", "node", "label")
-    last = _link_sorted(members.unionByName(guests).join(hashes, "node"), sim)
-    return between.unionByName(materialise(last, "jaccard-last"))
+    outside = named.join(largest(named, "block"), "block").where("label <> main")
+    # Chunks without outsiders have one component, the block's largest: two of them need no comparison.
+    homes = _near(outside.select("block", "band", F.col("chunk").alias("home")).distinct())
+    pairs = homes.join(named.select("block", "band", "chunk").distinct(), ["block", "band"]).where("home <> chunk")
+    pairs = pairs.select("block", F.least("home", "chunk").alias("x"), F.greatest("home", "chunk").alias("y")).distinct()
+    pairs = pairs.select("block", F.concat_ws("|", "x", "y").alias("pair"), F.explode(F.array("x", "y")).alias("chunk"))
+    members = named.join(pairs, ["block", "chunk"]).select("block", F.col("pair").alias("chunk"), "node", "label")
+    return between.unionByName(materialise(_link_sorted(members.join(hashes, "node"), sim), "jaccard-last"))
+
+
+COUNT_SCHEMA = pa.schema([("node", pa.int64()), ("links", pa.int64())])
+
+
+def link_numbers(members: DataFrame, hashes: DataFrame, sim: Similarity, chunk: int) -> DataFrame:
+    """(node, links): rows whose set is another one and linked, for the nodes of each component.
+
+    members: (root, node, n_shingles, copies)."""
+    placed = materialise(_cut(members, "root", sim, chunk), "jaccard-members")
+    small = placed.where("big IS NULL").select("root", F.lit("").alias("x"), F.lit("").alias("y"), F.lit(0).alias("side"), "node", "copies")
+    chunks = placed.where("big").select("root", "band", "chunk").distinct()
+    pairs = _near(chunks.withColumnRenamed("chunk", "x")).join(chunks.withColumnRenamed("chunk", "y"), ["root", "band"])
+    pairs = pairs.where("x <= y").select("root", "x", "y").distinct()
+    sides = F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))
+    pairs = pairs.select("root", "x", "y", F.posexplode(sides).alias("side", "chunk"))
+    large = placed.where("big").join(pairs, ["root", "chunk"]).select("root", "x", "y", "side", "node", "copies")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets, copies = None, ([], []), ([], []), ([], [])
+
+        def close():
+            if not sets[0]:
+                return
+            two = bool(sets[1])
+            other = np.array(copies[1], dtype=np.int64) if two else None
+            mine, its = count_links(sets[0], sets[1] if two else None, np.array(copies[0], dtype=np.int64), other, sim)
+            yield record_batch(COUNT_SCHEMA, nodes[0], mine)
+            if two:
+                yield record_batch(COUNT_SCHEMA, nodes[1], its)
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for root, x, y, side, node, weight, raw in zip(*columns, strict=True):
+                if (root, x, y) != key:
+                    yield from close()
+                    key, nodes, sets, copies = (root, x, y), ([], []), ([], []), ([], [])
+                nodes[side].append(node)
+                sets[side].append(np.frombuffer(raw, dtype=np.uint64))
+                copies[side].append(weight)
+        yield from close()
+
+    bound_arrow(members.sparkSession)
+    key = ["root", "x", "y"]
+    rows = small.unionByName(large).join(hashes, "node").select(*key, "side", "node", "copies", "hashes")
+    placed_rows = rows.repartition(*key).sortWithinPartitions(*key, "side", "node")
+    return placed_rows.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _judged(base: DataFrame, size: int, sim: Similarity, chunk: int, count: bool) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id, keep_row, n_links) per row of (row, doc_id, text).
+
+    n_links is null unless asked for."""
+    sets = materialise(shingle_sets(base, size), "jaccard-sets")
+    total = sets.count()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    groups = sets.where("n_shingles > 0").groupBy(*SET).agg(first, F.count(F.lit(1)).alias("copies"))
+    groups = materialise(groups.withColumn("node", F.col("first.row")), "jaccard-groups")
+    nodes = groups.select("node", "n_shingles")
+    hot = groups.where((F.col("copies") * HOT_SHARE >= total) & (F.col("copies") > 1)).collect()  # HOT_SHARE at most
+    met = meeting_posts(posted(base, size, sim, {(r.n_shingles, r.set_hi, r.set_lo): r.node for r in hot}), nodes)
+
+    def hashed(batch):
+        schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+        return record_batch(schema, batch.column(0), [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()])
+
+    texts = base.join(met.select(F.col("node").alias("row")).distinct(), "row")
+    hashes = materialise(map_rows(texts.select("row", utf8().alias("_b")), hashed, "node long, hashes binary"), "jaccard-hashes")
+
+    def joined(stars: DataFrame, known: DataFrame | None) -> DataFrame:
+        blocks = components(stars, "jaccard-blocks").select("node", F.col("root").alias("block")).join(nodes, "node")
+        return link_blocks(blocks, hashes, known, sim, chunk)
+
+    links = joined(strong_stars(met), None)
+    roots = components(links, "jaccard-roots")
+    rest = unsettled_stars(met, roots)
+    discard(met)
+    if rest.limit(1).count():
+        links = links.unionByName(joined(rest, roots))
+        roots = components(links, "jaccard-roots")
+    named = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("first").alias("_least"))
+    named = named.join(least, "root").select(
+        *SET, "node", "copies", F.col("_least.doc_id").alias("component_id"), F.col("_least.row").alias("keep_row")
+    )
+    if count:
+        members = roots.join(groups.select("node", "n_shingles", "copies"), "node")
+        numbers = materialise(link_numbers(members, hashes, sim, chunk), "jaccard-numbers")
+        named = named.join(numbers, "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    else:
+        named = named.withColumn("n_links", F.lit(None).cast("long"))
+    named = materialise(named.select(*SET, "copies", "component_id", "keep_row", "n_links"), "jaccard-named")
+    discard(hashes, roots, groups)
+    out = ["row", "doc_id", "n_shingles", "component_id", "keep_row", "n_links"]
+    none = sets.where("n_shingles = 0").select(
+        "row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("keep_row"),
+        F.lit(0 if count else None).cast("long").alias("n_links"),
+    )
+    return join_groups(sets.where("n_shingles > 0"), named, SET, "copies", total).select(*out).unionByName(none)
+
+
+def _source(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    keyed, key = row_keyed(docs)
+    return keyed, keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), key
+
+
+def jaccard_components(
+    docs: DataFrame, size: int = 5, numerator: int = 4, denominator: int = 5, chunk: int = CHUNK_SHINGLES
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) per row: links at Jaccard >= numerator / denominator.
+
+    n_links is the number of other rows linked with it, equal sets among them."""
+    _, base, _ = _source(docs)
+    judged = _judged(base, size, Similarity(numerator, denominator), chunk, count=True)
+    return judged.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,12 +648,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every component (five words, similarity 0.8) the least id stays.
-
-    Rows without a doc_id can be named in no link and all stay, near copies among them too."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi")
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Pipeline stage: of every component (five words, similarity 0.8) one row stays, that with the least
+    id, a row without one only where the component has no other. Link numbers are not asked for."""
+    keyed, base, key = _source(docs)
+    judged = _judged(base, 5, Similarity(4, 5), CHUNK_SHINGLES, count=False)
+    gone = materialise(judged.where("row <> keep_row").select(F.col("row").alias(key)), "jaccard-gone")
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 OP3_SQL = r"""
@@ -500,7 +671,8 @@ inter AS (
   SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)
 ), edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT a AS node, a AS seen FROM edge UNION SELECT r.node, e.b FROM reach r JOIN edge e ON e.a = r.seen),
-root AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root.component_id, w.doc_id) AS component_id
-FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root ON root.node = w.doc_id
+root AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+many AS (SELECT a, count(*) AS n_links FROM edge GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root.component_id, w.doc_id) AS component_id, coalesce(many.n_links, 0) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root ON root.node = w.doc_id LEFT JOIN many ON many.a = w.doc_id
 """
