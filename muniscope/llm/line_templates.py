@@ -1,19 +1,22 @@
 """Recurring line templates, found with a fixed-depth parse tree, in DataFrame functions only.
 
 Level one of the tree is a line's token count, the next DEPTH levels are its leading tokens;
-tokens with a digit are variable from the start. In a leaf, a position is constant if one token
-fills it in at least half of the leaf's lines, else it is generalised to a variable field. The
-leaf's template needs constants in half of its positions; lines that agree with all of them
-match it. A template whose matching lines stand in MIN_DOCS documents or more recurs, and
-its lines are dropped wherever they stand.
-
-All counts are over all documents and combine before they shuffle; repeated lines
-are counted once per distinct line with a weight, so a line that a third of the documents share is one
-row in every task. Decisions depend on a line's content alone.
-
-Defined results: null text counts as empty; lines of fewer than MIN_TOKENS tokens, empty ones
-too, stay; rows that repeat a doc_id count as one document and each keep their row; an
-empty table gives an empty result.
+tokens with a digit are variable from the start. A leaf holds any number of templates: a token
+that recurs at its position of the leaf stays constant, each other one is generalised to a variable
+field, and lines that are equal after this have one template. At most a third of the tokens
+beyond the leading ones may be generalised, so lines of up to six tokens must agree in full.
+A template recurs, and its lines are dropped wherever they stand, if it stands in as many documents
+as SUPPORT asks of its length: two for a line of fifty tokens or more, which no two
+documents have by chance, and twenty for one of up to three. A copy of a whole document recurs
+like any other text: copies are to be dropped as documents first.
+
+All counts are over all documents and combine before they shuffle. A line that a third of the
+documents share is one row of the leaf's lines; where rows per document meet it, it is
+broadcast. Support does not depend on the other lines of a leaf, so a line that recurs
+in a corpus recurs in every larger one. Lines are told apart by 128 bits of hash.
+
+Defined results: null text counts as empty; empty and blank lines stay; every row counts as a document,
+whether its doc_id is null, repeated or its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, join_groups, materialise, row_keyed, table
 
 DEPTH = 3
-MIN_TOKENS = 4
-MIN_DOCS = 10
+#: (tokens from which it holds, documents in which a template of that length must stand)
+SUPPORT = ((50, 2), (20, 4), (4, 10), (1, 20))
 VARIABLE = "<*>"
 _SPACE = r"[ \t\r\f\x0B]+"
+LINE = ["h", "g"]
 
 
 def _flat(line: Column) -> Column:
@@ -53,64 +57,94 @@ def _count(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _leaves(docs: DataFrame, *extra: str) -> DataFrame:
-    """(doc_id, leaf, ...) per line of MIN_TOKENS tokens or more; extra: h, a hash of the line, or line."""
+def _support(n: str = "n") -> Column:
+    chosen = F.when(F.col(n) >= SUPPORT[0][0], SUPPORT[0][1])
+    for least, docs in SUPPORT[1:]:
+        chosen = chosen.when(F.col(n) >= least, docs)
+    return chosen
+
+
+def _hashes(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit("g"), line).alias("g")]
+
+
+def _lines(source: DataFrame, *extra: str) -> DataFrame:
+    """(row, n, leaf, h, g, ...) per line that is not blank; extra: line."""
 
     def entry(line: Column) -> Column:
-        made = {"h": F.xxhash64(line), "line": line}
-        return F.struct(_count(line).alias("n"), F.substring_index(line, " ", DEPTH).alias("head"), *(made[x].alias(x) for x in extra))
-
-    lines = F.filter(F.transform(masked_lines(F.col("text")), entry), lambda e: e.n >= MIN_TOKENS)
-    split = docs.select("doc_id", F.inline(lines))
-    return split.select("doc_id", F.xxhash64("n", "head").alias("leaf"), *extra)
-
-
-def recurring_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, drops): for documents with lines to drop, the hashes of these lines."""
-    seen = _leaves(docs, "h").groupBy("doc_id", "leaf", "h").agg(F.count(F.lit(1)).alias("n"))
-    seen = materialise(seen, "template-seen")
-    by_doc = seen.groupBy("leaf", "doc_id").agg(F.sum("n").alias("n"))
-    leaves = by_doc.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("leaf_lines"))
-    leaves = materialise(leaves.where(F.col("docs") >= MIN_DOCS).select("leaf", "leaf_lines"), "template-leaves")
-
-    # The distinct lines of leaves that recur at all.
-    kept = _leaves(docs, "line").join(leaves.select("leaf"), "leaf")
-    distinct = materialise(kept.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")), "template-lines")
-    tokens = distinct.select("leaf", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    counts = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
-    top = counts.groupBy("leaf", "pos").agg(F.min(F.struct((-F.col("n")).alias("less"), "token")).alias("top"))
-    fixed = (
-        top.join(leaves, "leaf")
-        .where((-2 * F.col("top.less") >= F.col("leaf_lines")) & (F.col("top.token") != VARIABLE))
-        .groupBy("leaf")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", F.col("top.token").alias("token")))).alias("fixed"))
+        more = [line.alias(x) for x in extra]
+        return F.struct(_count(line).alias("n"), F.substring_index(line, " ", DEPTH).alias("head"), *_hashes(line), *more)
+
+    found = F.filter(F.transform(F.filter(masked_lines(F.col("text")), lambda x: x != ""), entry), lambda e: e.n > 0)
+    split = source.select("row", F.inline(found))
+    return split.select("row", "n", F.xxhash64("n", "head").alias("leaf"), *LINE, *extra)
+
+
+def _templates(kept: DataFrame) -> DataFrame:
+    """(h, g, p, q, w, n): the template (p, q) of each line that may generalise no more than its length allows.
+
+    kept: (n, leaf, h, g, w, line), a row for every distinct line with its documents w."""
+    tokens = kept.select(
+        "n", "leaf", *LINE, "w", F.posexplode(F.split("line", " ")).alias("pos", "token")
+    ).where((F.col("pos") >= DEPTH) & (F.col("token") != VARIABLE))
+    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("w").alias("_w"), F.first("n").alias("n"))
+    constant = constant.where(F.col("_w") >= _support()).select("leaf", "pos", "token")
+    marks = [F.xxhash64("pos", "token"), F.xxhash64("token", "pos")]
+    fixed = tokens.join(constant, ["leaf", "pos", "token"]).groupBy(*LINE).agg(
+        F.count(F.lit(1)).alias("constants"), *(F.bit_xor(m).alias(x) for m, x in zip(marks, "pq"))
+    )
+    later = F.filter(F.split("line", " "), lambda t, i: (i >= DEPTH) & (t != VARIABLE))
+    named = kept.select("n", "leaf", *LINE, "w", F.size(later).alias("later")).join(fixed, LINE, "left")
+    loose = F.col("later") - F.coalesce("constants", F.lit(0))
+    # The leaf and the fields known from the start belong to the template: masks are equal where constants
+    # and leaf are, but for variable fields of both kinds, which may stand in for each other.
+    return named.where(3 * loose <= F.greatest(F.col("n") - DEPTH - 1, F.lit(0))).select(
+        *LINE, "w", "n", "leaf", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q")
     )
-    parts = F.split("line", " ")
-    agrees = F.forall("fixed", lambda f: F.get(parts, f.pos) == f.token)
-    matching = distinct.join(fixed, "leaf").where((2 * F.size("fixed") >= F.size(parts)) & agrees)
-    matching = materialise(matching.select("leaf", F.xxhash64("line").alias("h")), "template-matching")
 
-    met = seen.select("doc_id", "h").join(matching, "h")
-    spread = met.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
-    good = spread.where(F.col("docs") >= MIN_DOCS).select("leaf")
-    drops = materialise(matching.join(good, "leaf").select("h").distinct(), "template-drops")
-    return seen.join(drops, "h").groupBy("doc_id").agg(F.collect_set("h").alias("drops"))
+
+def recurring_lines(source: DataFrame) -> DataFrame:
+    """(row, drops): for rows of (row, text) with lines to drop, the hashes of these lines."""
+    seen = materialise(_lines(source).distinct(), "template-seen")
+    total = seen.count()
+    spread = seen.groupBy("n", "leaf", *LINE).agg(F.count(F.lit(1)).alias("w"))
+    spread = materialise(spread, "template-spread")
+    leaves = spread.groupBy("leaf").agg(F.sum("w").alias("_w"), F.first("n").alias("n"))
+    leaves = leaves.where(F.col("_w") >= _support()).select("leaf")
+    recurring = materialise(spread.join(leaves, "leaf"), "template-leaves")
+    # A line's text once, however many documents share it, and only then the join.
+    texts = _lines(source, "line").select(*LINE, "line").distinct()
+    kept = materialise(recurring.join(texts, LINE), "template-lines")
+    made = materialise(_templates(kept), "template-made")
+    discard(spread, recurring, kept)
+
+    # A line with support of its own needs no count of its template's documents; all others are in few.
+    name = ["leaf", "p", "q"]
+    alone = made.where(F.col("w") >= _support()).select(*name).distinct()
+    others = made.join(alone, name, "left_anti")
+    met = seen.select("row", *LINE).join(others.where(F.col("w") < _support()), LINE)
+    enough = met.select("row", "n", *name).distinct().groupBy("n", *name).agg(F.count(F.lit(1)).alias("docs"))
+    good = alone.unionByName(enough.where(F.col("docs") >= _support()).select(*name))
+    drops = materialise(made.join(good, name).select(*LINE, "w"), "template-drops")
+    found = join_groups(seen.select("row", *LINE), drops, LINE, "w", total)
+    return found.groupBy("row").agg(F.collect_set(F.struct(*LINE)).alias("drops"))
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) per row, text without the lines that recur."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    drops = recurring_lines(source)
+    keyed, key = row_keyed(docs)
+    source = keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    drops = materialise(recurring_lines(source.select("row", "text")), "template-rows")
     # Steps pass structs on, so that no lambda refers to a derived column: such a column would be
     # inlined and evaluated again for every line.
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("raw"), _flat(x).alias("flat")))
-    hashed = F.transform(lines, lambda s: F.struct(s.raw.alias("raw"), F.xxhash64(_mask(s.flat)).alias("h")))
-    stay = F.filter(hashed, lambda s: ~F.array_contains("drops", s.h))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("raw"), _mask(_flat(x)).alias("line")))
+    hashed = F.transform(lines, lambda s: F.struct(s.raw.alias("raw"), F.struct(*_hashes(s.line)).alias("k")))
+    stay = F.filter(hashed, lambda s: ~F.array_contains("drops", s.k))
     rebuilt = F.transform(
         F.array(stay), lambda k: F.struct(F.array_join(F.transform(k, lambda s: s.raw), "\n").alias("text"), F.size(k).alias("n"))
     )
     has_any = F.col("drops").isNotNull()
-    joined = source.join(drops, "doc_id", "left").withColumn("_new", F.when(has_any, F.get(rebuilt, F.lit(0))))
+    joined = source.join(drops, "row", "left").withColumn("_new", F.when(has_any, F.get(rebuilt, F.lit(0))))
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return joined.select(
         "doc_id",
@@ -131,6 +165,7 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_NEEDED = "CASE " + " ".join(f"WHEN n >= {least} THEN {docs}" for least, docs in SUPPORT) + " END"
 OP4_SQL = rf"""
 WITH raw AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
@@ -139,25 +174,23 @@ WITH raw AS (
   SELECT doc_id, no, raw,
     regexp_replace(regexp_replace(raw, '[ \t\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g') AS flat FROM raw
 ), line AS (
-  SELECT doc_id, no, raw, string_split(regexp_replace(flat, '[^ 0-9]*[0-9][^ ]*', '{VARIABLE}', 'g'), ' ') AS t FROM flat
+  SELECT doc_id, no, regexp_replace(flat, '[^ 0-9]*[0-9][^ ]*', '{VARIABLE}', 'g') AS line FROM flat WHERE flat <> ''
 ), l AS (
-  SELECT *, len(t) || chr(31) || array_to_string(t[1:{DEPTH}], chr(31)) AS leaf FROM line WHERE len(t) >= {MIN_TOKENS}
-), leaves AS (
-  SELECT leaf, count(*) AS leaf_lines FROM l GROUP BY leaf HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
-), k AS (SELECT l.*, leaf_lines FROM l JOIN leaves USING (leaf)
+  SELECT *, string_split(line, ' ') AS t, len(string_split(line, ' ')) AS n FROM line
+), w AS (
+  SELECT line, t, n, n || chr(31) || array_to_string(t[1:{DEPTH}], chr(31)) AS leaf, count(DISTINCT doc_id) AS w FROM l GROUP BY ALL
 ), tok AS (
-  SELECT leaf, leaf_lines, pos, t[pos] AS token, count(*) AS n
-  FROM k, unnest(range(1, len(t) + 1)) AS r(pos) GROUP BY ALL
-), top AS (
-  SELECT leaf, pos, any_value(leaf_lines) AS leaf_lines, first(token ORDER BY n DESC, token) AS token, max(n) AS n FROM tok GROUP BY leaf, pos
+  SELECT leaf, n, line, w, pos, t[pos] AS token FROM w, unnest(range({DEPTH + 1}, n + 1)) AS r(pos) WHERE t[pos] <> '{VARIABLE}'
+), const AS (
+  SELECT leaf, pos, token FROM tok GROUP BY leaf, n, pos, token HAVING sum(w) >= {_NEEDED}
 ), fixed AS (
-  SELECT leaf, list(pos ORDER BY pos) AS poss, list(token ORDER BY pos) AS tokens
-  FROM top WHERE 2 * n >= leaf_lines AND token <> '{VARIABLE}' GROUP BY leaf
-), matching AS (
-  SELECT doc_id, no, leaf FROM k JOIN fixed USING (leaf)
-  WHERE 2 * len(poss) >= len(t) AND list_transform(poss, lambda p: t[p]) = tokens
-), good AS (SELECT leaf FROM matching GROUP BY leaf HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-gone AS (SELECT doc_id, no FROM matching JOIN good USING (leaf)),
+  SELECT line, list(tok.token ORDER BY pos) AS tokens, list(pos ORDER BY pos) AS poss FROM tok JOIN const USING (leaf, pos, token) GROUP BY line
+), made AS (
+  SELECT line, leaf, n, coalesce(tokens, []) AS tokens, coalesce(poss, []) AS poss FROM w LEFT JOIN fixed USING (line)
+  WHERE 3 * (len(list_filter(t[{DEPTH + 1}:], lambda x: x <> '{VARIABLE}')) - coalesce(len(poss), 0)) <= greatest(n - {DEPTH + 1}, 0)
+), good AS (
+  SELECT leaf, tokens, poss FROM made JOIN l USING (line, n) GROUP BY leaf, n, tokens, poss HAVING count(DISTINCT doc_id) >= {_NEEDED}
+), gone AS (SELECT doc_id, no FROM l JOIN made USING (line) JOIN good USING (leaf, tokens, poss)),
 out AS (
   SELECT raw.doc_id, count(*) AS n_lines, count(gone.no) AS n_dropped,
     coalesce(string_agg(CASE WHEN gone.no IS NULL THEN raw.raw END, chr(10) ORDER BY raw.no), '') AS text
