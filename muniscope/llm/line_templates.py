@@ -81,25 +81,30 @@ def _lines(source: DataFrame, *extra: str) -> DataFrame:
 
 
 def _templates(kept: DataFrame) -> DataFrame:
-    """(h, g, p, q, w, n): the template (p, q) of each line that may generalise no more than its length allows.
-
-    kept: (n, leaf, h, g, w, line), a row for every distinct line with its documents w."""
-    tokens = kept.select(
-        "n", "leaf", *LINE, "w", F.posexplode(F.split("line", " ")).alias("pos", "token")
-    ).where((F.col("pos") >= DEPTH) & (F.col("token") != VARIABLE))
-    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("w").alias("_w"), F.first("n").alias("n"))
-    constant = constant.where(F.col("_w") >= _support()).select("leaf", "pos", "token")
-    marks = [F.xxhash64("pos", "token"), F.xxhash64("token", "pos")]
-    fixed = tokens.join(constant, ["leaf", "pos", "token"]).groupBy(*LINE).agg(
-        F.count(F.lit(1)).alias("constants"), *(F.bit_xor(m).alias(x) for m, x in zip(marks, "pq"))
+    """(leaf, h, g, w, n, p, q): the template (leaf, p, q) of each line that may generalise no more than its length allows.
+
+    kept: (n, leaf, h, g, w, line), a row for every distinct line of a leaf with its documents w."""
+    tokens = kept.select("n", "leaf", *LINE, "w", F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    tokens = tokens.where((F.col("pos") >= DEPTH) & (F.col("token") != VARIABLE))
+    tokens = tokens.select("n", "leaf", *LINE, "w", F.xxhash64("pos", "token").alias("t"), F.xxhash64("token", "pos").alias("u"))
+    constant = tokens.groupBy("leaf", "t", "u").agg(F.sum("w").alias("_w"), F.first("n").alias("n"))
+    constant = constant.where(F.col("_w") >= _support()).select("leaf", "t", "u")
+    fixed = tokens.where(F.col("w") < _support()).join(constant, ["leaf", "t", "u"]).groupBy(*LINE).agg(
+        F.count(F.lit(1)).alias("constants"), F.bit_xor("t").alias("p"), F.bit_xor("u").alias("q")
     )
+    # All tokens of a line with support of its own are constant.
+    every = tokens.where(F.col("w") >= _support()).groupBy(*LINE).agg(F.bit_xor("t").alias("p"), F.bit_xor("u").alias("q"))
+    sure = kept.where(F.col("w") >= _support()).join(every, LINE, "left").withColumn("loose", F.lit(0))
     later = F.filter(F.split("line", " "), lambda t, i: (i >= DEPTH) & (t != VARIABLE))
-    named = kept.select("n", "leaf", *LINE, "w", F.size(later).alias("later")).join(fixed, LINE, "left")
-    loose = F.col("later") - F.coalesce("constants", F.lit(0))
-    # The leaf and the fields known from the start belong to the template: masks are equal where constants
-    # and leaf are, but for variable fields of both kinds, which may stand in for each other.
+    weak = kept.where(F.col("w") < _support()).withColumn("later", F.size(later)).join(fixed, LINE, "left")
+    columns = ["n", "leaf", *LINE, "w", "p", "q", "loose"]
+    weak = weak.withColumn("loose", F.col("later") - F.coalesce("constants", F.lit(0)))
+    named = sure.select(*columns).unionByName(weak.select(*columns))
+    loose = F.col("loose")
+    # Masks are equal where constants and leaf are, but for variable fields of both kinds, which may
+    # stand in for each other.
     return named.where(3 * loose <= F.greatest(F.col("n") - DEPTH - 1, F.lit(0))).select(
-        *LINE, "w", "n", "leaf", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q")
+        "leaf", *LINE, "w", "n", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q")
     )
 
 
@@ -107,25 +112,28 @@ def recurring_lines(source: DataFrame) -> DataFrame:
     """(row, drops): for rows of (row, text) with lines to drop, the hashes of these lines."""
     seen = materialise(_lines(source).distinct(), "template-seen")
     total = seen.count()
-    spread = seen.groupBy("n", "leaf", *LINE).agg(F.count(F.lit(1)).alias("w"))
-    spread = materialise(spread, "template-spread")
-    leaves = spread.groupBy("leaf").agg(F.sum("w").alias("_w"), F.first("n").alias("n"))
-    leaves = leaves.where(F.col("_w") >= _support()).select("leaf")
-    recurring = materialise(spread.join(leaves, "leaf"), "template-leaves")
+    spread = materialise(seen.groupBy("n", "leaf", *LINE).agg(F.count(F.lit(1)).alias("w")), "template-spread")
+    # A line with support of its own goes; only lines of its leaf without it need more than counts.
+    sure, weak = F.col("w") >= _support(), F.col("w") < _support()
+    leaves = spread.groupBy("leaf").agg(F.sum("w").alias("_w"), F.first("n").alias("n"), F.count_if(weak).alias("_weak"))
+    # Written first, so that their size is known before lines of all leaves would be shuffled to meet them.
+    leaves = materialise(leaves.where((F.col("_w") >= _support()) & (F.col("_weak") > 0)).select("leaf"), "template-leaves")
+    open_lines = materialise(spread.join(leaves, "leaf"), "template-open")
     # A line's text once, however many documents share it, and only then the join.
-    texts = _lines(source, "line").select(*LINE, "line").distinct()
-    kept = materialise(recurring.join(texts, LINE), "template-lines")
+    texts = _lines(source, "line").join(leaves, "leaf", "left_semi").select(*LINE, "line").distinct()
+    kept = materialise(open_lines.join(texts, LINE), "template-lines")
     made = materialise(_templates(kept), "template-made")
-    discard(spread, recurring, kept)
+    discard(leaves, open_lines, kept)
 
-    # A line with support of its own needs no count of its template's documents; all others are in few.
     name = ["leaf", "p", "q"]
-    alone = made.where(F.col("w") >= _support()).select(*name).distinct()
-    others = made.join(alone, name, "left_anti")
-    met = seen.select("row", *LINE).join(others.where(F.col("w") < _support()), LINE)
+    alone = made.where(sure).select(*name).distinct()
+    others = made.where(weak).join(alone, name, "left_anti")
+    met = seen.select("row", *LINE).join(others, LINE)  # each of these lines is in few documents
     enough = met.select("row", "n", *name).distinct().groupBy("n", *name).agg(F.count(F.lit(1)).alias("docs"))
     good = alone.unionByName(enough.where(F.col("docs") >= _support()).select(*name))
-    drops = materialise(made.join(good, name).select(*LINE, "w"), "template-drops")
+    drops = spread.where(sure).select(*LINE, "w").unionByName(made.where(weak).join(good, name).select(*LINE, "w"))
+    drops = materialise(drops, "template-drops")
+    discard(spread, made)
     found = join_groups(seen.select("row", *LINE), drops, LINE, "w", total)
     return found.groupBy("row").agg(F.collect_set(F.struct(*LINE)).alias("drops"))
 
