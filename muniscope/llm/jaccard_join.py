@@ -433,8 +433,10 @@ def unsettled_stars(met: DataFrame, roots: DataFrame) -> DataFrame:
     return stars
 
 
-def _link_sorted(rows: DataFrame, sim: Similarity) -> DataFrame:
-    """Edges (a, b) from rows (block, chunk, node, label, hashes), a group being one (block, chunk)."""
+def _link_sorted(members: DataFrame, hashes: DataFrame, sim: Similarity) -> DataFrame:
+    """Edges (a, b) from rows (block, chunk, node, label), a group being one (block, chunk).
+
+    members: read from files, so that their size is known before all hashes would be shuffled to meet them."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,7 +459,8 @@ def _link_sorted(rows: DataFrame, sim: Similarity) -> DataFrame:
         if len(nodes) > 1:
             yield close()
 
-    bound_arrow(rows.sparkSession)
+    bound_arrow(members.sparkSession)
+    rows = members.select("block", "chunk", "node", "label").join(hashes, "node")
     placed = rows.select("block", "chunk", "node", "label", "hashes").repartition("block", "chunk")
     return placed.sortWithinPartitions("block", "chunk", "node").mapInArrow(run, "a long, b long").where("a <> b")
 
@@ -489,7 +492,7 @@ def link_blocks(blocks: DataFrame, hashes: DataFrame, known: DataFrame | None, s
     else:
         blocks = blocks.withColumn("label", F.col("node"))
     placed = materialise(_cut(blocks, "block", sim, chunk), "jaccard-chunks")
-    links = materialise(_link_sorted(placed.join(hashes, "node"), sim), "jaccard-links")
+    links = materialise(_link_sorted(placed, hashes, sim), "jaccard-links")
     if not placed.where("big").limit(1).count():
         return links
     before = links if known is None else links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -515,7 +518,7 @@ def _link_large(placed: DataFrame, hashes: DataFrame, links: DataFrame, sim: Sim
     pivots = pivots.select("node").join(named, "node").withColumn(
         "chunk", F.concat(F.lit("pivots:"), F.pmod(F.xxhash64("chunk"), F.lit(64)).cast("string"))
     )
-    between = materialise(_link_sorted(pivots.join(hashes, "node"), sim), "jaccard-pivots")
+    between = materialise(_link_sorted(materialise(pivots, "jaccard-pivots"), hashes, sim), "jaccard-between")
 
     named = labelled(links.unionByName(between), "jaccard-between")
     outside = named.join(largest(named, "block"), "block").where("label <> main")
@@ -525,7 +528,7 @@ def _link_large(placed: DataFrame, hashes: DataFrame, links: DataFrame, sim: Sim
     pairs = pairs.select("block", F.least("home", "chunk").alias("x"), F.greatest("home", "chunk").alias("y")).distinct()
     pairs = pairs.select("block", F.concat_ws("|", "x", "y").alias("pair"), F.explode(F.array("x", "y")).alias("chunk"))
     members = named.join(pairs, ["block", "chunk"]).select("block", F.col("pair").alias("chunk"), "node", "label")
-    return between.unionByName(materialise(_link_sorted(members.join(hashes, "node"), sim), "jaccard-last"))
+    return between.unionByName(materialise(_link_sorted(materialise(members, "jaccard-guests"), hashes, sim), "jaccard-last"))
 
 
 COUNT_SCHEMA = pa.schema([("node", pa.int64()), ("links", pa.int64())])
@@ -570,7 +573,8 @@ def link_numbers(members: DataFrame, hashes: DataFrame, sim: Similarity, chunk:
 
     bound_arrow(members.sparkSession)
     key = ["root", "x", "y"]
-    rows = small.unionByName(large).join(hashes, "node").select(*key, "side", "node", "copies", "hashes")
+    both = materialise(small.unionByName(large), "jaccard-sides")
+    rows = both.join(hashes, "node").select(*key, "side", "node", "copies", "hashes")
     placed_rows = rows.repartition(*key).sortWithinPartitions(*key, "side", "node")
     return placed_rows.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
@@ -592,7 +596,9 @@ def _judged(base: DataFrame, size: int, sim: Similarity, chunk: int, count: bool
         schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
         return record_batch(schema, batch.column(0), [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()])
 
-    texts = base.join(met.select(F.col("node").alias("row")).distinct(), "row")
+    # Written first, so that its size is known before the texts would be shuffled to meet it.
+    meets = materialise(met.select(F.col("node").alias("row")).distinct(), "jaccard-meets")
+    texts = base.join(meets, "row")
     hashes = materialise(map_rows(texts.select("row", utf8().alias("_b")), hashed, "node long, hashes binary"), "jaccard-hashes")
 
     def joined(stars: DataFrame, known: DataFrame | None) -> DataFrame:
