@@ -12,32 +12,34 @@ Words outside the phrases' vocabulary, and the ends of documents, are separators
 match nothing and differ from one another, so no occurrence crosses a document and the
 doubling ends early.
 
-The phrases are a stated query set: items are dealt into blocks by a hash of their id so
-that a block's texts stay below BLOCK_BYTES on average, and only one block is on the
-driver or broadcast at a time; every block is searched against all documents.
+The phrases are a stated query set, read item by item in blocks of at most BLOCK_BYTES of text (or
+one item). A block is sent to the workers, which build its windows, searched against all
+documents, its hits are written, and it is destroyed before the next one is read; what
+several blocks found in a row is united by the row's key.
 
 Defined results: null and empty texts have no words and no hits; an item without words
-has no window; an item shorter than 13 words is one window; repeated documents each get
-their row; repeated item ids count once in a list; empty tables give empty results or
-documents without hits.
+has no window; an item shorter than 13 words is one window; every row is judged by its own
+text, whether its doc_id is null, repeated or its own; repeated item ids count once in a list, a null
+one as the empty string; empty tables give empty results or documents without hits.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, materialise, record_batch, table, utf8
+from .common import bound_arrow, discard, materialise, record_batch, row_keyed, table, utf8
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
 SAMPLE = 8
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _KEEP = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(0x80, 0x100))
 WORD_TABLE = bytes(
@@ -54,21 +56,27 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[at : at + window]), set()).add(item)
-        names = sorted({x for s in found.values() for x in s})
-        number = {x: i for i, x in enumerate(names)}
-        self.items = names  # sorted as strings
-        self.lengths = np.array([len(p) for p in found], dtype=np.int64)
-        self.symbols = np.zeros((len(found), window), dtype=np.int64)
-        for i, p in enumerate(found):
-            self.symbols[i, window - len(p) :] = p
-        owners = [sorted(number[x] for x in s) for s in found.values()]
-        self.first = np.cumsum([0] + [len(o) for o in owners])
-        self.owners = np.array([x for o in owners for x in o], dtype=np.int64)
+        self.items = sorted({name for name, _ in items})  # sorted as strings
+        number = {x: i for i, x in enumerate(self.items)}
+        rows, lengths, owners = [], [], []
+        for name, text in items:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], dtype=np.int32)
+            if not ids.size:
+                continue
+            if ids.size >= window:
+                mine = np.lib.stride_tricks.sliding_window_view(ids, window)
+            else:
+                mine = np.concatenate([np.zeros(window - ids.size, dtype=np.int32), ids])[None, :]
+            rows.append(mine)
+            lengths.append(np.full(len(mine), min(window, ids.size), dtype=np.int64))
+            owners.append(np.full(len(mine), number[name], dtype=np.int64))
+        every = np.concatenate(rows) if rows else np.zeros((0, window), dtype=np.int32)
+        # Right-aligned rows of symbols above zero: equal rows have equal lengths.
+        self.symbols, first, which = np.unique(every, axis=0, return_index=True, return_inverse=True)
+        self.lengths = np.concatenate(lengths)[first] if rows else np.zeros(0, dtype=np.int64)
+        pairs = np.unique(np.stack([which.reshape(-1), np.concatenate(owners)]), axis=1) if rows else np.zeros((2, 0), dtype=np.int64)
+        self.first = np.searchsorted(pairs[0], np.arange(len(self.symbols) + 1))
+        self.owners = pairs[1]
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,24 +226,16 @@ def search_shard(texts: list[list[int]], phrases: Phrases) -> list[tuple[np.ndar
 
 
 SCHEMA = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("n_words", pa.int64()),
-        ("n_hit", pa.int64()),
-        ("items", pa.list_(pa.string())),
-        ("word_begins", pa.list_(pa.int64())),
-        ("word_ends", pa.list_(pa.int64())),
-        ("byte_begins", pa.list_(pa.int64())),
-        ("byte_ends", pa.list_(pa.int64())),
-    ]
+    [("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))]
+    + [(c, pa.list_(pa.int64())) for c in ("word_begins", "word_ends", "byte_begins", "byte_ends")]
 )
 DDL = (
-    "doc_id long, n_words long, n_hit long, items array<string>, word_begins array<long>, word_ends array<long>, "
+    "row long, n_words long, n_hit long, items array<string>, word_begins array<long>, word_ends array<long>, "
     "byte_begins array<long>, byte_ends array<long>"
 )
 
 
-def _rows(keys: list, raw: list[bytes | None], texts: list[list[int]], phrases: Phrases) -> pa.RecordBatch:
+def _rows(keys: list, raw: list[bytes], texts: list[np.ndarray], phrases: Phrases, all_rows: bool) -> pa.RecordBatch:
     out = []
     for key, text, symbols, (hit, items) in zip(keys, raw, texts, search_shard(texts, phrases), strict=True):
         begins, ends = merge_spans(hit)
@@ -244,19 +244,46 @@ def _rows(keys: list, raw: list[bytes | None], texts: list[list[int]], phrases:
             spans = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(WORD_TABLE))]
             byte_begins = [spans[b][0] for b in begins]
             byte_ends = [spans[e - 1][1] for e in ends]
+        elif not all_rows:
+            continue
         names = [phrases.items[i] for i in sorted(items)]
         out.append((key, len(symbols), int(hit.sum()), names, begins, ends, byte_begins, byte_ends))
-    return record_batch(SCHEMA, *zip(*out, strict=True))
+    return record_batch(SCHEMA, *zip(*out, strict=True)) if out else record_batch(SCHEMA, *[[]] * len(SCHEMA))
 
 
-def _search_block(docs: DataFrame, phrases: Phrases) -> DataFrame:
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(phrases)
+_built: list[tuple[bytes, Phrases]] = []  # the block this worker has windows of
+
+
+def _phrases(items: list[tuple[str, bytes]], mark: bytes) -> Phrases:
+    if not _built or _built[0][0] != mark:
+        _built[:] = [(mark, Phrases(items))]
+    return _built[0][1]
+
+
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks of at most BLOCK_BYTES of text, or of one item; at least one block."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), utf8().alias("_b"))
+    held, size, count = [], 0, 0
+    for name, text in items.toLocalIterator():
+        if held and size + len(text) > BLOCK_BYTES:
+            yield held
+            held, size, count = [], 0, count + 1
+        held.append((name, bytes(text)))
+        size += len(text)
+    if held or not count:
+        yield held
+
+
+def _search_block(source: DataFrame, items: list[tuple[str, bytes]], all_rows: bool, k: int) -> DataFrame:
+    """What one block finds in (row, _b), written to the shared folder."""
+    spark = source.sparkSession
+    mark = uuid.uuid4().bytes
+    sent = spark.sparkContext.broadcast(items)  # BLOCK_BYTES of text at most, or one item
 
     def run(batches):
-        from muniscope.llm.decontam import SHARD_WORDS, _rows, words_of
+        from muniscope.llm.decontam import SHARD_WORDS, _phrases, _rows, words_of
 
-        known = sent.value
+        known = _phrases(sent.value, mark)
         get = known.vocabulary.get
         keys, raw, texts, held = [], [], [], 0
         for batch in batches:
@@ -267,41 +294,41 @@ def _search_block(docs: DataFrame, phrases: Phrases) -> DataFrame:
                 texts.append(np.array(symbols, dtype=np.int32))
                 held += len(symbols) + 1
                 if held >= SHARD_WORDS:
-                    yield _rows(keys, raw, texts, known)
+                    yield _rows(keys, raw, texts, known, all_rows)
                     keys, raw, texts, held = [], [], [], 0
         if keys:
-            yield _rows(keys, raw, texts, known)
+            yield _rows(keys, raw, texts, known, all_rows)
 
     bound_arrow(spark)
-    return docs.mapInArrow(run, DDL)
+    found = materialise(source.mapInArrow(run, DDL), f"decontam-{k}")
+    sent.destroy()
+    return found
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: n_words, n_hit, the items found and the merged spans to remove."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("_b"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), utf8().alias("_b"))
-    total = items.agg(F.sum(F.length("_b"))).first()[0] or 0
-    blocks = int(total // BLOCK_BYTES) + 1
-    if blocks > 1:  # ids may repeat or be null: rows of several blocks meet by a number, written once
-        source = materialise(source.withColumn("_row", F.monotonically_increasing_id()), "decontam-rows")
-    searched = source.select("_row", "_b") if blocks > 1 else source
-    parts = []
-    for k in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = [(r[0] or "", bytes(r[1])) for r in mine.collect()]
-        parts.append(_search_block(searched, Phrases(rows)))
-    if blocks == 1:
+def _passages(source: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per row of (row, _b): n_words, n_hit, the items found and the merged spans to remove."""
+    parts = [_search_block(source, items, k == 0, k) for k, items in enumerate(item_blocks(benchmark))]
+    if len(parts) == 1:
         return parts[0]
-    merged = _merge_blocks(parts).withColumnRenamed("doc_id", "_row")
-    return merged.join(source.select("_row", "doc_id"), "_row").select(*parts[0].columns)
+    merged = materialise(_merge_blocks(parts), "decontam-merged")
+    discard(*parts)
+    return merged
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, the items found and the merged spans to remove."""
+    keyed, key = row_keyed(docs)
+    found = _passages(keyed.select(F.col(key).alias("row"), utf8().alias("_b")), benchmark)
+    ids = keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return found.join(ids, "row").select("doc_id", *found.columns[1:])
 
 
 def _merge_blocks(parts: list[DataFrame]) -> DataFrame:
-    """Unite what the blocks found. Needs unique keys in doc_id: find_passages gives row numbers."""
+    """Unite what the blocks found in each row; a row's hits are bounded by its length."""
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    merged = both.groupBy("doc_id").agg(
+    merged = both.groupBy("row").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.collect_list(F.arrays_zip("word_begins", "word_ends", "byte_begins", "byte_ends")).alias("s"),
@@ -324,7 +351,7 @@ def _merge_blocks(parts: list[DataFrame]) -> DataFrame:
 
     merged = merged.withColumn("s", F.aggregate(spans, none, add))
     return merged.select(
-        "doc_id",
+        "row",
         "n_words",
         F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x.word_ends - x.word_begins).alias("n_hit"),
         "items",
@@ -349,10 +376,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of which a twentieth or more are benchmark words go."""
-    found = find_passages(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where(contaminated()).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """Pipeline stage: rows of whose words a twentieth or more are benchmark words go."""
+    keyed, key = row_keyed(docs)
+    found = _passages(keyed.select(F.col(key).alias("row"), utf8().alias("_b")), table(spark, sf_dir, "benchmark"))
+    bad = found.where(contaminated()).select(F.col("row").alias(key))
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
