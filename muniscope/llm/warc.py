@@ -5,21 +5,26 @@ its own. Of equal payloads the row with the largest page_id is the response; the
 revisits that name it and carry headers only. Archives are written by Spark's text writer,
 whose atomic commit and retry they inherit: a member's last byte is zero as long as a record is
 under 16 MiB, so that byte is the line separator and the file holds the members alone (a
-larger record is followed by an empty member).
+larger record is followed by an empty member). TIERS bounds the records of a file by their size,
+so that a file holds 256 MiB of payload, or one page. Payloads are equal when their SHA-256 is: SHA-1
+alone, which records carry, can be made to collide.
 
 Reading: each archive file is parsed member by member, digests are verified, and its captures
 are sorted by URL key and timestamp: a run. Runs are dealt by ranges of (URL key, timestamp,
-page_id) - a URL captured very often spans several ranges - and in each range a loser
-tree merges the k runs, so the index as a whole is ordered.
-
-Defined results: null html is an empty payload, equal to other empty ones; rows that repeat
-both page_id and payload have the same record type; a null url has no target, a null page_id is named None and sorts first; an empty table
-writes no record and gives an empty result. A file holds FILE_RECORDS records at most.
+page_id, place in the archives) - a URL captured very often spans several ranges - and arrive
+run after run, each in order, from a sort that can spill. A range keeps its runs, about
+RANGE_ROWS captures, as Arrow batches; a loser tree merges the k of them, STEP rows of each
+unpacked at a time, so the index as a whole is ordered.
+
+Defined results: null html is an empty payload, equal to other empty ones; of rows that repeat both
+page_id and payload one is the response where that page is; a null url has no target, a null page_id is named
+None and sorts first; an empty table writes no record and gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, record_batch, shared_dir, table, utf8
+from .common import bound_arrow, join_groups, map_rows, materialise, record_batch, row_keyed, shared_dir, table, utf8
 
-FILE_RECORDS = 1_000
+#: (largest payload in bytes, records in a file)
+TIERS = ((1 << 18, 1_000), (1 << 23, 32), (1 << 62, 1))
 RANGE_ROWS = 100_000
+STEP = 256
 EPOCH = datetime(2024, 1, 1)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -68,14 +75,17 @@ def _line(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, response_id: int | None) -> bytes:
-    """One WARC record; a revisit when response_id is given."""
+def record(
+    page_id: int | None, url: str | None, payload: bytes, digest: str, response_id: int | None, revisit: bool | None = None
+) -> bytes:
+    """One WARC record; a revisit when it is said to be one or response_id is given."""
+    revisit = response_id is not None if revisit is None else revisit
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http + payload if response_id is None else http
+    block = http if revisit else http + payload
     when = (EPOCH + timedelta(seconds=(page_id or 0) % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if response_id is None else 'revisit'}",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{page_id}>",
         f"WARC-Date: {when}",
         "Content-Type: application/http; msgtype=response",
@@ -84,7 +94,7 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, response_
     ]
     if url is not None:
         head.append(f"WARC-Target-URI: {_line(url)}")
-    if response_id is not None:
+    if revisit:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{response_id}>"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -203,26 +213,33 @@ CAPTURE_DDL = (
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Archives with a record per row of (page_id, url, html), under ``path``."""
-    source = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), utf8("html").alias("_b")
-    )
-    digest = source.select("page_id", F.sha1("_b").alias("_d"))
-    keep = digest.groupBy("_d").agg(F.max("page_id").alias("_keep"))
-    roles = digest.distinct().join(keep, "_d").select(F.col("page_id").alias("_id"), "_d", "_keep")
-    rows = source.withColumn("_d1", F.sha1("_b")).join(
-        roles, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_d1") == F.col("_d"))
+    keyed, key = row_keyed(pages, "page_id")
+    source = keyed.select(
+        F.col(key).alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), utf8("html").alias("_b")
     )
+    digests = materialise(source.select("row", "page_id", F.sha2("_b", 256).alias("_d"), F.length("_b").alias("_n")), "warc-digests")
+    total = digests.count()
+    last = F.max(F.struct("page_id", "row"))  # a null page_id is the least
+    groups = digests.groupBy("_d").agg(last.alias("_keep"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    members = join_groups(digests.select("row", "_d"), materialise(groups, "warc-groups"), ["_d"], "_copies", total)
+    revisits = members.where("row <> _keep.row").select("row", F.lit(True).alias("_again"), F.col("_keep.page_id").alias("_keep"))
+    revisits = materialise(revisits, "warc-revisits")
 
     def records(batch):
         out = []
-        for page_id, url, payload, keep_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            other = None if keep_id == page_id else keep_id
-            out.append(member(record(page_id, url, payload, base32_sha1(payload), other))[:-1])
+        for page_id, url, payload, again, keep_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out.append(member(record(page_id, url, payload, base32_sha1(payload), keep_id, bool(again)))[:-1])
         return record_batch(RECORDS, out)
 
-    made = map_rows(rows.select("page_id", "url", "_b", "_keep"), records, "value binary")
-    lines = made.select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    low = -1
+    sizes = digests.agg(*(F.count_if((F.col("_n") > a) & (F.col("_n") <= b)) for a, b in zip([-1, *(t[0] for t in TIERS)], [t[0] for t in TIERS])))
+    for (high, most), n in zip(TIERS, sizes.first()):
+        if n or low < 0:  # the first tier makes the folder, records or not
+            mine = source.where((F.length("_b") > low) & (F.length("_b") <= high)).join(revisits, "row", "left")
+            made = map_rows(mine.select("page_id", "url", "_b", "_again", "_keep"), records, "value binary")
+            lines = made.select(F.col("value").cast("string").alias("value"))
+            lines.write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", most).text(path)
+        low = high
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -260,15 +277,27 @@ def merge_runs(captures: DataFrame) -> DataFrame:
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list] = {}
+        runs: list[list[pa.RecordBatch]] = []
+        archive = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[7], []).append(row)
-        for rows in runs.values():  # a shuffle that had to spill may have mixed a run's blocks
-            if any(_order(a) > _order(b) for a, b in zip(rows, rows[1:])):
-                rows.sort(key=_order)
+            names = batch.column(7)
+            at = 0
+            while at < batch.num_rows:  # a run's rows are together
+                name = names[at].as_py()
+                end = at + 1 + bisect.bisect_left(range(at + 1, batch.num_rows), True, key=lambda k: names[k].as_py() != name)
+                if name != archive:
+                    runs.append([])
+                    archive = name
+                runs[-1].append(batch.slice(at, end - at))
+                at = end
+
+        def rows(run: list[pa.RecordBatch]) -> Iterator[tuple]:
+            for batch in run:
+                for at in range(0, batch.num_rows, STEP):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(at, STEP).columns), strict=True)
+
         out = []
-        for row in LoserTree(list(runs.values()), _order):
+        for row in LoserTree([rows(r) for r in runs], _order):
             out.append(row)
             if len(out) == 10_000:
                 yield record_batch(CAPTURES, *zip(*out, strict=True))
@@ -276,7 +305,9 @@ def merge_runs(captures: DataFrame) -> DataFrame:
         if out:
             yield record_batch(CAPTURES, *zip(*out, strict=True))
 
-    dealt = captures.repartitionByRange(ranges, "url_key", "captured_at", "page_id")
+    bound_arrow(spark)
+    key = ["url_key", "captured_at", "page_id"]
+    dealt = captures.repartitionByRange(ranges, *key, "archive", "offset").sortWithinPartitions("archive", *key)
     return dealt.mapInArrow(merge, CAPTURE_DDL)
 
 
@@ -294,10 +325,10 @@ _QUADS = " || ".join(
 )
 OP2_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS h FROM p),
-k AS (SELECT h, max(page_id) AS keep FROM d GROUP BY h)
+d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS h, sha256(body) AS same FROM p),
+k AS (SELECT same, max(page_id) AS keep FROM d GROUP BY same)
 SELECT page_id, payload_bytes, {_QUADS} AS payload_digest,
   CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
-FROM d JOIN k USING (h)
+FROM d JOIN k USING (same)
 """
