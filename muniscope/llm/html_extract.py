@@ -1,9 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags. Pass one decides what it can: markup
-says that a block is outside the text (navigation, footers, adverts, forms, comments) or
-inside (article, main); where it says nothing, stop-word density, length and link density do.
-Pass two gives each ambiguous block the label of its nearest decided neighbours.
+The page is cut into blocks at block-level tags. What markup names as no part of the text
+(navigation, footers, adverts, forms, comments) is out. Pass one classifies every other block by
+stop-word density, length and link density: good, bad, near (good but short, or long with fewer
+stop words) or short. Stop words are those of four languages; text of a page in which they are
+rare (another language or script) is judged by length and links alone. Pass two gives near and
+short blocks the label of their nearest decided neighbours.
+
+article and main are a prior only: inside them a block that pass one would call bad for its
+density is near, and a near or short block without decided neighbours of the same element is good;
+outside them, on a page that has them, near and short blocks are bad, and good ones count
+only if they hold more text than the good blocks inside, the element then being a teaser.
+Names such as banner or share on an element inside an article take its short and linked blocks
+only, for a section of the text may bear them too.
 
 Defined results: null html counts as empty and gives the empty text; pages cut off in the
 middle of a tag, comment or script lose only that; repeated rows give repeated results;
@@ -42,12 +51,13 @@ _INLINE_KEPT = frozenset("button label textarea a".split())  # inline elements w
 _ROLE_OUTSIDE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 
 _MARK = (
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus footer login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo "
-    "promoted recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored "
-    "subscribe subscription toolbar widget"
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies "
+    "disqus footer login masthead menu modal nav navbar navigation newsletter pager pagination popup "
+    "reply replies respond search sidebar signup sponsor sponsored subscribe subscription toolbar"
 )
+_WEAK = "banner notice notices promo promoted recommended related share sharing social widget"
 _MARKS = frozenset(_MARK.split())
+_WEAK_MARKS = frozenset(_WEAK.split())
 _HEADER_MARKS = frozenset(("header", "topbar", "site-header", "page-header"))
 _NOT_MARK = frozenset("no has with without body entry post article content main hide not".split())
 
@@ -66,26 +76,28 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Block:
     parts: list[str] = field(default_factory=list)
     link: int = 0  # characters inside links
-    region: str = ""  # "out", "in" or unknown
+    region: str = ""  # "out", "in", "weak" (in, under a weak mark) or unknown
     heading: bool = False
     text: str = ""
     label: str = ""  # good, bad, near or short
+    rule: str = ""  # what decided
 
 
-def _marked(token: str) -> bool:
-    if token in _MARKS:
+def _marked(token: str, marks: frozenset) -> bool:
+    if token in marks:
         return True
     parts = re.split(r"[-_]+", token)
-    return len(parts) > 1 and (parts[0] in _MARKS or parts[-1] in _MARKS) and not _NOT_MARK.intersection(parts)
+    return len(parts) > 1 and (parts[0] in marks or parts[-1] in marks) and not _NOT_MARK.intersection(parts)
 
 
 def _region(tag: str, attributes: str, around: str) -> str:
     """What an element says of its content, in a part of the page that says ``around``."""
     if around == "out":
         return "out"
-    if tag in _OUTSIDE or tag == "header" and around != "in":
+    inside = around in ("in", "weak")
+    if tag in _OUTSIDE or tag == "header" and not inside:
         return "out"
-    region = "in" if tag in ("article", "main") else around
+    region = "in" if tag in ("article", "main") and around != "weak" else around
     if not attributes or tag in ("html", "body"):
         return region
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -101,8 +113,12 @@ def _region(tag: str, attributes: str, around: str) -> str:
             return "out"
         elif name in ("class", "id"):
             for token in value.split():
-                if _marked(token) or token in _HEADER_MARKS and around != "in":
+                if _marked(token, _MARKS) or token in _HEADER_MARKS and not inside:
                     return "out"
+                if _marked(token, _WEAK_MARKS):
+                    if not inside:
+                        return "out"
+                    region = "weak"
     return region
 
 
@@ -187,32 +203,55 @@ def blocks_of(page: str) -> list[Block]:
 LONG, SHORT = 200, 70
 DENSE, SPARSE = 0.20, 0.08
 LINKED = 0.5
+_WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 
 
-def classify(blocks: list[Block]) -> None:
-    """Pass one, then pass two."""
-    framed = any(b.region == "in" for b in blocks)
+def _length(text: str) -> int:
+    """Characters; one of a script whose characters stand for syllables or words counts as three."""
+    return len(text) + 2 * len(_WIDE.findall(text))
+
+
+def _density(text: str) -> tuple[int, int]:
+    found = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in found), len(found)
+
+
+def _first_pass(blocks: list[Block]) -> None:
+    open_ = [b for b in blocks if b.region != "out"]
+    counts = [_density(b.text) for b in open_]
+    words = sum(n for _, n in counts)
+    known = words == 0 or sum(k for k, _ in counts) >= SPARSE * words
     for b in blocks:
-        linked = b.link / len(b.text)
-        if b.region == "out" or framed and b.region != "in":
-            b.label = "bad"
-        elif b.region == "in":
-            b.label = "short" if linked > LINKED else "good"
-        elif linked > LINKED:
-            b.label = "bad"
-        elif len(b.text) < SHORT:
-            b.label = "short"
+        b.label, b.rule = "bad", "markup"
+    for b, (stop, n) in zip(open_, counts):
+        size, linked, inside = _length(b.text), b.link / len(b.text), b.region == "in"
+        if linked > LINKED:
+            b.label, b.rule = ("short" if inside else "bad"), "links"
+        elif size < SHORT:
+            b.label, b.rule = ("bad" if b.region == "weak" else "short"), "length"
+        elif not known:
+            b.label, b.rule = ("good" if size > LONG else "near"), "length"
+        elif stop >= DENSE * n and n:
+            b.label, b.rule = ("good" if size > LONG else "near"), "density"
         else:
-            found = _WORD.findall(b.text.lower())
-            density = sum(w in STOP_WORDS for w in found) / max(len(found), 1)
-            if density >= DENSE:
-                b.label = "good" if len(b.text) > LONG else "near"
-            else:
-                b.label = "near" if density >= SPARSE else "bad"
-    # What markup put outside says nothing of its neighbours; longer blocks come first.
-    for kind in ("near", "short"):
-        decided = [(i, b.label) for i, b in enumerate(blocks) if b.label in ("good", "bad") and b.region != "out"]
-        _inherit(blocks, kind, decided)
+            b.label, b.rule = ("near" if inside or stop >= SPARSE * n and n else "bad"), "density"
+
+
+def classify(blocks: list[Block]) -> None:
+    """Pass one, then pass two for what is ambiguous: longer blocks come first."""
+    _first_pass(blocks)
+    inside = [b for b in blocks if b.region in ("in", "weak")]
+    outside = [b for b in blocks if b.region == ""]
+    if inside:
+        # The good blocks outside an article are text only where the article is a teaser of them.
+        weight = [sum(_length(b.text) for b in part if b.label == "good") for part in (inside, outside)]
+        for b in outside:
+            if b.label != "good" or weight[1] <= max(weight[0], sum(_length(b.text) for b in inside)):
+                b.label, b.rule = "bad", "frame"
+    for part in (inside, outside):
+        for kind in ("near", "short"):
+            decided = [(i, b.label) for i, b in enumerate(part) if b.label in ("good", "bad") and b.region != "weak"]
+            _inherit(part, kind, decided)
 
 
 def _inherit(blocks: list[Block], kind: str, decided: list[tuple[int, str]]) -> None:
@@ -220,6 +259,7 @@ def _inherit(blocks: list[Block], kind: str, decided: list[tuple[int, str]]) ->
     for i, b in enumerate(blocks):
         if b.label != kind:
             continue
+        b.rule = "neighbours"
         while at < len(decided) and decided[at][0] < i:
             at += 1
         before = decided[at - 1] if at else None
