@@ -7,8 +7,9 @@ fitting, a text is measured with the lexicon of the other half of the training r
 trees see densities as they will be on new texts. The calibration map comes from
 out-of-fold scores.
 
-Fitting uses at most TRAIN_ROWS labelled rows, those first by a hash of their id; counts
-for the lexicon are made on the executors, and at most LEXICON terms reach the driver.
+Fitting uses at most TRAIN_ROWS labelled rows, those first by a hash of their id, one text for
+each (of repeated ids the least text); counts for the lexicon are made on the executors, and
+at most LEXICON terms and TRAIN_ROWS rows of features reach the driver.
 Scoring covers every row and the whole text.
 
 Defined results: null and empty texts have zero features and get a score like any other;
@@ -227,7 +228,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ).orderBy("_h", "_id", "toxic").limit(TRAIN_ROWS)
     half = F.pmod(F.shiftright("_h", 7), F.lit(_HALF)).cast("int")
     rows = docs.select("doc_id", utf8().alias("_b")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_b", "toxic", half.alias("half"))
+    one = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "toxic", half.alias("half")).agg(F.min("_b").alias("_b"))
+    return one.select("doc_id", "_b", "toxic", "half")
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:
@@ -333,7 +335,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored at the threshold or above go."""
-    scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
-    bad = scored.where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """Pipeline stage: rows whose text is scored at the threshold or above go, each judged by itself,
+    so rows without an id or with a repeated one need no other rule."""
+    sent = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
+    at = docs.columns.index("text")
+    held: list[Weights] = []
+
+    def rows(batch):
+        if not held:
+            held.append(Weights(sent.value.lexicon))
+        x = np.array([features((t or "").encode(), held[0]) for t in batch.column(at).to_pylist()])
+        return batch.filter(pa.array(sent.value.score(x) < THRESHOLD))
+
+    return map_rows(docs, rows, docs.schema)
