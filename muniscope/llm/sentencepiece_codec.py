@@ -7,8 +7,11 @@ byte it came from. Ids come from the sentencepiece library; as the pieces spell
 normalised text, the running sum of their lengths, sent through the alignment, gives each
 piece's span in the original UTF-8 bytes.
 
-Defined results: null and empty texts give the end id alone and decode to the empty text;
-repeated rows give repeated results; an empty table an empty result. Memory follows the
+The model file is a parameter; without one the default is found by the worker itself, so the driver's
+folders need not be the executors'.
+
+Defined results: null and empty texts give the end id alone and decode to the empty text; a byte
+that is not part of valid UTF-8 is encoded as U+FFFD and spans that byte; repeated rows give repeated results; an empty table an empty result. Memory follows the
 longest single text.
 """
 
@@ -167,30 +170,49 @@ class Codec:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.sp.encode(texts, add_eos=True, num_threads=1)
 
-    def spans(self, text: bytes, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, raw: bytes, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of every id in the original bytes; control ids are empty spans at the end."""
+        fixed, origin = repaired(raw)
+        text = raw if origin is None else fixed.encode()
         _, align = self.normaliser.run(text)
         ids_array = np.array(ids, dtype=np.int64)
         length = self.length[ids_array]
         unknown = np.flatnonzero(ids_array == self.unknown)
         if unknown.size:  # without byte fallback: the library tells what each unknown piece covers
-            proto = self.sp.encode(text.decode("utf-8", "replace"), return_type="proto")
+            proto = self.sp.encode(fixed, return_type="proto")
             length[: len(proto.pieces)] = [len(p.piece.encode()) for p in proto.pieces]
         ends = np.cumsum(length)
         if ends.size and ends[-1] != align.size - 1:
             raise ValueError(f"pieces spell {ends[-1]} bytes, the normalised text has {align.size - 1}")
+        if origin is not None:
+            align = origin[align]
         return align[ends - length], align[ends]
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str | None, Codec] = {}
 
 
-def codec(model_file: str) -> Codec:
+def codec(model_file: str | None = None) -> Codec:
     if model_file not in _codecs:
-        _codecs[model_file] = Codec(model_file)
+        _codecs[model_file] = Codec(model_file or default_model())
     return _codecs[model_file]
 
 
+def repaired(raw: bytes) -> tuple[str, np.ndarray | None]:
+    """The text, and for each byte of its UTF-8 form and the end the byte of ``raw``; None: the same byte."""
+    try:
+        return raw.decode("utf-8"), None
+    except UnicodeDecodeError:
+        chars = raw.decode("utf-8", "surrogateescape")
+    bad = [0xDC80 <= ord(c) <= 0xDCFF for c in chars]
+    text = "".join("\ufffd" if b else c for c, b in zip(chars, bad))
+    size = np.array([len(c.encode()) for c in text])
+    source = np.where(bad, 1, size)
+    begin = np.repeat(np.cumsum(source) - source, size)
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return text, np.append(begin + np.where(np.repeat(bad, size), 0, inside), len(raw))
+
+
 TOKENS = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -223,13 +245,13 @@ def _parts(batch: pa.RecordBatch, most: int = 2 << 20):
     yield batch.column(0)[start:], raw[start:]
 
 
-def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """(doc_id, ids, begins, ends, decoded): every piece with its span of original bytes."""
 
     def rows(batch):
         c = codec(model_file)
         for keys, raw in _parts(batch):
-            ids = c.encode([t.decode("utf-8", "replace") for t in raw])
+            ids = c.encode([repaired(t)[0] for t in raw])
             spans = [c.spans(t, i) for t, i in zip(raw, ids, strict=True)]
             yield record_batch(TOKENS, keys, ids, [s[0] for s in spans], [s[1] for s in spans], c.sp.decode(ids))
 
@@ -237,14 +259,14 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     return map_rows(source, rows, "doc_id long, ids array<int>, begins array<long>, ends array<long>, decoded string")
 
 
-def encode_digests(docs: DataFrame, model_file: str) -> DataFrame:
+def encode_digests(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """As encode_documents, with digests in place of ids and text; spanned_bytes is what the
     pieces' spans cover, the whole text if nothing was lost."""
 
     def rows(batch):
         c = codec(model_file)
         for keys, raw in _parts(batch):
-            all_ids = c.encode([t.decode("utf-8", "replace") for t in raw])
+            all_ids = c.encode([repaired(t)[0] for t in raw])
             decoded = c.sp.decode(all_ids)
             covered = []
             for text, ids in zip(raw, all_ids, strict=True):
@@ -272,9 +294,9 @@ def default_model() -> str:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_digests(table(spark, sf_dir, "documents"), default_model())
+    return encode_digests(table(spark, sf_dir, "documents"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the digests of what the stages before kept."""
-    return encode_digests(docs, default_model())
+    return encode_digests(docs)
