@@ -49,6 +49,7 @@ def sets_of(text, size):
 def linked_components(texts, size, p, q):
     sets = [sets_of(t, size) for t in texts]
     root = list(range(len(texts)))
+    links = [0] * len(texts)
 
     def find(i):
         while root[i] != i:
@@ -60,17 +61,35 @@ def linked_components(texts, size, p, q):
             if sets[i] and sets[j] and q * len(sets[i] & sets[j]) >= p * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    return [(len(s), find(i)) for i, s in enumerate(sets)]
+                links[i] += 1
+                links[j] += 1
+    return [(len(s), find(i), links[i]) for i, s in enumerate(sets)]
 
 
 @pytest.mark.parametrize("seed,size,p,q,chunk", [(1, 3, 90, 100, 250_000), (2, 3, 90, 100, 300), (3, 5, 4, 5, 250_000), (4, 5, 4, 5, 400)])
 def test_jaccard_components(spark, seed, size, p, q, chunk):
     texts = corpus(seed)
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(d, size, p, q, chunk).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(d, size, p, q, chunk).collect()}
     assert [got[i] for i in range(len(texts))] == linked_components(texts, size, p, q)
 
 
+def test_a_large_block_that_stays_disconnected(spark):
+    """Texts that share most of their parts, so that one block of many chunks holds groups of all sizes."""
+    rng = random.Random(3)
+    base = words(rng, 300, 10_000)
+    texts = []
+    for g in range(12):
+        mine = list(base)
+        for _ in range(40):
+            mine[rng.randrange(300)] = f"g{rng.randrange(1000)}"
+        texts += [" ".join(edited(rng, mine, rng.choice([0, 1, 2, 6]))) for _ in range(rng.choice([1, 2, 9, 25]))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for chunk in (250_000, 2000):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(d, 5, 4, 5, chunk).collect()}
+        assert [got[i] for i in range(len(texts))] == linked_components(texts, 5, 4, 5)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_signature_tree_connects_what_is_linked(seed):
     rng = np.random.default_rng(seed)
@@ -220,9 +239,9 @@ def test_fingerprints_compose():
 def test_fingerprint_clash_is_told_apart(spark, monkeypatch):
     """With fingerprints forced equal, the chunkwise comparison separates the texts."""
     def same(batch):
-        sha = [hashlib.sha256(x.lower()).digest() for x in batch.column(1).to_pylist()]
+        sha = [hashlib.sha256(x.lower()).digest() for x in batch.column(2).to_pylist()]
         n = len(sha)
-        return exact_dedup.record_batch(exact_dedup.FP_SCHEMA, batch.column(0), [1] * n, [1] * n, [4] * n, sha)
+        return exact_dedup.record_batch(exact_dedup.FP_SCHEMA, batch.column(0), batch.column(1), [1] * n, [1] * n, [4] * n, sha)
 
     monkeypatch.setattr(exact_dedup, "_fingerprints", same)
     d = spark.createDataFrame([(1, "aaaa"), (2, "bbbb"), (3, "AAAA"), (4, "cccc")], "doc_id long, text string")
@@ -278,32 +297,33 @@ def test_normaliser_with_a_compiled_map():
 def drain(docs):
     """The line-template rules, in loops."""
     lt = line_templates
+
+    def support(n):
+        return next(d for least, d in lt.SUPPORT if n >= least)
+
     def tokens(line):
-        flat = re.sub(r"^ | $", "", re.sub(r"[ \t\r\f\x0B]+", " ", line))
-        return [lt.VARIABLE if re.search("[0-9]", t) else t for t in flat.split(" ")]
-    lines = [(d, i, tokens(x)) for d, text in docs for i, x in enumerate((text or "").split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= lt.MIN_TOKENS]
-    leaves = {}
-    for x in lines:
-        leaves.setdefault((len(x[2]), *x[2][: lt.DEPTH]), []).append(x)
-    gone = set()
-    for rows in leaves.values():
-        if len({d for d, _, _ in rows}) < lt.MIN_DOCS:
-            continue
-        fixed = {}
-        for pos in range(len(rows[0][2])):
-            counts = {}
-            for _, _, t in rows:
-                counts[t[pos]] = counts.get(t[pos], 0) + 1
-            token = min(counts, key=lambda k: (-counts[k], k))
-            if 2 * counts[token] >= len(rows) and token != lt.VARIABLE:
-                fixed[pos] = token
-        if 2 * len(fixed) < len(rows[0][2]):
-            continue
-        match = [x for x in rows if all(x[2][p] == t for p, t in fixed.items())]
-        if len({d for d, _, _ in match}) >= lt.MIN_DOCS:
-            gone.update((d, i) for d, i, _ in match)
-    return {d: "\n".join(x for i, x in enumerate((text or "").split("\n")) if (d, i) not in gone) for d, text in docs}
+        flat = re.sub(r"^ | $", "", re.sub(r"[ \t\r\f\x0b]+", " ", line))
+        return tuple(lt.VARIABLE if re.search("[0-9]", t) else t for t in flat.split(" ")) if flat else ()
+
+    spread = {}
+    for k, (_, text) in enumerate(docs):
+        for line in (text or "").split("\n"):
+            if t := tokens(line):
+                spread.setdefault(t, set()).add(k)
+    often = {}
+    for t, where in spread.items():
+        for i in range(lt.DEPTH, len(t)):
+            key = (len(t), t[: lt.DEPTH], i, t[i])
+            often[key] = often.get(key, 0) + len(where)
+    stand, of = {}, {}
+    for t, where in spread.items():
+        later = [(i, x) for i, x in enumerate(t) if i >= lt.DEPTH and x != lt.VARIABLE]
+        same = tuple(x for x in later if often[len(t), t[: lt.DEPTH], *x] >= support(len(t)))
+        if 3 * (len(later) - len(same)) <= max(len(t) - lt.DEPTH - 1, 0):
+            of[t] = (len(t), t[: lt.DEPTH], same)
+            stand.setdefault(of[t], set()).update(where)
+    good = {m for m, where in stand.items() if len(where) >= support(m[0])}
+    return {d: "\n".join(x for x in (text or "").split("\n") if of.get(tokens(x)) not in good) for d, text in docs}
 
 
 def test_line_templates(spark):
@@ -315,12 +335,25 @@ def test_line_templates(spark):
             lines.append(f"user {rng.choice(['ann', 'bob', 'eve'])} logged  in at 1{d}:30 ok")
         if d % 4 == 0:
             lines.insert(0, f"All rights are reserved by the owner of {rng.choice(['x', 'y'])}\t")
+        if d % 3 == 0:
+            lines.append("All rights reserved.")
         docs.append((d, "\n".join(lines)))
-    docs.append((60, None))
+    long = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr")
+    docs += [(60, None), (61, "head\n" + long), (62, long.replace("ck", "zz") + "\n \nx"), (63, long + " more")]
     got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want = drain(docs)
     assert got == want
     assert sum(len(t or "") for _, t in docs) > sum(map(len, want.values()))
+    assert want[61] == "head" and want[63] and not any("All rights" in t or "logged" in t for t in want.values())
+
+
+def test_a_leaf_holds_several_templates(spark):
+    """Three templates of one token count and start; and two lines, none of which has the majority of its leaf."""
+    forms = ["the page was written by {} for our many readers", "the page was moved there with {} and other things", "the page was not found in {} of these two"]
+    docs = [(k, forms[k % 3].format("".join(chr(97 + int(c)) for c in str(1000 + k)))) for k in range(60)]
+    docs += [(100 + k, "the page was seen by people " + " ".join("".join(chr(97 + int(c)) for c in str(7000 + 31 * k + j)) for j in range(4))) for k in range(200)]
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[k] == 1 for k in range(60)) and not any(got[k] for k in range(100, 300))
 
 
 def test_licenses_with_many_and_few_templates(monkeypatch):
