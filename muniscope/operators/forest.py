@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from . import quantiles
 from .graph import shared_table
 
 TREES, SAMPLE, SEED = 150, 256, 42
@@ -73,9 +74,11 @@ def isolation_scores(df: DataFrame, key: str, features: list[str], contamination
     does not grow with the data; quartiles and the score's cut-off are exact over all rows."""
     ship_package(df.sparkSession)
     rows = df.select(key, *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features))
-    quartiles = rows.agg(*(F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f) for f in features)).first()
-    if quartiles[0] is None:
+    long = rows.select(F.inline(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f).alias("v")) for i, f in enumerate(features)))))
+    found = quantiles.grouped_percentiles(long, "v", ["f"], {"low": 0.25, "middle": 0.5, "high": 0.75}).orderBy("f").collect()
+    if not found:
         return rows.select(key, F.lit(0.0).alias("score"), F.lit(False).alias("flag"))
+    quartiles = [(r.low, r.middle, r.high) for r in found]
     middle = np.array([q[1] for q in quartiles])
     spread = np.array([(q[2] - q[0]) or 1.0 for q in quartiles])
     chosen = rows.orderBy(F.xxhash64(F.col(key), F.lit(SEED)), key).limit(TREES * SAMPLE).select(*features).toPandas()
@@ -91,5 +94,5 @@ def isolation_scores(df: DataFrame, key: str, features: list[str], contamination
         return pd.Series(2.0 ** (-mean / norm))
 
     scored = shared_table(rows.select(key, score(*features).alias("score")), "forest")  # read twice
-    cut = scored.agg(F.percentile("score", F.lit(1 - contamination)).alias("cut"))
+    cut = quantiles.grouped_percentiles(scored, "score", [], {"cut": 1 - contamination})
     return scored.withColumn("flag", F.col("score") > cut.scalar())

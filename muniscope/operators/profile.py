@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import quantiles
+
 LEVELS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
 def describe(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact percentiles."""
-    p = F.percentile(value, F.array(*map(F.lit, LEVELS)))
     out = df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"), p.alias("p")
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most")
     )
-    return out.select(*keys, "n", "mean", "std", "least", "most", *(F.get("p", F.lit(i)).alias(f"p{round(q * 100)}") for i, q in enumerate(LEVELS)))
+    names = {f"p{round(q * 100)}": q for q in LEVELS}
+    p = quantiles.grouped_percentiles(df, value, list(keys), names)
+    met = out.join(p, list(keys), "left") if keys else out.join(p, F.lit(True), "left")  # one row each
+    return met.select(*keys, "n", "mean", "std", "least", "most", *names)
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -53,11 +57,6 @@ def date_failures(df: DataFrame, value: str, pattern: str) -> DataFrame:
     )
 
 
-def upper_median(value: str) -> Column:
-    """The middle value, of two the larger: minus the lower middle of the negated values."""
-    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{value})")
-
-
 def first_digits(df: DataFrame, value: str, *keys: str, least: int = 30) -> DataFrame:
     """(keys, n, chi_square) of leading digits against Benford's law, for groups of ``least`` values or more."""
     digit = F.substring(F.regexp_replace(F.format_string("%.6e", F.abs(value)), "^[^1-9]*", ""), 1, 1).cast("int")

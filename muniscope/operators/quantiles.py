@@ -40,3 +40,37 @@ def medians(counts: DataFrame, value: str, n: str, keys: list[str], name: str) -
 
     low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
     return r.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
+
+
+def percentiles(counts: DataFrame, value: str, n: str, keys: list[str], levels: dict[str, float]) -> DataFrame:
+    """(keys, a column per level): exact percentiles, between two values in proportion, as SQL's percentile_cont."""
+    r = ranks(counts, value, n, keys)
+    out = []
+    for name, level in levels.items():
+        place = (F.col("total") - 1) * F.lit(level) + 1  # ranks from 1
+        low = F.floor(place)
+
+        def at(rank):
+            return F.max(F.when((F.col("upto") - F.col(n) < rank) & (rank <= F.col("upto")), F.col(value)))
+
+        a, b = at(low), at(F.least(low + 1, F.col("total")))
+        out.append((a + F.max(place - low) * (b - a)).alias(name))
+    return r.groupBy(*keys).agg(*out)
+
+
+def grouped_medians(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
+    """(keys, name): exact medians of a column of type double."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    return medians(counts, value, "_c", keys, name)
+
+
+def grouped_percentiles(df: DataFrame, value: str, keys: list[str], levels: dict[str, float]) -> DataFrame:
+    counts = df.groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("_c"))
+    return percentiles(counts, value, "_c", keys, levels)
+
+
+def upper_median(df: DataFrame, value: str, name: str) -> DataFrame:
+    """(name): the middle value of a column, of two the larger; no row for a column without values."""
+    r = ranks(df.groupBy(value).agg(F.count(F.lit(1)).alias("_c")), value, "_c", [])
+    rank = F.floor(F.col("total") / 2) + 1
+    return r.where((F.col("upto") - F.col("_c") < rank) & (rank <= F.col("upto"))).select(F.col(value).alias(name))

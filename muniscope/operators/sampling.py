@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 
 
 def shuffled(key: str, seed: int = 42) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+    """A digest to sort by: an order that looks like chance and that any SQL engine can repeat."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
 def stratified(df: DataFrame, strata: list[str], key: str, total: int, seed: int = 42) -> DataFrame:
-    """total // strata rows of each stratum, first by a seeded hash."""
-    groups = df.select(*strata).distinct().agg(F.count(F.lit(1)).alias("n"))
+    """total // strata rows of each stratum, first by a seeded digest.
+
+    The number is known before the rows are ranked, so a task keeps no more than that of a stratum."""
+    groups = df.select(*strata).distinct().count()
     w = Window.partitionBy(*strata).orderBy(shuffled(key, seed), key)
-    ranked = df.withColumn("_r", F.row_number().over(w))
-    return ranked.where(F.col("_r") <= F.floor(F.lit(total) / F.greatest(groups.scalar(), F.lit(1)))).drop("_r")
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= total // max(groups, 1)).drop("_r")

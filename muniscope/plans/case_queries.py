@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import cases, graph
+from ..operators import cases, graph, quantiles
 from ..sources import views
 from .registry import query
 
@@ -17,7 +17,7 @@ g AS (SELECT record_id AS work, CASE WHEN image_count = 1 THEN 1.0 ELSE 0.0 END
 
 def _signals(spark, sf):
     w = views.works(spark, sf)
-    w = w.join(w.groupBy("activity").agg(F.median("actual_amount").alias("med")), "activity")
+    w = w.join(quantiles.grouped_medians(w, "actual_amount", ["activity"], "med"), "activity")
     over = (F.col("actual_amount") - F.col("med")) / F.col("med")
     images = F.col("image_count")
     return w.select(

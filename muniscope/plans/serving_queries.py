@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import letters
-from ..operators import forest, profile, sampling, serving
+from ..operators import forest, graph, profile, quantiles, sampling, serving
 from ..sources import views
 from .registry import query
 
@@ -84,7 +84,9 @@ def first_review_hours(spark, sf):
     f = views.load(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("first"), done.alias("done"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     hours = (micros("done") - micros("first")) / 3_600_000_000.0
-    return f.agg(F.count(F.lit(1)).alias("users"), F.count("done").alias("resolved"), F.round(F.median(hours), 4).alias("hours"))
+    f = graph.shared_table(f.withColumn("h", hours), "first-review")  # read twice
+    middle = quantiles.grouped_medians(f, "h", [], "m")
+    return f.agg(F.count(F.lit(1)).alias("users"), F.count("done").alias("resolved")).select("users", "resolved", F.round(middle.scalar(), 4).alias("hours"))
 
 
 @query("""WITH e AS (SELECT DISTINCT user_id, event_type FROM events), d AS (SELECT user_id, avg(value) > 50 AS dismissed FROM events GROUP BY user_id)
@@ -179,10 +181,13 @@ def value_counts_null_bucket(spark, sf):
   count(*) FILTER (lang = 'en') AS en, count(*) FILTER (n_chars >= 150) AS large FROM d""")
 def image_inventory_like(spark, sf):
     """An inventory with the upper median and a size gate."""
-    return views.load(spark, sf, "documents").agg(
-        F.count(F.lit(1)).alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), profile.upper_median("n_chars").cast("long").alias("upper_median"),
+    d = views.load(spark, sf, "documents").select("n_chars", "lang")
+    middle = quantiles.upper_median(d, "n_chars", "m")
+    one = d.agg(
+        F.count(F.lit(1)).alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"),
         F.count_if(F.col("lang") == "en").alias("en"), F.count_if(F.col("n_chars") >= 150).alias("large"),
     )
+    return one.withColumn("upper_median", middle.scalar().cast("long"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN '31-Feb-2024' WHEN o_orderkey % 9 = 1 THEN '' ELSE strftime(o_orderdate, '%d-%b-%Y') END AS d, CAST(o_orderdate AS DATE) AS t FROM orders)
@@ -246,7 +251,8 @@ def workflow_transitions(spark, sf):
     return serving.check_transitions(moves).drop("reason")
 
 
-@query()
+@query("""WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS k FROM documents)
+SELECT doc_id, lang, source FROM r WHERE k <= 200 // (SELECT count(*) FROM (SELECT DISTINCT lang FROM documents))""")
 def stratified_sample(spark, sf):
     """The same number of rows of each stratum."""
     return sampling.stratified(views.load(spark, sf, "documents").select("doc_id", "lang", "source"), ["lang"], "doc_id", 200)

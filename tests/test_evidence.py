@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from muniscope.functions import images
-from muniscope.operators import canonical, cases, evidence, graph, peers, profile, quality, satellite, serving, similarity, vendors
+from muniscope.operators import canonical, cases, evidence, graph, peers, profile, quality, quantiles, satellite, serving, similarity, vendors
 
 
 def test_pair_counts_and_strongest_class(spark):
@@ -89,8 +89,8 @@ def test_profile_pieces(spark):
     d = spark.createDataFrame([(1, "01-Feb-2024"), (2, "31-Feb-2024"), (3, ""), (4, None)], "v int, d string")
     r = profile.date_failures(d, "d", "dd-MMM-yyyy").first()
     assert (r.rows, r.blank, r.failed, r.failure_rate, r["first"]) == (4, 2, 1, 0.5, datetime.date(2024, 2, 1))
-    assert d.agg(profile.upper_median("v")).first()[0] == 3
-    assert d.where("v < 4").agg(profile.upper_median("v")).first()[0] == 2
+    assert quantiles.upper_median(d, "v", "m").first()[0] == 3
+    assert quantiles.upper_median(d.where("v < 4"), "v", "m").first()[0] == 2
     top = {(x.column, x.value): x.n for x in profile.top_values(d, ["d"], 2).collect()}
     assert len(top) == 2 and all(n == 1 for n in top.values())
     p = {x.column: (x.nulls, x.distinct) for x in profile.column_profile(d, ["v", "d"]).collect()}
