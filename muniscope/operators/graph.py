@@ -5,22 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_table(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared checkpoint folder and read again: a short lineage that outlives executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the folder that spark.checkpoint.dir names. Only a local master, whose executors are
+    the driver, may do without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="muniscope-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/muniscope/{tag}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/muniscope/{tag}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared checkpoint folder and read again: a short lineage that outlives executors."""
+    spark = df.sparkSession
+    path = shared_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of shared tables that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/muniscope/" in folder:  # never a source table
+                jpath(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath(folder), True)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node each node reaches. Labels spread along edges and then
     jump to their label's label, so rounds grow with the logarithm of the longest path."""
@@ -37,8 +55,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             "node", jumped.alias("component"), (jumped != F.col("component")).alias("moved")
         )
         moved = shared_table(moved, "labels")
+        discard(labels)
         labels = moved.select("node", "component")
         if not moved.where("moved").limit(1).count():
+            discard(both)
             return labels
 
 

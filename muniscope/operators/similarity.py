@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +18,26 @@ from ..session import ship_package
 def pair_up(df: DataFrame, key: list[str], item: str, group: str) -> DataFrame:
     """Groups of equal keys that span several items: (keys, representative, n, members).
 
-    One row per key, not one per pair; expand with pairs_of where pairs are wanted."""
+    One row per key, not one per pair; cross_links and members_of tell the members."""
     return df.groupBy(*key).agg(
         F.count_distinct(item).alias("n"), F.min(item).alias("first"), F.count_distinct(group).alias("groups")
     ).where("n > 1")
 
 
-def pairs_of(df: DataFrame, key: list[str], item: str, group: str) -> DataFrame:
-    """(keys, a, b): an item and the next one of its key's other groups, in order of id.
+def cross_links(df: DataFrame, key: list[str], item: str, group: str) -> DataFrame:
+    """(keys, a, b): every item of a key that spans several groups, with the least item of another group of its key.
 
-    Consecutive items link a whole group with as many rows as it has members."""
-    w = Window.partitionBy(*key).orderBy(item)
-    linked = df.select(*key, item, group).distinct().withColumn("b", F.lead(item).over(w)).withColumn("_g", F.lead(group).over(w))
-    return linked.where("b IS NOT NULL").select(*key, F.col(item).alias("a"), "b", (F.col(group) != F.col("_g")).alias("crosses"))
+    One row for a member, none of which is lost: with its class every pair across groups follows."""
+    rows = df.select(*key, item, group).distinct()
+    per_group = rows.groupBy(*key, group).agg(F.min(item).alias("_least"))
+    # Per key the least item, and the least of any other group: two rows at most, by aggregates alone.
+    first = per_group.groupBy(*key).agg(F.min(F.struct("_least", group)).alias("_first"))
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"f.{k}")) for k in key]
+    others = per_group.alias("p").join(first.alias("f"), same).where(~F.col(f"p.{group}").eqNullSafe(F.col(f"f._first.{group}")))
+    second = others.groupBy(*(F.col(f"p.{k}").alias(k) for k in key)).agg(F.min("_least").alias("_second"), F.first("_first").alias("_first"))
+    met = rows.alias("p").join(second.alias("f"), same)
+    other = F.when(F.col(f"p.{group}").eqNullSafe(F.col(f"f._first.{group}")), F.col("_second")).otherwise(F.col("_first._least"))
+    return met.select(*(F.col(f"p.{k}").alias(k) for k in key), F.col(f"p.{item}").alias("a"), other.alias("b"))
 
 
 def members_of(df: DataFrame, key: list[str], item: str, group: str, across: str) -> DataFrame:
@@ -70,6 +78,56 @@ def hamming_pairs(df: DataFrame, item: str, bits: str, distance: int, width: int
     )
 
 
+def hash_pairs(df: DataFrame, item: str, bits: str, distance: int) -> DataFrame:
+    """(a, b, distance): pairs of distinct values, each named by its least item, and every other item of a
+    value with that item at distance 0. Copies never meet as pairs."""
+    named = df.groupBy(bits).agg(F.min(item).alias("first"))
+    copies = df.join(named, bits).where(F.col(item) != F.col("first"))
+    near = hamming_pairs(named, "first", bits, distance)
+    return near.unionByName(copies.select(F.col("first").alias("a"), F.col(item).alias("b"), F.lit(0).alias("distance")))
+
+
+def sampled_histogram(df: DataFrame, item: str, bits: str, rows: int = 1024) -> DataFrame:
+    """(distance, n) over all pairs of at most ``rows`` items, those first by a digest of the item: a bound that
+    does not grow with the data, enough for a percentile of all pairs."""
+    order = F.md5(F.col(item).cast("string"))
+    x = np.array([r[0] for r in df.orderBy(order).limit(rows).select(bits).collect()], dtype=np.int64).view(np.uint64)
+    counts = np.zeros(65, dtype=np.int64)
+    for i in range(1, len(x)):
+        counts += np.bincount(np.bitwise_count(x[:i] ^ x[i]), minlength=65)
+    found = [(d, n) for d, n in enumerate(counts.tolist()) if n]
+    return df.sparkSession.createDataFrame(found, "distance int, n long")
+
+
+def last_per_work(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The last row of each key in ``order``; ties go by the other columns."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(order, *(c for c in rest if c != order))).alias("v")).select(*key, "v.*")
+
+
+def identical_photos(images: DataFrame, least: int = 150) -> DataFrame:
+    """(md5, class, work): works that share an image, one row a member; class is the least work.
+
+    images: (md5, work, seq, width, height). Of a work's equal images the last counts. A group whose first image
+    has a side under ``least`` pixels is a stamp and no evidence: see stamp_groups."""
+    last, first = _first_of_group(images)
+    large = first.where((F.col("width") >= least) & (F.col("height") >= least)).select("md5", "class")
+    return last.join(large, "md5").select("md5", "class", "work")
+
+
+def stamp_groups(images: DataFrame, least: int = 150) -> DataFrame:
+    """(md5, works): groups over several works that are too small to be a photograph."""
+    _, first = _first_of_group(images)
+    return first.where((F.col("width") < least) | (F.col("height") < least)).select("md5", "works")
+
+
+def _first_of_group(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    last = last_per_work(images, ["md5", "work"], "seq")
+    head = F.min(F.struct("seq", "work", "width", "height")).alias("h")
+    first = images.groupBy("md5").agg(head, F.min("work").alias("class"), F.count_distinct("work").alias("works"))
+    return last, first.where("works > 1").select("md5", "class", "works", "h.width", "h.height")
+
+
 def sign_hash(vector: Column) -> Column:
     """64 bits of a 64-vector: bit i tells whether element i is above the 32nd smallest."""
     middle = F.get(F.sort_array(vector), F.lit(31))
@@ -101,17 +159,19 @@ def _letters(x: Column) -> Column:
     return F.array(*(F.length(x) - F.length(F.replace(x, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz "))
 
 
-def text_pairs(df: DataFrame, item: str, text: str, group: str, threshold: float = 0.9) -> DataFrame:
+def text_pairs(df: DataFrame, item: str, text: str, group: str, threshold: float = 0.9, across: str | None = None) -> DataFrame:
     """(a, b, ratio): texts of one group with a Ratcliff-Obershelp ratio above the threshold.
 
-    Distinct texts only. Lengths are cut into geometric classes so that only texts of
+    Distinct texts only, each named by its least item; with ``across`` only texts that stand under different
+    values of that column, a fiscal year say. Lengths are cut into geometric classes so that only texts of
     compatible length meet; then native bounds from lengths and letter counts come before the exact ratio."""
     ship_package(df.sparkSession)
     least = threshold / (2 - threshold)  # the shorter length over the longer is above this
-    one = df.where(F.length(text) > 0).groupBy(group, text).agg(F.min(item).alias("id"))
+    year = F.col(across) if across else F.lit(0)
+    one = df.where(F.length(text) > 0).groupBy(group, text).agg(F.min(item).alias("id"), F.min(year).alias("low"), F.max(year).alias("high"))
     size = F.length(text)
     level = F.floor(F.log(size) / F.lit(-1.0) / F.log(F.lit(least))).cast("int")
-    one = one.select(group, "id", F.col(text).alias("t"), size.alias("n"), _letters(F.col(text)).alias("c"), level.alias("level"))
+    one = one.select(group, "id", "low", "high", F.col(text).alias("t"), size.alias("n"), _letters(F.col(text)).alias("c"), level.alias("level"))
     left = one.alias("a")
     right = one.withColumn("meet", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1))).alias("b")
     total = F.col("a.n") + F.col("b.n")
@@ -122,6 +182,8 @@ def text_pairs(df: DataFrame, item: str, text: str, group: str, threshold: float
     met = left.join(
         right, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.level") == F.col("b.meet")) & (F.col("a.id") < F.col("b.id"))
     )
+    if across:
+        met = met.where((F.col("a.low") != F.col("b.high")) | (F.col("a.high") != F.col("b.low")))
     met = met.where(2 * F.least("a.n", "b.n") > threshold * total).where(2 * (common + other) > threshold * total)
     scored = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), ratcliff(F.col("a.t"), F.col("b.t")).alias("ratio"))
     return scored.where(F.col("ratio") > threshold)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, satellite, similarity, vendors
+from ..operators import graph, satellite, serving, similarity, vendors
 from ..sources import views
 from .registry import query
 
@@ -16,13 +16,12 @@ def exact_hash_groups(spark, sf):
     return similarity.pair_up(d, ["h"], "doc_id", "source")
 
 
-@query("""WITH d AS (SELECT DISTINCT lang, md5(text) AS h, doc_id, source FROM documents),
-l AS (SELECT h, lang, doc_id AS a, lead(doc_id) OVER w AS b, source <> lead(source) OVER w AS crosses FROM d WINDOW w AS (PARTITION BY lang, h ORDER BY doc_id))
-SELECT a, b FROM l WHERE b IS NOT NULL AND crosses""")
+@query("""WITH d AS (SELECT DISTINCT lang, text, doc_id, source FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS a, min(b.doc_id) AS b FROM d a JOIN d b ON a.text = b.text AND a.lang IS NOT DISTINCT FROM b.lang AND a.source <> b.source GROUP BY a.doc_id""")
 def exact_text_cross_group_pairs(spark, sf):
-    """Equal texts of one language in different sources, linked in a chain."""
-    d = views.load(spark, sf, "documents").select("lang", F.md5("text").alias("h"), "doc_id", "source")
-    return similarity.pairs_of(d, ["lang", "h"], "doc_id", "source").where("crosses").select("a", "b")
+    """Every document whose text, in its language, stands in another source too, with the least such document."""
+    d = views.load(spark, sf, "documents").where("text IS NOT NULL").select("lang", F.md5("text").alias("h"), "doc_id", "source")
+    return similarity.cross_links(d, ["lang", "h"], "doc_id", "source").select("a", "b")
 
 
 @query("""WITH d AS (SELECT DISTINCT lang, md5(text) AS h, doc_id, source FROM documents WHERE text IS NOT NULL),
@@ -44,59 +43,121 @@ def exact_hash_members(spark, sf):
 
 
 _BITS = """e AS (SELECT vec_id AS id, embedding AS v, list_sort(embedding)[32] AS mid FROM embeddings),
-h AS (SELECT id, list_transform(v, lambda x: x > mid) AS bits FROM e),
-p AS (SELECT a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS d FROM h a JOIN h b ON a.id < b.id)"""
+h0 AS (SELECT id, list_transform(v, lambda x: x > mid) AS bits FROM e),
+h AS (SELECT e.id, list_transform(range(64), lambda i: xor(CAST(h0.bits[i + 1] AS INTEGER), CAST(list_contains(list_transform(range(e.id % 4), lambda j: (7 * e.id + 13 * j) % 64), i) AS INTEGER))) AS bits
+  FROM e JOIN h0 ON h0.id = e.id - e.id % 4)"""
+_DIST = "list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))"
+_PAIRS = f"""{_BITS}, n AS (SELECT bits, min(id) AS id FROM h GROUP BY bits),
+p AS (SELECT a.id AS a, b.id AS b, {_DIST} AS d FROM n a JOIN n b ON a.id < b.id UNION ALL SELECT n.id, h.id, 0 FROM h JOIN n ON n.bits = h.bits WHERE n.id <> h.id)"""
+_NEAR = 6
 
 
 def _hashes(spark, sf):
-    return views.load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), similarity.sign_hash(F.col("embedding")).alias("x"))
+    """Pictures of which each is taken four times: the hash of a group's first with up to three bits changed."""
+    e = views.load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), similarity.sign_hash(F.col("embedding")).alias("x"))
+    first = e.select(F.col("id").alias("head"), "x")
+    one = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), ((7 * F.col("id") + 13 * j) % 64).cast("int"))
+    changed = F.lit(0).cast("long")
+    for j in range(3):
+        changed = changed.bitwiseXOR(F.when(F.col("id") % 4 > j, one(j)).otherwise(F.lit(0).cast("long")))
+    return e.select("id").join(first, F.col("head") == F.col("id") - F.col("id") % 4).select("id", F.col("x").bitwiseXOR(changed).alias("x"))
 
 
-@query(f"WITH {_BITS} SELECT a, b, CAST(d AS INTEGER) AS distance FROM p WHERE d <= 18")
+@query(f"WITH {_PAIRS} SELECT a, b, CAST(d AS INTEGER) AS distance FROM p WHERE d <= {_NEAR}")
 def hamming_pairs_banded(spark, sf):
-    """Pairs of hashes within 18 bits, by bands."""
-    return similarity.hamming_pairs(_hashes(spark, sf), "id", "x", 18)
+    """Pairs of distinct hashes within six bits, by seven bands, and the copies of each."""
+    return similarity.hash_pairs(_hashes(spark, sf), "id", "x", _NEAR)
+
+
+_SAMPLE = f"{_BITS}, s AS (SELECT * FROM h ORDER BY md5(CAST(id AS VARCHAR)) LIMIT 1024), hist AS (SELECT {_DIST} AS d, count(*) AS n FROM s a JOIN s b ON a.id < b.id GROUP BY 1)"
 
 
-@query(f"WITH {_BITS} SELECT CAST(d AS INTEGER) AS distance, count(*) AS n FROM p WHERE d <= 18 GROUP BY 1")
+@query(f"WITH {_SAMPLE} SELECT CAST(d AS INTEGER) AS distance, n FROM hist")
 def hamming_histogram(spark, sf):
-    """Distances among near pairs."""
-    return similarity.hamming_pairs(_hashes(spark, sf), "id", "x", 18).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
+    """Distances of all pairs of a bounded sample."""
+    return similarity.sampled_histogram(_hashes(spark, sf), "id", "x")
 
 
-@query(f"""WITH {_BITS}, hist AS (SELECT d, count(*) AS n FROM p WHERE d <= 18 GROUP BY d),
-r AS (SELECT d, sum(n) OVER (ORDER BY d) AS run, sum(n) OVER () AS total FROM hist)
+@query(f"""WITH {_SAMPLE}, r AS (SELECT d, sum(n) OVER (ORDER BY d) AS run, sum(n) OVER () AS total FROM hist)
 SELECT CAST(least(6, greatest(2, floor(min(d) / 2))) AS INTEGER) AS threshold FROM r WHERE run >= greatest(1, total * 0.01)""")
 def adaptive_threshold(spark, sf):
     """The threshold a histogram of distances asks for."""
-    hist = similarity.hamming_pairs(_hashes(spark, sf), "id", "x", 18).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
-    return similarity.adaptive_threshold(hist)
+    return similarity.adaptive_threshold(similarity.sampled_histogram(_hashes(spark, sf), "id", "x"))
 
 
-_COMP = f"""RECURSIVE {_BITS}, e2 AS (SELECT a, b FROM p WHERE d <= 18 UNION SELECT b, a FROM p WHERE d <= 18),
+_COMP = f"""RECURSIVE {_PAIRS}, pairs AS (SELECT a, b FROM p WHERE d <= {_NEAR} AND keep), e2 AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach AS (SELECT a AS node, b AS seen FROM e2 UNION SELECT r.node, e2.b FROM reach r JOIN e2 ON e2.a = r.seen),
 comp AS (SELECT node, least(node, min(seen)) AS component FROM reach GROUP BY node)"""
 
 
-@query(f"WITH {_COMP} SELECT node, component FROM comp")
+def _near(spark, sf):
+    """M7: pairs within the threshold that the data's own histogram asks for."""
+    h = graph.shared_table(_hashes(spark, sf), "hashes")
+    t = similarity.adaptive_threshold(similarity.sampled_histogram(h, "id", "x")).first()
+    return graph.shared_table(similarity.hash_pairs(h, "id", "x", t[0] if t and t[0] is not None else 2), "pairs")
+
+
+@query(f"WITH {_COMP} SELECT node, component FROM comp".replace("keep", "true"))
 def components_min_label(spark, sf):
     """M8: connected components of near pairs."""
-    return graph.components(similarity.hamming_pairs(_hashes(spark, sf), "id", "x", 18))
+    return graph.components(_near(spark, sf))
 
 
-@query(f"WITH {_COMP}, big AS (SELECT component FROM comp GROUP BY component HAVING count(*) > 6) SELECT p.a, p.b FROM p JOIN comp ON p.a = comp.node WHERE d <= 18 AND component NOT IN (SELECT component FROM big)")
+@query(f"WITH {_COMP}, big AS (SELECT component FROM comp GROUP BY component HAVING count(*) > 3) SELECT pairs.a, pairs.b FROM pairs JOIN comp ON pairs.a = comp.node WHERE component NOT IN (SELECT component FROM big)".replace("keep", "a % 7 > 0 AND b % 7 > 0"))
 def suppress_large_components(spark, sf):
-    """M7: pairs outside components of more than six."""
-    pairs = graph.shared_table(similarity.hamming_pairs(_hashes(spark, sf), "id", "x", 18), "pairs")
-    return graph.suppress_large(pairs, graph.components(pairs), 6).select("a", "b")
+    """M7: pairs outside components of more than three."""
+    pairs = _near(spark, sf).where("a % 7 > 0 AND b % 7 > 0")
+    return graph.suppress_large(pairs, graph.components(pairs), 3).select("a", "b")
+
+
+_PHOTOS = """i AS (SELECT md5(text) AS md5, source || ':' || (doc_id % 50) AS work, doc_id AS seq, CAST(n_chars % 400 AS INTEGER) AS width, CAST(100 + n_chars % 300 AS INTEGER) AS height FROM documents),
+f AS (SELECT md5, min(work) AS class, count(DISTINCT work) AS works, arg_min(width, seq) AS w, arg_min(height, seq) AS h FROM i GROUP BY md5 HAVING count(DISTINCT work) > 1)"""
+
+
+def _photos(spark, sf):
+    d = views.load(spark, sf, "documents")
+    work = F.concat("source", F.lit(":"), (F.col("doc_id") % 50).cast("string"))
+    return d.select(F.md5("text").alias("md5"), work.alias("work"), F.col("doc_id").alias("seq"), (F.col("n_chars") % 400).cast("int").alias("width"), (100 + F.col("n_chars") % 300).cast("int").alias("height"))
+
+
+@query(f"WITH {_PHOTOS} SELECT DISTINCT md5, class, work FROM i JOIN f USING (md5) WHERE w >= 150 AND h >= 150")
+def identical_photos(spark, sf):
+    """Works that share an image whose first copy is large enough."""
+    return similarity.identical_photos(_photos(spark, sf))
+
+
+@query(f"WITH {_PHOTOS} SELECT md5, works FROM f WHERE w < 150 OR h < 150")
+def stamp_groups(spark, sf):
+    """M6: groups of images too small to be evidence."""
+    return similarity.stamp_groups(_photos(spark, sf))
+
+
+@query("""WITH i AS (SELECT md5(text) AS md5, source, doc_id, n_chars FROM documents)
+SELECT md5, source, max(doc_id) AS doc_id, arg_max(n_chars, doc_id) AS n_chars FROM i GROUP BY md5, source""")
+def last_wins_per_work(spark, sf):
+    """Of equal images of one work the last."""
+    d = views.load(spark, sf, "documents").select(F.md5("text").alias("md5"), "source", "doc_id", "n_chars")
+    return similarity.last_per_work(d, ["md5", "source"], "doc_id")
+
+
+@query(f"""WITH {_PAIRS}, ends AS (SELECT a AS work, b AS other, d FROM p WHERE d <= {_NEAR} UNION ALL SELECT b, a, d FROM p WHERE d <= {_NEAR})
+SELECT work, other, CAST(d AS INTEGER) AS distance FROM ends WHERE work IN (3, 10, 21)""")
+def duplicates_of_work(spark, sf):
+    """2.15 /works/{id}/duplicates, J19: the edges of given works, whichever end they are."""
+    edges = similarity.hash_pairs(_hashes(spark, sf), "id", "x", _NEAR)
+    both = edges.select(F.col("a").alias("work"), F.col("b").alias("other"), "distance").union(edges.select("b", "a", "distance"))
+    return both.where(F.col("work").isin(3, 10, 21))
 
 
 @query()
 def text_near_pairs(spark, sf):
-    """J11, M10, U-1: benchmark texts with a matching ratio above 0.9, and their near copies."""
-    b = views.load(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lower("text").alias("t"), F.lit("all").alias("g"))
-    edited = b.select((F.col("id") + 1_000_000).alias("id"), F.concat(F.lit("x "), "t").alias("t"), "g")
-    return similarity.text_pairs(b.unionByName(edited), "id", "t", "g").select("a", "b", F.round("ratio", 6).alias("ratio"))
+    """J11, M10, U-1: descriptions of one official's works with a matching ratio above 0.9 in different fiscal years."""
+    o, l = views.load(spark, sf, "orders"), views.load(spark, sf, "lineitem")
+    p = views.load(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
+    w = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, "l_partkey")
+    text = F.lower(F.concat_ws(" ", F.lit("supply and laying of"), "p_name", "p_brand", F.lit("for order of"), "o_orderpriority"))
+    d = w.select(F.col("l_orderkey").alias("id"), F.col("o_custkey").alias("mp"), text.alias("t"), F.year("o_orderdate").alias("year"))
+    return similarity.text_pairs(d, "id", "t", "mp", across="year").select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 _W = """w AS (SELECT l_suppkey AS vendor, o_custkey AS mp, CAST(o_orderdate AS DATE) AS day, l_extendedprice AS amount, l_orderkey * 10 + l_linenumber AS id
@@ -167,11 +228,14 @@ def round_trip_interval_join(spark, sf):
     return vendors.round_trips(o, o, low=0.5, high=0.98)
 
 
-@query(f"""WITH {_W}, b AS (SELECT mp, vendor, count(*) AS works FROM w GROUP BY mp, vendor), t AS (SELECT mp, sum(works) AS total FROM b GROUP BY mp),
+_ROLLUP = f"""WITH {_W}, b AS (SELECT mp, vendor, count(*) AS works FROM w GROUP BY mp, vendor), t AS (SELECT mp, sum(works) AS total FROM b GROUP BY mp),
 c AS (SELECT DISTINCT vendor FROM b JOIN t USING (mp) WHERE works / total >= 0.05 AND total >= 20),
 e AS (SELECT DISTINCT vendor, mp FROM w), n AS (SELECT (SELECT count(DISTINCT vendor) FROM e) + (SELECT count(DISTINCT mp) FROM e) AS n)
 SELECT vendor, count(*) AS works, count(DISTINCT mp) AS officials, round(sum(amount), 1) AS total, CAST(any_value(CASE WHEN vendor IN (SELECT vendor FROM c) THEN 1 ELSE 0 END) AS BIGINT) AS patterns,
-  round(least(least(0.3 * any_value(CASE WHEN vendor IN (SELECT vendor FROM c) THEN 1 ELSE 0 END), 1) + 0.2 * count(DISTINCT mp) / (any_value(n) - 1), 1), 6) AS score FROM w, n GROUP BY vendor""")
+  round(least(least(0.3 * any_value(CASE WHEN vendor IN (SELECT vendor FROM c) THEN 1 ELSE 0 END), 1) + 0.2 * count(DISTINCT mp) / (any_value(n) - 1), 1), 6) AS score FROM w, n GROUP BY vendor"""
+
+
+@query(_ROLLUP)
 def vendor_rollup(spark, sf):
     """Totals, patterns and score per vendor."""
     w = _vendor_works(spark, sf)
@@ -182,6 +246,13 @@ def vendor_rollup(spark, sf):
     return r.select("vendor", "works", F.size(F.split("mps", ";")).cast("long").alias("officials"), F.round("total", 1).alias("total"), "patterns", F.round("score", 6).alias("score"))
 
 
+@query(f"SELECT vendor, works, score FROM ({_ROLLUP}) AS r WHERE score > 0.2 ORDER BY score DESC, vendor LIMIT 100")
+def vendor_network_list(spark, sf):
+    """F7, 2.15 /vendor-network: the rollup's vendors above a risk, riskiest first."""
+    r = vendor_rollup(spark, sf).where("score > 0.2")
+    return serving.page(r, [F.desc("score"), F.col("vendor")], 0, 100).select("vendor", "works", "score")
+
+
 _BANDS = """e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)) * 10000) AS v FROM embeddings),
 b AS (SELECT id, v[1:16] AS red0, v[17:32] AS nir0, v[33:48] AS red1, v[49:64] AS nir1 FROM e),
 n AS (SELECT id, list_avg(list_transform(list_zip(red0, nir0), lambda z: CASE WHEN z[2] + z[1] = 0 THEN 0 ELSE (z[2] - z[1]) / (z[2] + z[1]) END)) AS n0,

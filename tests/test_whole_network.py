@@ -8,8 +8,8 @@ def test_members_of_classes_across_groups(spark):
     d = spark.createDataFrame(rows, "h string, id long, source string")
     got = sorted(tuple(r) for r in similarity.members_of(d, ["h"], "id", "source", "source").collect())
     assert got == [(1, 1, "s"), (1, 2, "s"), (1, 3, "t"), (6, 6, "s"), (6, 7, "t")]
-    linked = similarity.pairs_of(d, ["h"], "id", "source").where("crosses")
-    assert 1 not in {x for r in linked.collect() for x in (r.a, r.b)}
+    linked = {(r.a, r.b) for r in similarity.cross_links(d, ["h"], "id", "source").collect()}
+    assert linked == {(1, 3), (2, 3), (3, 1), (6, 7), (7, 6)}
     assert len(similarity.members_of(d, ["h"], "id", "source", "id").collect()) == 7
 
 
