@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,38 @@ def sessions(stream: DataFrame, at: str, gap: str, delay: str, key: str) -> Data
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def sliding_attempts(stream: DataFrame, key: str, item: str, at: str, seconds: int, limit: int) -> DataFrame:
+    """(item, key, attempts, limited): a row's number of its key's rows in the seconds before it, itself included.
+
+    A key's state is the times of its last ``seconds``, no more than fit into them; rows of one batch go by
+    time and item, and a row later than its batch counts what the state still has."""
+
+    def run(name, batches, state):
+        import bisect
+
+        times = list(state.get[0]) if state.exists else []
+        rows = sorted((int(t.value // 1_000_000_000), int(i)) for b in batches for t, i in zip(b[at], b[item]))
+        out = []
+        for second, number in rows:
+            bisect.insort(times, second)
+            low = bisect.bisect_left(times, second - seconds)
+            out.append((number, name[0], bisect.bisect_right(times, second) - low))
+        state.update((times[bisect.bisect_left(times, times[-1] - seconds) :],))
+        frame = pd.DataFrame(out, columns=[item, key, "attempts"])
+        frame["limited"] = frame["attempts"] >= limit
+        yield frame
+
+    grouped = stream.select(key, item, at).groupBy(key)
+    return grouped.applyInPandasWithState(
+        run, f"{item} long, {key} long, attempts long, limited boolean", "times array<long>", "append", "NoTimeout"
+    )
+
+
+def live_tokens(tokens: DataFrame, revoked: DataFrame, key: str, expires: str, at: str) -> DataFrame:
+    """Tokens, a table or a stream, that have not expired when they are used and that nobody revoked."""
+    return tokens.where(F.col(at) < F.col(expires)).join(revoked.select(key).distinct(), key, "left_anti")
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there, then stop; a second run goes on from the checkpoint."""
     q = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).option("path", path)
