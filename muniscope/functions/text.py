@@ -70,3 +70,8 @@ def case_id(work: Column, clusters: Column, state: Column, version: str) -> Colu
 
 def rupees(x: Column) -> Column:
     return F.concat(F.lit("₹"), F.format_number(x, 0))
+
+
+def exactly(column: str, allowed: list[str]) -> Column:
+    """The raw value is one of those allowed, without any normalisation; null is none."""
+    return F.coalesce(F.col(column).isin(allowed), F.lit(False))

@@ -19,27 +19,81 @@ def digest(df: DataFrame) -> str:
 
 
 def write_snapshot(df: DataFrame, path: str, order: list[str]) -> bool:
-    """Sorted Parquet at ``path`` and its digest beside it; False if the content is there already.
+    """Sorted Parquet as a new version under ``path``; False if the newest version has that content already.
 
-    A new snapshot is written aside and then moved, so readers see one or the other."""
+    A version is written in full under a name of its own and then named in ``path/current``, by a rename of one
+    file. Readers (read_snapshot) see the version named there, the old one or the new one, at any moment."""
     spark = df.sparkSession
     fs, jpath = _file_system(spark, path)
-    mark = f"{path.rstrip('/')}.digest"
     now = digest(df)
-    if fs.exists(jpath(path)) and fs.exists(jpath(mark)):
-        if [r[0] for r in spark.read.text(mark).collect()] == [now]:
-            return False
-    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.orderBy(*order).write.parquet(aside)
-    old = f"{aside}.old"
-    if fs.exists(jpath(path)):
-        fs.rename(jpath(path), jpath(old))
-    fs.rename(jpath(aside), jpath(path))
-    spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(mark)
-    fs.delete(jpath(old), True)
+    pointer = _pointer(spark, path)
+    if pointer and pointer[1] == now:
+        return False
+    version = f"v-{uuid.uuid4().hex}"
+    df.orderBy(*order).write.parquet(f"{path}/{version}")
+    # Names of pointers count up; the highest one that exists is current, so that no name is taken away.
+    number = (pointer[2] if pointer else 0) + 1
+    aside = f"{path}/.{version}"
+    out = fs.create(jpath(aside))
+    out.write(f"{version} {now}".encode())
+    out.close()
+    if not fs.rename(jpath(aside), jpath(f"{path}/current-{number:012d}")):
+        raise RuntimeError(f"{path} was changed by another writer")
     return True
 
 
+def _pointer(spark: SparkSession, path: str) -> tuple[str, str, int] | None:
+    """(version, digest, number) of the newest snapshot."""
+    fs, jpath = _file_system(spark, path)
+    if not fs.exists(jpath(path)):
+        return None
+    names = sorted(f.getPath().getName() for f in fs.listStatus(jpath(path)) if f.getPath().getName().startswith("current-"))
+    if not names:
+        return None
+    version, found = spark.read.text(f"{path}/{names[-1]}").first()[0].split(" ")
+    return version, found, int(names[-1].rpartition("-")[2])
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    pointer = _pointer(spark, path)
+    if not pointer:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return spark.read.parquet(f"{path}/{pointer[0]}")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; dates and times in ISO form, nulls empty, quotes doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""').option(
+        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss"
+    ).csv(path)
+
+
+def content_cache(images: DataFrame, path: str) -> DataFrame:
+    """Images stored once under their md5: appends what is not there yet and returns (md5, image) of all."""
+    named = images.select(F.md5("image").alias("md5"), "image")
+    insert_if_new(named, path, "md5")
+    return images.sparkSession.read.parquet(path)
+
+
+def backup_before(spark: SparkSession, path: str, tables: list[str]) -> str | None:
+    """Copy the folder of tables once before it gets a table it does not have; the copy's path, or None."""
+    fs, jpath = _file_system(spark, path)
+    if not fs.exists(jpath(path)) or all(fs.exists(jpath(f"{path}/{t}")) for t in tables):
+        return None
+    aside = f"{path.rstrip('/')}.backup-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, jpath(path), fs, jpath(aside), False, conf)
+    return aside
+
+
+def append_audited(actions: DataFrame, log: str, audit: str, actor: str) -> None:
+    """Append actions to their log and one line for each to the audit log, with an id of its own."""
+    append(actions, log)
+    line = F.to_json(F.struct(*actions.columns))
+    append(actions.select(F.uuid().alias("audit_id"), F.lit(actor).alias("actor"), F.current_timestamp().alias("at"), line.alias("detail")), audit)
+
+
 def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path
@@ -76,6 +130,14 @@ def insert_if_new(new: DataFrame, log_path: str, key: str) -> DataFrame:
     return fresh
 
 
+def review_sessions(log: DataFrame, session: str, at: str, kind: str) -> DataFrame:
+    """(session, hours): sessions with a start and an end after it, from a log of both; others are still open."""
+    when = {k: F.min(F.when(F.col(kind) == k, F.col(at))).alias(k) for k in ("start", "end")}
+    both = log.groupBy(session).agg(*when.values()).where("`end` >= start")
+    seconds = F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))
+    return both.select(session, (seconds / 3_600_000_000).alias("hours"))
+
+
 def referenced_only(files: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files that are referenced, references without a file)."""
     return files.join(names, "name", "left_semi"), names.join(files.select("name"), "name", "left_anti")

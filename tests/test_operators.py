@@ -195,7 +195,7 @@ def test_snapshot_log_and_insert(spark, tmp_path):
     assert sinks.write_snapshot(d, path, ["k"]) is True
     assert sinks.write_snapshot(d.orderBy(F.desc("k")), path, ["k"]) is False
     assert sinks.write_snapshot(d.limit(1), path, ["k"]) is True
-    assert spark.read.parquet(path).count() == 1
+    assert sinks.read_snapshot(spark, path).count() == 1
     log = str(tmp_path / "log")
     assert sinks.insert_if_new(d, log, "k").count() >= 0
     sinks.insert_if_new(spark.createDataFrame([(2, "changed"), (3, "c")], "k int, v string"), log, "k")
