@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,8 +15,8 @@ from pyspark.sql.types import StructType
 from ..session import ship_package
 
 #: Rows in an Arrow batch; with whole texts in a row this bounds a Python worker's memory.
-ARROW_ROWS = 512
-ARROW_BYTES = 16 << 20
+ARROW_ROWS = 256
+ARROW_BYTES = 8 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -114,6 +115,14 @@ def record_batch(schema: pa.Schema, *columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: a Python worker lives on for tasks that need less."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def map_rows(df: DataFrame, rows, schema: str | StructType) -> DataFrame:
     """mapInArrow over ``rows(batch) -> RecordBatch | iterator of them``."""
 
@@ -125,6 +134,7 @@ def map_rows(df: DataFrame, rows, schema: str | StructType) -> DataFrame:
                     yield out
                 else:
                     yield from out
+        give_back()
 
     bound_arrow(df.sparkSession)
     return df.mapInArrow(run, schema)

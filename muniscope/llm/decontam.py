@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, discard, materialise, record_batch, row_keyed, table, utf8
+from .common import bound_arrow, discard, give_back, materialise, record_batch, row_keyed, table, utf8
 
 WINDOW = 13
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 SAMPLE = 8
 BLOCK_BYTES = 4 << 20
 
@@ -298,6 +298,7 @@ def _search_block(source: DataFrame, items: list[tuple[str, bytes]], all_rows: b
                     keys, raw, texts, held = [], [], [], 0
         if keys:
             yield _rows(keys, raw, texts, known, all_rows)
+        give_back()
 
     bound_arrow(spark)
     found = materialise(source.mapInArrow(run, DDL), f"decontam-{k}")

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HOT_SHARE, bound_arrow, discard, join_groups, map_rows, materialise, record_batch, row_keyed, table, utf8
+from .common import HOT_SHARE, bound_arrow, discard, give_back, join_groups, map_rows, materialise, record_batch, row_keyed, table, utf8
 from .components import components
 
 CHUNK_SHINGLES = 200_000
@@ -68,7 +68,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class _Words(dict):
     """Word hashes seen by this worker; emptied when it grows large."""
 
-    MOST = 200_000
+    MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -231,7 +231,7 @@ def leaf_pairs(x: SignatureTree, y: SignatureTree, sim: Similarity) -> dict[int,
     return found
 
 
-CELLS = 1 << 22
+CELLS = 1 << 20
 
 
 def count_links(
@@ -458,6 +458,8 @@ def _link_sorted(members: DataFrame, hashes: DataFrame, sim: Similarity) -> Data
                 sets.append(np.frombuffer(hashes, dtype=np.uint64))
         if len(nodes) > 1:
             yield close()
+        nodes, labels, sets = [], [], []
+        give_back()
 
     bound_arrow(members.sparkSession)
     rows = members.select("block", "chunk", "node", "label").join(hashes, "node")
@@ -570,6 +572,8 @@ def link_numbers(members: DataFrame, hashes: DataFrame, sim: Similarity, chunk:
                 sets[side].append(np.frombuffer(raw, dtype=np.uint64))
                 copies[side].append(weight)
         yield from close()
+        nodes, sets, copies = ([], []), ([], []), ([], [])
+        give_back()
 
     bound_arrow(members.sparkSession)
     key = ["root", "x", "y"]

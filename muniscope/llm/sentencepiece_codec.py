@@ -233,7 +233,7 @@ DIGESTS = pa.schema(
 )
 
 
-def _parts(batch: pa.RecordBatch, most: int = 2 << 20):
+def _parts(batch: pa.RecordBatch, most: int = 1 << 20):
     """Slices of a batch with at most ``most`` bytes of text, one row at least."""
     raw = batch.column(1).to_pylist()
     start = size = 0

@@ -68,7 +68,7 @@ def terms(word: bytes) -> list[str]:
 class Weights(dict):
     """Lexicon weight of a word, worked out once for each word seen."""
 
-    MOST = 200_000
+    MOST = 100_000
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
