@@ -471,10 +471,12 @@ def _cut(nodes: DataFrame, group: str, sim: Similarity, chunk: int) -> DataFrame
     """nodes (group, node, n_shingles, ...) with big, band and chunk: where a group is too large for one
     task, its chunks go by size class and hash and hold about ``chunk`` shingles."""
     whole = nodes.groupBy(group).agg(F.sum("n_shingles").alias("_all"))
-    large = whole.where(F.col("_all") > chunk).select(group, F.lit(True).alias("big"))
+    # Few groups are large; written, so that their size is known and their nodes stay where they are.
+    large = materialise(whole.where(F.col("_all") > chunk).select(group, F.lit(True).alias("big")), "jaccard-large")
     band = F.floor(F.log("n_shingles") / F.lit(math.log(sim.q / sim.p))).cast("int")
     sized = nodes.withColumn("band", band).join(large, group, "left")
     totals = sized.where("big").groupBy(group, "band").agg(F.ceil(F.sum("n_shingles") / F.lit(chunk)).cast("long").alias("cuts"))
+    totals = materialise(totals, "jaccard-cuts")
     name = F.concat_ws(":", "band", F.pmod(F.xxhash64("node"), "cuts"))
     return sized.join(totals, [group, "band"], "left").withColumn("chunk", F.when(F.col("big"), name).otherwise("")).drop("cuts")
 
