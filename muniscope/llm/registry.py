@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL for those that SQL can express."""
 
-from . import chat, decontam, exact_dedup, html_extract, jaccard_join, license_scan, line_templates, sentencepiece_codec, toxicity, warc
+from . import chat, decontam, exact_dedup, html_extract, jaccard_join, license_scan, line_templates, periodic_runs, ring_shards, sentencepiece_codec, spelling_variants, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,9 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
+        "op11_ring_shards": ring_shards.op11_ring_shards,
+        "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
 
