@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scores import hamming
 from ..session import ship_package
+from .graph import discard, shared_table
 
 
 def pair_up(df: DataFrame, key: list[str], item: str, group: str) -> DataFrame:
@@ -87,16 +88,57 @@ def hash_pairs(df: DataFrame, item: str, bits: str, distance: int) -> DataFrame:
     return near.unionByName(copies.select(F.col("first").alias("a"), F.col(item).alias("b"), F.lit(0).alias("distance")))
 
 
-def sampled_histogram(df: DataFrame, item: str, bits: str, rows: int = 1024) -> DataFrame:
-    """(distance, n) over all pairs of at most ``rows`` items, those first by a digest of the item: a bound that
-    does not grow with the data, enough for a percentile of all pairs."""
-    order = F.md5(F.col(item).cast("string"))
-    x = np.array([r[0] for r in df.orderBy(order).limit(rows).select(bits).collect()], dtype=np.int64).view(np.uint64)
-    counts = np.zeros(65, dtype=np.int64)
-    for i in range(1, len(x)):
-        counts += np.bincount(np.bitwise_count(x[:i] ^ x[i]), minlength=65)
-    found = [(d, n) for d, n in enumerate(counts.tolist()) if n]
-    return df.sparkSession.createDataFrame(found, "distance int, n long")
+#: Distinct hashes in a block: two blocks make one tile of distance_histogram.
+BLOCK = 4096
+
+
+def _tile(x: np.ndarray, c: np.ndarray, y: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Pairs by distance between two lists of hashes with their numbers of copies; at most 256 rows are spread out at once."""
+    out = np.zeros(65, dtype=np.int64)
+    single = (c == 1).all() and (d == 1).all()
+    for at in range(0, len(x), 256):
+        far = np.bitwise_count(x[at : at + 256, None] ^ y[None, :]).ravel()
+        if single:
+            out += np.bincount(far, minlength=65)
+        else:
+            np.add.at(out, far, (c[at : at + 256, None] * d[None, :]).ravel())
+    return out
+
+
+def distance_histogram(df: DataFrame, item: str, bits: str, block: int = BLOCK) -> DataFrame:
+    """(distance, n) over all pairs of items, n(n - 1)/2 of them: exact, whatever their number.
+
+    Equal hashes count as one value with its copies, so a hot hash is one row. Distinct values are dealt by a digest to blocks of
+    about ``block``; every two blocks make a tile, a task's work of fixed size, of which 65 sums remain. The work grows with the square of
+    the distinct values, as the question does; memory does not. Nulls are in no pair."""
+    spark = df.sparkSession
+    ship_package(spark)
+    values = df.where(F.col(item).isNotNull() & F.col(bits).isNotNull()).groupBy(F.col(bits).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    values = shared_table(values, "hash-values")
+    blocks = max(1, -(-values.count() // block))
+    packed = values.groupBy(F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("x").alias("x"), F.collect_list("c").alias("c"))
+    packed = shared_table(packed, "hash-blocks")
+    meets = packed.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))))
+    other = packed.select(F.col("block").alias("other"), F.col("x").alias("y"), F.col("c").alias("d"))
+    tiles = meets.join(other, "other").repartition("block", "other")
+
+    def count(batches):
+        total = np.zeros(65, dtype=np.int64)
+        for batch in batches:
+            for a, b, *lists in zip(*(batch[k] for k in ("block", "other", "x", "c", "y", "d"))):
+                x, c, y, d = (np.asarray(v, dtype=np.int64) for v in lists)
+                found = _tile(x.view(np.uint64), c, y.view(np.uint64), d)
+                if a == b:  # every pair came twice, and each value met itself
+                    found[0] -= (c * c).sum()
+                    found //= 2
+                    found[0] += (c * (c - 1) // 2).sum()
+                total += found
+        yield pd.DataFrame([(k, int(n)) for k, n in enumerate(total) if n], columns=["distance", "n"])
+
+    counted = tiles.mapInPandas(count, "distance int, n long").groupBy("distance").agg(F.sum("n").alias("n"))
+    counted = shared_table(counted, "hash-distances")
+    discard(values, packed)
+    return counted
 
 
 def last_per_work(df: DataFrame, key: list[str], order: str) -> DataFrame:

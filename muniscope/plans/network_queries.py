@@ -69,23 +69,24 @@ def hamming_pairs_banded(spark, sf):
     return similarity.hash_pairs(_hashes(spark, sf), "id", "x", _NEAR)
 
 
-_SAMPLE = f"{_BITS}, s AS (SELECT * FROM h ORDER BY md5(CAST(id AS VARCHAR)) LIMIT 1024), hist AS (SELECT {_DIST} AS d, count(*) AS n FROM s a JOIN s b ON a.id < b.id GROUP BY 1)"
+_HIST = f"hist AS (SELECT {_DIST} AS d, count(*) AS n FROM h a JOIN h b ON a.id < b.id GROUP BY 1)"
+_THRESHOLD = f"""{_HIST}, run AS (SELECT d, sum(n) OVER (ORDER BY d) AS run, sum(n) OVER () AS total FROM hist),
+t AS (SELECT CAST(least(6, greatest(2, floor(min(d) / 2))) AS INTEGER) AS threshold FROM run WHERE run >= greatest(1, total * 0.01))"""
 
 
-@query(f"WITH {_SAMPLE} SELECT CAST(d AS INTEGER) AS distance, n FROM hist")
+@query(f"WITH {_BITS}, {_HIST} SELECT CAST(d AS INTEGER) AS distance, n FROM hist")
 def hamming_histogram(spark, sf):
-    """Distances of all pairs of a bounded sample."""
-    return similarity.sampled_histogram(_hashes(spark, sf), "id", "x")
+    """Distances of all pairs, counted tile by tile."""
+    return similarity.distance_histogram(_hashes(spark, sf), "id", "x")
 
 
-@query(f"""WITH {_SAMPLE}, r AS (SELECT d, sum(n) OVER (ORDER BY d) AS run, sum(n) OVER () AS total FROM hist)
-SELECT CAST(least(6, greatest(2, floor(min(d) / 2))) AS INTEGER) AS threshold FROM r WHERE run >= greatest(1, total * 0.01)""")
+@query(f"WITH {_BITS}, {_THRESHOLD} SELECT threshold FROM t")
 def adaptive_threshold(spark, sf):
     """The threshold a histogram of distances asks for."""
-    return similarity.adaptive_threshold(similarity.sampled_histogram(_hashes(spark, sf), "id", "x"))
+    return similarity.adaptive_threshold(similarity.distance_histogram(_hashes(spark, sf), "id", "x"))
 
 
-_COMP = f"""RECURSIVE {_PAIRS}, pairs AS (SELECT a, b FROM p WHERE d <= {_NEAR} AND keep), e2 AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+_COMP = f"""RECURSIVE {_PAIRS}, {_THRESHOLD}, pairs AS (SELECT a, b FROM p WHERE d <= (SELECT threshold FROM t) AND keep), e2 AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach AS (SELECT a AS node, b AS seen FROM e2 UNION SELECT r.node, e2.b FROM reach r JOIN e2 ON e2.a = r.seen),
 comp AS (SELECT node, least(node, min(seen)) AS component FROM reach GROUP BY node)"""
 
@@ -93,7 +94,7 @@ comp AS (SELECT node, least(node, min(seen)) AS component FROM reach GROUP BY no
 def _near(spark, sf):
     """M7: pairs within the threshold that the data's own histogram asks for."""
     h = graph.shared_table(_hashes(spark, sf), "hashes")
-    t = similarity.adaptive_threshold(similarity.sampled_histogram(h, "id", "x")).first()
+    t = similarity.adaptive_threshold(similarity.distance_histogram(h, "id", "x")).first()
     return graph.shared_table(similarity.hash_pairs(h, "id", "x", t[0] if t and t[0] is not None else 2), "pairs")
 
 

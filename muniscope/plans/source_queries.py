@@ -75,7 +75,7 @@ def csv_artifact_scan(spark, sf):
 _JPEG = "unhex('FFD8FFE0') || encode(p_name) || unhex('FFD9')"
 
 
-def _files(spark, sf):
+def embedded_files(spark, sf):
     """(path, length, modificationTime, content): parts as files in memory: every third a picture, a document with two, or neither."""
     p = views.load(spark, sf, "part")
     jpeg = F.concat(F.unhex(F.lit("FFD8FFE0")), F.col("p_name").cast("binary"), F.unhex(F.lit("FFD9")))
@@ -89,23 +89,14 @@ def _files(spark, sf):
 SELECT 'f/' || p_partkey AS path, md5, CASE WHEN p_partkey % 3 = 1 THEN 2 ELSE 1 END AS n FROM j""")
 def embedded_jpegs(spark, sf):
     """Every JPEG stream inside files, by path and digest."""
-    found = corpus.embedded_images(_files(spark, sf))
+    found = corpus.embedded_images(embedded_files(spark, sf))
     return found.groupBy("path", "md5").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@query(f"""SELECT md5({_JPEG}) AS md5, CAST(octet_length({_JPEG}) AS BIGINT) AS bytes FROM part WHERE p_partkey % 3 < 2 GROUP BY ALL""")
-def content_addressed_images(spark, sf):
-    """K6: images stored once under their digest; a second run adds nothing."""
-    path = graph.shared_folder(spark, "cache")
-    found = corpus.embedded_images(_files(spark, sf)).select("image")
-    sinks.content_cache(found, path)
-    return sinks.content_cache(found, path).select("md5", F.length("image").cast("long").alias("bytes"))
-
-
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'not_a_pdf' WHEN p_partkey % 3 = 2 THEN CASE p_partkey % 6 WHEN 2 THEN 'empty' ELSE 'unsupported' END END AS failure FROM part""")
 def pdf_failures(spark, sf):
     """Why a document gave no image."""
-    f = _files(spark, sf).withColumn("id", F.substring("path", 3, 20).cast("long"))
+    f = embedded_files(spark, sf).withColumn("id", F.substring("path", 3, 20).cast("long"))
     none = F.when(F.col("id") % 6 == 2, F.lit("")).otherwise(F.lit("%PDF-1.4 /Filter /JPXDecode %%EOF")).cast("binary")
     f = f.withColumn("content", F.when(F.col("id") % 3 == 2, none).otherwise(F.col("content")))
     return f.select("id", corpus.pdf_failure("content").alias("failure"))
@@ -208,39 +199,6 @@ def two_band_rasters(spark, sf):
     return corpus.raster_bands(files).select(F.col("path").cast("long").alias("id"), "width", add("red").alias("red"), add("nir").alias("nir"))
 
 
-@query("SELECT vec_id AS id, CASE vec_id % 4 WHEN 0 THEN 'confirmed_visual_correspondence' WHEN 1 THEN 'rejected_generic_similarity' WHEN 2 THEN 'rejected_watermark' ELSE 'insufficient_features' END AS class FROM embeddings WHERE vec_id < 12")
-def picture_comparison(spark, sf):
-    """M9: pictures drawn from an id (shifted, another scene, the same stamp, blank) compared by points and a transform."""
-    ship_package(spark)
-
-    @F.pandas_udf("struct<one:array<float>,two:array<float>>")
-    def draw(ids: pd.Series) -> pd.DataFrame:
-        out = []
-        for k in ids:
-            rng = np.random.default_rng(int(k))
-            scene = lambda: np.kron(rng.integers(40, 220, (30, 30)), np.ones((8, 8))) + rng.normal(0, 2, (240, 240))
-            one, other = scene(), scene()
-            if k % 4 == 0:
-                two = np.roll(one, (6, -9), axis=(0, 1)) * 0.9 + 10
-            elif k % 4 == 3:
-                one = two = np.full((240, 240), 128.0)
-            else:
-                two = other
-            if k % 4 == 2:  # flat pictures under a stamp they share
-                one, two = np.full((240, 240), 128.0), np.full((240, 240), 90.0)
-                stamp = np.kron(rng.integers(0, 255, (6, 60)), np.ones((4, 4)))
-                one[:24], two[:24], one[-24:], two[-24:] = stamp, stamp, stamp[::-1], stamp[::-1]
-                noise = np.kron(rng.integers(0, 40, (2, 30, 30)), np.ones((1, 8, 8)))
-                one[24:-24] += noise[0][24:-24]
-                two[24:-24] += noise[1][24:-24]
-            out.append((one.ravel(), two.ravel()))
-        return pd.DataFrame(out, columns=["one", "two"])
-
-    e = views.load(spark, sf, "embeddings").where("vec_id < 12").select(F.col("vec_id").alias("id"))  # twelve drawn pictures
-    d = e.select("id", draw("id").alias("p")).select("id", images.compare_pictures("p.one", F.lit(240), "p.two", F.lit(240)).alias("m"))
-    return d.select("id", images.match_class(F.col("m.good"), F.col("m.inlier_ratio"), F.col("m.coverage"), F.col("m.keypoints"), F.col("m.stamped")).alias("class"))
-
-
 @query("""WITH s AS (SELECT user_id, event_id % 7 AS slot, ts, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'end' END AS kind FROM events),
 g AS (SELECT user_id || ':' || slot AS session, min(ts) FILTER (kind = 'start') AS a, min(ts) FILTER (kind = 'end') AS b FROM s GROUP BY 1)
 SELECT session, round(epoch(b - a) / 3600.0, 4) AS hours FROM g WHERE b >= a""")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import images
 from ..operators import graph, injection, peers
-from ..session import ship_package
 from ..sources import sinks, views
 from ..streaming import streams
 from .registry import query
@@ -121,14 +120,6 @@ def cost_outlier_recall(spark, sf):
     return injection.recall(w, z.where(F.col("z") > peers.FLAG_Z))
 
 
-@query()
-def perceptual_hashes(spark, sf):
-    """P15, U-2: perceptual hashes of small pictures (embeddings seen as 8 x 8 grey values)."""
-    ship_package(spark)
-    e = views.load(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("p"))
-    return e.select("vec_id", images.phash(F.col("p"), F.lit(8)).alias("phash"))
-
-
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'insufficient_features' WHEN o_orderkey % 150 >= 100 AND (o_custkey % 10) / 10.0 >= 0.2 AND (o_custkey % 7) / 20.0 >= 0.05 THEN 'confirmed_visual_correspondence'
   WHEN o_orderstatus = 'P' THEN 'rejected_watermark' ELSE 'rejected_generic_similarity' END AS class FROM orders""")
 def image_match_class(spark, sf):

@@ -2,6 +2,7 @@ import datetime
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +246,31 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert run() == 5
     spark.range(3, 8).write.mode("append").parquet(source)
     assert run() == 8
+
+
+@pytest.mark.parametrize("n,block", [(0, 7), (1, 7), (60, 7), (300, 50), (300, 4096)])
+def test_distances_of_all_pairs(spark, n, block):
+    """Every pair once, copies and a hot value included, in one tile or many."""
+    rng = np.random.default_rng(n)
+    values = [int(v) for v in rng.integers(-(1 << 63), (1 << 63) - 1, n)]
+    values = [values[0] if i % 3 == 0 else values[i % 90] ^ (1 << i % 64) if i % 3 == 1 else v for i, v in enumerate(values)]
+    d = spark.createDataFrame([*enumerate(values), (None, 5), (n + 1, None)], "id long, x long")
+    got = {r.distance: r.n for r in similarity.distance_histogram(d, "id", "x", block).collect()}
+    want: dict = {}
+    for i in range(n):
+        for j in range(i):
+            k = bin((values[i] ^ values[j]) & ((1 << 64) - 1)).count("1")
+            want[k] = want.get(k, 0) + 1
+    assert got == want and sum(got.values()) == n * (n - 1) // 2
+
+
+def test_a_threshold_below_six(spark):
+    """Two percent of the pairs within four bits, the rest far: the threshold is two, and only closer pairs are linked."""
+    rng = np.random.default_rng(1)
+    base = [int(v) for v in rng.integers(0, 1 << 62, 20)]
+    values = [b ^ flip for b in base for flip in (0, 0b1111, 0b11)]
+    d = spark.createDataFrame(list(enumerate(values)), "id long, x long")
+    h = similarity.distance_histogram(d, "id", "x")
+    assert similarity.adaptive_threshold(h).first().threshold == 2
+    near = similarity.hash_pairs(d, "id", "x", 2)
+    assert {(r.a, r.b) for r in near.collect()} == {(3 * k + i, 3 * k + 2) for k in range(20) for i in (0, 1)}

@@ -76,7 +76,7 @@ def test_hash_pairs_name_copies_once(spark):
     want = [(i, j, (values[i] ^ values[j]).bit_count()) for i in reps for j in reps if i < j and (values[i] ^ values[j]).bit_count() <= 2]
     want += [(first[v], i, 0) for i, v in enumerate(values) if first[v] != i]
     assert got == sorted(want)
-    hist = {r.distance: r.n for r in similarity.sampled_histogram(d, "id", "x", 100).collect()}
+    hist = {r.distance: r.n for r in similarity.distance_histogram(d, "id", "x", 100).collect()}
     assert sum(hist.values()) == len(values) * (len(values) - 1) // 2
 
 
@@ -126,13 +126,6 @@ def test_pictures_that_are_none_have_null_counts(spark):
     assert [r.good for r in got] == [None, None, 0] and got[2].keypoints == 0
 
 
-def test_downscale_keeps_the_mean():
-    x = np.random.default_rng(3).random((300, 100))
-    small = images.downscale(x, 60)
-    assert small.shape == (60, 20) and abs(small.mean() - x.mean()) < 1e-9
-    assert images.downscale(x, 400) is x
-
-
 def test_tiff_layouts():
     red, nir = np.arange(12, dtype="<f4").reshape(3, 4), np.arange(12, 24, dtype="<f4").reshape(3, 4)
     for planar in (1, 2):
