@@ -116,8 +116,10 @@ class PagedRecords(DataSource):
 
 
 class _FileReader(DataSourceStreamReader):
-    """Offset: the latest time of change that has been read, in nanoseconds. Files of that very time are offered
-    again, as one may have come late; whoever reads drops what was there (see changed_files)."""
+    """Offset: the latest time of change that has been read, in nanoseconds, and how many files there were up to it.
+
+    When there are more of them than were read, some came with an old time: then all are offered again, and whoever reads
+    drops what was there (see changed_files)."""
 
     def __init__(self, options):
         self.path = options["path"]
@@ -131,13 +133,18 @@ class _FileReader(DataSourceStreamReader):
         return [f for f in found if f.is_file and f.base_name.lower().endswith(self.kinds)]
 
     def initialOffset(self):
-        return {"modified": 0}
+        return {"modified": 0, "files": 0}
 
     def latestOffset(self):
-        return {"modified": max([0, *(f.mtime_ns for f in self._found())])}
+        found = self._found()
+        return {"modified": max([0, *(f.mtime_ns for f in found)]), "files": len(found)}
 
     def partitions(self, start, end):
-        return [FileAt(f.path, f.size, f.mtime_ns) for f in self._found() if start["modified"] <= f.mtime_ns <= end["modified"]]
+        found = [f for f in self._found() if f.mtime_ns <= end["modified"]]
+        fresh = [f for f in found if f.mtime_ns > start["modified"]]
+        if len(found) - len(fresh) != start["files"]:
+            fresh = found
+        return [FileAt(f.path, f.size, f.mtime_ns) for f in fresh]
 
     def read(self, partition):
         system, _ = file_system(self.path)
@@ -171,8 +178,7 @@ def paged_records(spark: SparkSession, path: str, schema: str, key: str, pages:
 
 
 def changed_files(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of media files: each once, and again when its length or time of change is another. A file that appears with a
-    time of change before the latest one read is not seen.
+    """A stream of media files: each once, and again when its length or time of change is another.
 
     What has been read is state by (path, length, modified), so it is kept for as long as the stream runs: a row a file."""
     ship_package(spark)

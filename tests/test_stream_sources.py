@@ -83,6 +83,8 @@ def test_changed_files_come_again(spark, tmp_path):
     assert run() == [("a.jpg", "one"), ("a.jpg", "one more"), ("b.PDF", "two"), ("c.png", "three"), ("d.png", "four")]
     put("e.png", "five", 1003)
     assert ("e.png", "five") in run()
+    put("f.png", "six", 500)  # older than all
+    assert len(run()) == 7 and ("f.png", "six") in run()
 
 
 def batches(spark, folder, rows, parts):
