@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..session import ship_package
@@ -44,10 +48,8 @@ class Page(InputPartition):
 
 
 @dataclass
-class FileAt(InputPartition):
-    path: str
-    length: int
-    modified: int
+class Listed(InputPartition):
+    files: list[tuple[str, int, int]]
 
 
 def rows_of_page(text: str, key: str) -> list[dict]:
@@ -116,55 +118,56 @@ class PagedRecords(DataSource):
 
 
 class _FileReader(DataSourceStreamReader):
-    """Offset: the latest time of change that has been read, in nanoseconds, and how many files there were up to it.
+    """Offset: the latest time of change that was listed, in nanoseconds, and a digest of all files up to it.
 
-    When there are more of them than were read, some came with an old time: then all are offered again, and whoever reads
-    drops what was there (see changed_files)."""
+    A batch lists the files that are newer. Where the digest of the others is not the one of before (a file has
+    changed, gone, or come with an old time), all are listed; whoever reads drops what was there (see changed_files)."""
 
     def __init__(self, options):
         self.path = options["path"]
         self.kinds = tuple(f".{k}" for k in options.get("kinds", ",".join(MEDIA)).split(","))
 
-    def _found(self):
+    def _found(self) -> list[tuple[str, int, int]]:
         from pyarrow import fs
 
         system, folder = file_system(self.path)
         found = system.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
-        return [f for f in found if f.is_file and f.base_name.lower().endswith(self.kinds)]
+        return sorted((f.path, f.size, f.mtime_ns) for f in found if f.is_file and f.base_name.lower().endswith(self.kinds))
 
     def initialOffset(self):
-        return {"modified": 0, "files": 0}
+        return {"modified": 0, "digest": _digest([])}
 
     def latestOffset(self):
         found = self._found()
-        return {"modified": max([0, *(f.mtime_ns for f in found)]), "files": len(found)}
+        return {"modified": max([0, *(at for _, _, at in found)]), "digest": _digest(found)}
 
     def partitions(self, start, end):
-        found = [f for f in self._found() if f.mtime_ns <= end["modified"]]
-        fresh = [f for f in found if f.mtime_ns > start["modified"]]
-        if len(found) - len(fresh) != start["files"]:
-            fresh = found
-        return [FileAt(f.path, f.size, f.mtime_ns) for f in fresh]
+        found = [f for f in self._found() if f[2] <= end["modified"]]
+        old = [f for f in found if f[2] <= start["modified"]]
+        listed = found if _digest(old) != start["digest"] else [f for f in found if f[2] > start["modified"]]
+        return [Listed(listed[i : i + LISTED]) for i in range(0, len(listed), LISTED)]
 
     def read(self, partition):
-        system, _ = file_system(self.path)
+        yield from partition.files
 
-        def fetch() -> bytes:
-            with system.open_input_stream(partition.path) as f:
-                return f.read()
 
-        yield (partition.path, partition.length, partition.modified, with_retry(fetch))
+#: Files in one task's list.
+LISTED = 5000
+
+
+def _digest(files: list[tuple[str, int, int]]) -> str:
+    return hashlib.sha256("\n".join(f"{p}\t{n}\t{at}" for p, n, at in files).encode()).hexdigest()
 
 
 class ChangedFiles(DataSource):
-    """``readStream.format("changed_files")``: (path, length, modified, content) of media files below ``path``."""
+    """``readStream.format("changed_files")``: (path, length, modified) of media files below ``path``, some more than once."""
 
     @classmethod
     def name(cls) -> str:
         return "changed_files"
 
     def schema(self):
-        return "path string, length long, modified long, content binary"
+        return "path string, length long, modified long"
 
     def streamReader(self, schema):
         return _FileReader({k.lower(): v for k, v in self.options.items()})
@@ -177,10 +180,29 @@ def paged_records(spark: SparkSession, path: str, schema: str, key: str, pages:
     return spark.readStream.format("paged_records").schema(schema).option("key", key).option("pagesPerTrigger", pages).load(path)
 
 
+@F.pandas_udf(T.BinaryType())
+def content_of(path: pd.Series) -> pd.Series:
+    """The bytes of files by path or URI."""
+
+    def one(p: str) -> bytes:
+        system, at = file_system(p)
+
+        def fetch() -> bytes:
+            with system.open_input_stream(at) as f:
+                return f.read()
+
+        return with_retry(fetch)
+
+    return path.map(one)
+
+
 def changed_files(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of media files: each once, and again when its length or time of change is another.
+    """(path, length, modified, content), a stream of media files: each once, and again when its length or time of change is another.
 
-    What has been read is state by (path, length, modified), so it is kept for as long as the stream runs: a row a file."""
+    What has been read is state by (path, length, modified), a small row a file, kept for as long as the stream runs.
+    Contents are read, in tasks, of new files only."""
     ship_package(spark)
     spark.dataSource.register(ChangedFiles)
-    return spark.readStream.format("changed_files").load(path).dropDuplicates(["path", "length", "modified"])
+    listed = spark.readStream.format("changed_files").load(path).dropDuplicates(["path", "length", "modified"])
+    scheme = f"{path.split('://')[0]}://" if "://" in path else ""
+    return listed.withColumn("content", content_of(F.concat(F.lit(scheme), "path")))
