@@ -201,31 +201,70 @@ def _letters(x: Column) -> Column:
     return F.array(*(F.length(x) - F.length(F.replace(x, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz "))
 
 
+def _gram_size(threshold: float) -> tuple[int, float]:
+    """(q, share): texts of n and m characters above the threshold have more than share * (n + m) - (q - 1) q-grams in common.
+
+    What the ratio matches is a common subsequence of more than threshold / 2 of both lengths; each character outside of it
+    touches q grams of its own text and q - 1 of the other."""
+    for q in (3, 2, 1):
+        share = 1 - q + (q - 0.5) * threshold
+        if share >= 0.1 or q == 1:
+            return q, share
+    raise AssertionError
+
+
+def _indexed(one: DataFrame, group: str, threshold: float) -> DataFrame:
+    """(group, id, gram, nth): of each text the rarest q-grams of its group, so many that two texts above the
+    threshold share one of them."""
+    q, share = _gram_size(threshold)
+    least = threshold / (2 - threshold)
+    rows = one.select(group, "id", "n", F.explode(F.sequence(F.lit(1), F.col("n") - q + 1)).alias("p"), "t").where(F.col("n") >= q)
+    grams = rows.groupBy(group, "id", "n", F.expr(f"substring(t, p, {q})").alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+    grams = shared_table(grams.select(group, "id", "n", "gram", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("nth")), "grams")
+    often = grams.groupBy(group, "gram", "nth").agg(F.count(F.lit(1)).alias("often"))
+    met = grams.alias("g").join(often.alias("o"), [F.col(f"g.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (group, "gram", "nth")])
+    place = F.row_number().over(Window.partitionBy(group, "id").orderBy("often", "gram", "nth"))
+    common = F.floor(F.col("n") * (1 + least) * share - (q - 1)) + 1  # at least so many with any partner
+    ranked = met.select(*(F.col(f"g.{c}").alias(c) for c in (group, "id", "n", "gram", "nth")), "often").withColumn("place", place)
+    return ranked.where(F.col("place") <= F.col("n") - q + 1 - common + 1).select(group, "id", "gram", "nth")
+
+
 def text_pairs(df: DataFrame, item: str, text: str, group: str, threshold: float = 0.9, across: str | None = None) -> DataFrame:
     """(a, b, ratio): texts of one group with a Ratcliff-Obershelp ratio above the threshold.
 
     Distinct texts only, each named by its least item; with ``across`` only texts that stand under different
-    values of that column, a fiscal year say. Lengths are cut into geometric classes so that only texts of
-    compatible length meet; then native bounds from lengths and letter counts come before the exact ratio."""
+    values of that column, a fiscal year say. Texts of a group meet on an index of their rarest q-grams, without loss, so a group is
+    not compared as a whole and its lists, being of rare grams, are short; texts too short for that meet by their
+    length. Native bounds from lengths and letter counts come before the exact ratio."""
     ship_package(df.sparkSession)
+    q, share = _gram_size(threshold)
     least = threshold / (2 - threshold)  # the shorter length over the longer is above this
     year = F.col(across) if across else F.lit(0)
     one = df.where(F.length(text) > 0).groupBy(group, text).agg(F.min(item).alias("id"), F.min(year).alias("low"), F.max(year).alias("high"))
-    size = F.length(text)
-    level = F.floor(F.log(size) / F.lit(-1.0) / F.log(F.lit(least))).cast("int")
-    one = one.select(group, "id", "low", "high", F.col(text).alias("t"), size.alias("n"), _letters(F.col(text)).alias("c"), level.alias("level"))
-    left = one.alias("a")
-    right = one.withColumn("meet", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1))).alias("b")
-    total = F.col("a.n") + F.col("b.n")
-    common = F.aggregate(F.arrays_zip(F.col("a.c").alias("x"), F.col("b.c").alias("y")), F.lit(0), lambda s, z: s + F.least(z.x, z.y))
-    other = F.least(
-        F.col("a.n") - F.aggregate("a.c", F.lit(0), lambda s, z: s + z), F.col("b.n") - F.aggregate("b.c", F.lit(0), lambda s, z: s + z)
-    )
-    met = left.join(
-        right, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.level") == F.col("b.meet")) & (F.col("a.id") < F.col("b.id"))
-    )
+    one = one.select(group, "id", "low", "high", F.col(text).alias("t"), F.length(text).alias("n"))
+    if across:  # a text that no other year can meet is no one's partner
+        years = one.groupBy(group).agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high").select(F.col(group).alias("_g"))
+        one = one.join(years, F.col(group).eqNullSafe(F.col("_g")), "left_semi")
+    one = shared_table(one, "texts")
+    index = shared_table(_indexed(one, group, threshold), "text-index")
+    key = [group, "gram", "nth"]
+    x, y = index.select(*key, F.col("id").alias("a")), index.select(*key, F.col("id").alias("b"))
+    pairs = x.join(y, key).where("a < b").select(group, "a", "b")
+    # Texts so short that no gram need be common, and what is short enough to be near them.
+    short = int((q - 1) / ((1 + least) * share))
+    tiny = one.where(F.col("n") <= short / least).select(group, "id", "n")
+    u, v = tiny.select(group, F.col("id").alias("a"), "n"), tiny.select(group, F.col("id").alias("b"), F.col("n").alias("m"))
+    close = u.join(v, group).where("a < b").where(2 * F.least("n", "m") > threshold * (F.col("n") + F.col("m")))
+    pairs = pairs.unionByName(close.select(group, "a", "b")).distinct()
+    facts = one.select(group, "id", "low", "high", "t", "n", _letters(F.col("t")).alias("c"))
+    left = facts.select(group, *(F.col(c).alias("a" if c == "id" else f"{c}_a") for c in facts.columns if c != group))
+    right = facts.select(group, *(F.col(c).alias("b" if c == "id" else f"{c}_b") for c in facts.columns if c != group))
+    met = pairs.join(left, [group, "a"]).join(right, [group, "b"])
     if across:
-        met = met.where((F.col("a.low") != F.col("b.high")) | (F.col("a.high") != F.col("b.low")))
-    met = met.where(2 * F.least("a.n", "b.n") > threshold * total).where(2 * (common + other) > threshold * total)
-    scored = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), ratcliff(F.col("a.t"), F.col("b.t")).alias("ratio"))
+        met = met.where("low_a <> high_b OR high_a <> low_b")
+    total = F.col("n_a") + F.col("n_b")
+    common = F.aggregate(F.arrays_zip(F.col("c_a").alias("x"), F.col("c_b").alias("y")), F.lit(0), lambda s, z: s + F.least(z.x, z.y))
+    other = F.least(*(F.col(f"n_{k}") - F.aggregate(f"c_{k}", F.lit(0), lambda s, z: s + z) for k in "ab"))
+    met = met.where(2 * F.least("n_a", "n_b") > threshold * total).where(2 * (common + other) > threshold * total)
+    scored = met.select("a", "b", ratcliff(F.col("t_a"), F.col("t_b")).alias("ratio"))
     return scored.where(F.col("ratio") > threshold)

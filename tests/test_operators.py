@@ -274,3 +274,42 @@ def test_a_threshold_below_six(spark):
     assert similarity.adaptive_threshold(h).first().threshold == 2
     near = similarity.hash_pairs(d, "id", "x", 2)
     assert {(r.a, r.b) for r in near.collect()} == {(3 * k + i, 3 * k + 2) for k in range(20) for i in (0, 1)}
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.8, 0.6])
+def test_near_texts_equal_brute_force(spark, threshold):
+    """Some hundred texts in a hot group and small ones: edited copies, tiny texts, a phrase that all share, equal texts."""
+    import difflib
+
+    rng = random.Random(int(threshold * 10))
+    words = [w + c for w in "road drain school lamp bridge well hall pump".split() for c in "abcd"]
+    rows, texts = [], []
+    for i in range(260):
+        if texts and rng.random() < 0.6:
+            t = list(rng.choice(texts))
+            for _ in range(rng.randint(0, 5)):
+                at = rng.randrange(len(t) + 1)
+                t[at : at + rng.randint(0, 1)] = rng.choice("abcdé ")
+            t = "".join(t)
+        elif rng.random() < 0.3:
+            t = "".join(rng.choice("ab") for _ in range(rng.randint(0, 7)))
+        else:
+            t = "supply and laying of " + " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+        texts.append(t)
+        rows.append((i, t, rng.choice([1, 1, 1, 2]), rng.choice([2020, 2021])))
+    d = spark.createDataFrame(rows, "id long, t string, mp int, year int")
+    for across in (None, "year"):
+        distinct: dict = {}
+        for i, t, mp, year in rows:
+            if t:
+                distinct.setdefault((mp, t), []).append((i, year))
+        want = set()
+        for (mp, s), x in distinct.items():
+            for (other, t), y in distinct.items():
+                (i, j) = (min(x)[0], min(y)[0])
+                if mp == other and i < j and (not across or len({k for _, k in x + y}) > 1):
+                    ratio = difflib.SequenceMatcher(None, s, t, autojunk=False).ratio()
+                    if ratio > threshold:
+                        want.add((i, j, round(ratio, 9)))
+        got = similarity.text_pairs(d, "id", "t", "mp", threshold, across)
+        assert {(r.a, r.b, round(r.ratio, 9)) for r in got.collect()} == want and want
