@@ -61,10 +61,16 @@ def watermark_rows(height: Column) -> Column:
     return F.greatest(F.lit(1), F.round(height * 0.10).cast("int"))
 
 
-def slippy_tile(lat: Column, lon: Column, zoom: int) -> Column:
-    """struct(x, y): tile numbers of a web map."""
+def slippy_place(lat: Column, lon: Column, zoom: int) -> Column:
+    """struct(x, y): a web map's tile numbers with the place inside the tile as their fraction."""
     n = float(1 << zoom)
     rad = F.radians(lat)
-    x = F.floor((lon + 180.0) / 360.0 * n)
-    y = F.floor((1.0 - F.ln(F.tan(rad) + 1.0 / F.cos(rad)) / F.pi()) / 2.0 * n)
-    return F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
+    x = (lon + 180.0) / 360.0 * n
+    y = (1.0 - F.ln(F.tan(rad) + 1.0 / F.cos(rad)) / F.pi()) / 2.0 * n
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def slippy_tile(lat: Column, lon: Column, zoom: int) -> Column:
+    """struct(x, y): tile numbers of a web map."""
+    place = slippy_place(lat, lon, zoom)
+    return F.struct(F.floor(place.x).cast("long").alias("x"), F.floor(place.y).cast("long").alias("y"))

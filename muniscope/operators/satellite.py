@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import band
+from ..functions.scores import band, slippy_place
 from .peers import mean_std_z
 
 RESOLUTION_M = 10
@@ -98,3 +98,39 @@ def fuse(works: DataFrame, flag_z: float = 2.5) -> DataFrame:
     weight = sum((F.when(x.isNotNull(), w).otherwise(0) for w, x in parts), F.lit(0))
     r = z.select("id", F.round(F.coalesce(F.try_divide(100 * total, weight), F.lit(0.0)), 2).alias("risk"))
     return r.select("id", "risk", band(F.col("risk")).alias("band"))
+
+
+def mosaic(windows: DataFrame, tiles: DataFrame, zoom: int, grid: int, side: int, crop: int) -> DataFrame:
+    """(id, missing, pixels): for each window (id, lat, lon) a square of ``crop`` pixels around its place, row by row.
+
+    tiles: (x, y, pixels) with ``side`` x ``side`` values row by row. A window asks for grid x grid tiles around its own by their
+    numbers; those that are not there are 0 and counted. Each tile hands on only the rows and columns that lie in the square, so a
+    window gathers its own pixels and no more. pixels is null where no tile is there; the square must fit the grid."""
+    half = grid // 2
+    place = slippy_place(F.col("lat"), F.col("lon"), zoom)
+    at = windows.select("id", place.alias("p")).select("id", F.floor("p.x").cast("long").alias("tx"), F.floor("p.y").cast("long").alias("ty"), "p")
+    left = F.floor((half + F.col("p.x") - F.col("tx")) * side - crop / 2).cast("int")
+    top = F.floor((half + F.col("p.y") - F.col("ty")) * side - crop / 2).cast("int")
+    at = at.select("id", "tx", "ty", left.alias("left"), top.alias("top"))
+    steps = F.sequence(F.lit(0), F.lit(grid - 1))
+    asked = at.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
+    asked = asked.withColumns({"x": F.col("tx") + F.col("dx") - half, "y": F.col("ty") + F.col("dy") - half})
+    met = asked.join(tiles.select("x", "y", "pixels"), ["x", "y"], "left")
+    # The rows and columns of the square that this tile covers: begin and end in the square, and where the tile has them.
+    row0, col0 = F.col("dy") * side - F.col("top"), F.col("dx") * side - F.col("left")
+    rows = F.sequence(F.greatest(F.lit(0), row0), F.least(F.lit(crop), row0 + side) - 1)
+    begin, end = F.greatest(F.lit(0), col0), F.least(F.lit(crop), col0 + side)
+    covers = (row0 < crop) & (row0 + side > 0) & (end > begin) & F.col("pixels").isNotNull()
+    strips = F.transform(rows, lambda r: F.struct(r.alias("row"), begin.alias("column"), F.slice(F.col("pixels"), (r - row0) * side + (begin - col0) + 1, end - begin).alias("values")))
+    none = F.array().cast("array<struct<row:int,column:int,values:array<int>>>")
+    part = met.select("id", F.col("pixels").isNull().cast("int").alias("gone"), F.when(covers, strips.cast("array<struct<row:int,column:int,values:array<int>>>")).otherwise(none).alias("strips"))
+    whole = part.groupBy("id").agg(F.sum("gone").cast("int").alias("missing"), F.flatten(F.collect_list("strips")).alias("strips"))
+    lines = F.array_sort("strips")  # by row, then column; absent tiles leave gaps
+
+    def line(r: Column) -> Column:
+        mine = F.filter(F.col("lines"), lambda s: s.row == r)
+        padded = F.aggregate(mine, F.array().cast("array<int>"), lambda a, s: F.concat(a, F.array_repeat(F.lit(0), s.column - F.size(a)), s["values"]))
+        return F.concat(padded, F.array_repeat(F.lit(0), crop - F.size(padded)))
+
+    square = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(crop - 1)), line))
+    return whole.withColumn("lines", lines).select("id", "missing", F.when(F.col("missing") < grid * grid, square).alias("pixels"))

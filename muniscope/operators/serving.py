@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import jurisdiction
+from ..session import ship_package
+from .graph import shared_table
 
 #: The workflow's transitions, who may set what, and what needs a reason.
 TRANSITIONS = {
@@ -89,3 +92,53 @@ def check_transitions(moves: DataFrame) -> DataFrame:
         .when((to.isin(*NEEDS_REASON) | reopens) & empty, "reason_required").otherwise("ok")
     )
     return moves.withColumn("verdict", verdict)
+
+
+def _verdict(status: str, to: str | None, role: str | None, reason: str | None) -> str:
+    """The same judgement of one move."""
+    if to not in TRANSITIONS.get(status, ()):
+        return "illegal_transition"
+    if to not in ROLE_TARGETS.get(role, ()):
+        return "role_not_allowed"
+    if (to in NEEDS_REASON or status in TERMINAL) and not (reason or "").strip(" "):
+        return "reason_required"
+    return "ok"
+
+
+def replay(moves: DataFrame, case: str, item: str, at: str) -> DataFrame:
+    """(case, item, from_status, verdict, status) of moves (to_status, role, reason) taken in order of time and item.
+
+    A case begins as NEW and changes by moves that are ok; others are on record and change nothing. A long history is cut: moves are
+    dealt by ranges of (case, time, item), each piece of a case becomes a table from the status before it to the one after
+    it, and these tables, at most one a partition, give every piece its first status. So no task holds more than a piece."""
+    ship_package(moves.sparkSession)
+    order = [case, at, item]
+    placed = moves.select(*order, "to_status", "role", "reason").repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    placed = shared_table(placed, "moves")
+    kind = dict(placed.dtypes)
+
+    def steps(piece, status):
+        for m in piece.sort_values([at, item]).itertuples(index=False):
+            verdict = _verdict(status, m.to_status, m.role, m.reason)
+            yield getattr(m, item), status, verdict, (status := m.to_status if verdict == "ok" else status)
+
+    def ends(key, piece):
+        row = {}
+        for status in CASE_STATUS:
+            last = status
+            for *_, last in steps(piece, status):
+                pass
+            row[status] = last
+        return pd.DataFrame([(*key, row)], columns=[case, "_part", "ends"])
+
+    pieces = placed.groupBy(case, "_part").applyInPandas(ends, f"{case} {kind[case]}, _part int, ends map<string,string>")
+    history = pieces.groupBy(case).agg(F.sort_array(F.collect_list(F.struct("_part", F.map_entries("ends").alias("e")))).alias("h"))
+    before = lambda i: F.aggregate(F.slice("h", F.lit(1), i), F.lit("NEW"), lambda s, p: F.element_at(F.map_from_entries(p.e), s))
+    each = history.select(case, F.explode(F.transform("h", lambda p, i: F.struct(p["_part"].alias("_part"), before(i).alias("_first")))).alias("p"))
+    begun = placed.join(each.select(case, "p.*"), [case, "_part"])
+
+    def run(key, piece):
+        out = [(key[0], *s) for s in steps(piece, piece["_first"].iloc[0])]
+        return pd.DataFrame(out, columns=[case, item, "from_status", "verdict", "status"])
+
+    return begun.groupBy(case, "_part").applyInPandas(run, f"{case} {kind[case]}, {item} {kind[item]}, from_status string, verdict string, status string")
