@@ -3,26 +3,30 @@
 The page is cut into blocks at block-level tags. What markup names as no part of the text
 (navigation, footers, adverts, forms, comments) is out. Pass one classifies every other block by
 stop-word density, length and link density: good, bad, near (good but short, or long with fewer
-stop words) or short. Stop words are those of four languages; text of a page in which they are
+stop words), thin (long with hardly any, or a paragraph of links) or short. Stop words are those of four languages; text of a page in which they are
 rare (another language or script) is judged by length and links alone. Pass two gives near and
-short blocks the label of their nearest decided neighbours.
+short blocks the label of their nearest decided neighbours; a thin one is text only between two good ones.
 
 article and main are a prior only: inside them a block that pass one would call bad for its
 density is near, and a near or short block without decided neighbours of the same element is good;
 outside them, on a page that has them, near and short blocks are bad, and good ones count
-only if they hold more text than the good blocks inside, the element then being a teaser.
-Names such as banner or share on an element inside an article take its short and linked blocks
-only, for a section of the text may bear them too.
+only if the element is a teaser, without a good block and shorter than LONG: however long a discussion beside an article is, it
+stays out. Notices and adverts are out inside an article too. Names such as banner or share on an element
+inside an article take its short and linked blocks only, for a section of the text may bear them too, and not
+even these where the article has nothing else.
 
 Defined results: null html counts as empty and gives the empty text; pages cut off in the
 middle of a tag, comment or script lose only that; repeated rows give repeated results;
-an empty table an empty result. No page is shortened; memory follows the longest one.
+an empty table an empty result; columns other than page_id, url and html are not read. No page is shortened;
+time and memory follow its length, whatever its tags are (open elements are counted by name and linked to the next one
+that matters, so none is searched for).
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -52,10 +56,11 @@ _ROLE_OUTSIDE = frozenset("navigation banner contentinfo complementary search di
 
 _MARK = (
     "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus footer login masthead menu modal nav navbar navigation newsletter pager pagination popup "
-    "reply replies respond search sidebar signup sponsor sponsored subscribe subscription toolbar"
+    "disqus footer login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup "
+    "promo promos promoted promotion recommended related reply replies respond search sidebar signup sponsor sponsored "
+    "subscribe subscription toolbar"
 )
-_WEAK = "banner notice notices promo promoted recommended related share sharing social widget"
+_WEAK = "banner share sharing social widget"
 _MARKS = frozenset(_MARK.split())
 _WEAK_MARKS = frozenset(_WEAK.split())
 _HEADER_MARKS = frozenset(("header", "topbar", "site-header", "page-header"))
@@ -77,9 +82,9 @@ class Block:
     parts: list[str] = field(default_factory=list)
     link: int = 0  # characters inside links
     region: str = ""  # "out", "in", "weak" (in, under a weak mark) or unknown
-    heading: bool = False
+    tag: str = ""  # the element it stands in, no link, label or button
     text: str = ""
-    label: str = ""  # good, bad, near or short
+    label: str = ""  # good, bad, near, thin or short
     rule: str = ""  # what decided
 
 
@@ -125,8 +130,10 @@ def _region(tag: str, attributes: str, around: str) -> str:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, those without text left out."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open elements with the region inside
-    links = 0
+    # Open elements: name, region inside, and the places of the next one below (or itself) that is no label
+    # or button, and that is no link either.
+    stack: list[tuple[str, str, int, int]] = []
+    opened: Counter[str] = Counter()
     current = Block()
 
     def close() -> None:
@@ -141,17 +148,23 @@ def blocks_of(page: str) -> list[Block]:
         if not text:
             return
         text = html.unescape(text) if "&" in text else text
-        if not current.parts:
-            current.region = stack[-1][1] if stack else ""
-            current.heading = bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
+        if not current.parts and stack:
+            solid = stack[-1][3]
+            current.tag, current.region = stack[solid][0] if solid >= 0 else "", stack[-1][1]
         current.parts.append(text)
-        if links:
+        if opened["a"]:
             current.link += len(text.strip())
 
+    def push(tag: str, region: str) -> None:
+        k = len(stack)
+        below = stack[-1] if stack else ("", "", -1, -1)
+        solid = below[2] if tag in ("label", "button") else k
+        stack.append((tag, region, solid, below[3] if tag in ("label", "button", "a") else k))
+        opened[tag] += 1
+
     def pop(at: int) -> None:
-        nonlocal links
-        for name, _ in stack[at:]:
-            links -= name == "a"
+        for name, *_ in stack[at:]:
+            opened[name] -= 1
         del stack[at:]
 
     last = 0
@@ -166,10 +179,8 @@ def blocks_of(page: str) -> list[Block]:
         if m.group(2):
             if block:
                 close()
-            if block or tag in _INLINE_KEPT:
-                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-                if at >= 0:
-                    pop(at)
+            if opened[tag]:  # found at the latest where the search ends, and all above it goes
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag == "br":
             add(" ")
@@ -180,19 +191,12 @@ def blocks_of(page: str) -> list[Block]:
         if block:
             close()
             if tag not in ("title", "head") and stack:  # what may not hold a block ends here
-                for k in range(len(stack) - 1, -1, -1):
-                    open_tag = stack[k][0]
-                    if open_tag in ("p", "a", "h1", "h2", "h3", "h4", "h5", "h6", "head", "title") or open_tag == tag == "li":
-                        if open_tag != "a" or tag in ("article", "main", "p", "body", "footer", "nav"):
-                            pop(k)
-                            break
-                    elif open_tag not in ("button", "label"):
-                        break
+                at = stack[-1][2 if tag in _ENDS_LINK else 3]
+                if at >= 0 and (stack[at][0] in _ENDED or stack[at][0] == tag == "li"):
+                    pop(at)
         if block or tag in _INLINE_KEPT:
-            if tag == "a":
-                links += 1
             around = stack[-1][1] if stack else ""
-            stack.append((tag, _region(tag, m.group(4), around)))
+            push(tag, _region(tag, m.group(4), around))
             if tag in ("button", "label", "textarea"):
                 close()
     add(page[last:])
@@ -200,6 +204,12 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: What a block-level start tag ends, and the tags among them that end a link as well.
+_ENDED = frozenset(("p", "a", "head", "title", *_HEADINGS))
+_ENDS_LINK = frozenset(("article", "main", "p", "body", "footer", "nav"))
+#: Elements of running text: a block of links in one may be a sentence, in another it is a list.
+_PROSE = frozenset(("p", "blockquote", *_HEADINGS))
 LONG, SHORT = 200, 70
 DENSE, SPARSE = 0.20, 0.08
 LINKED = 0.5
@@ -226,7 +236,7 @@ def _first_pass(blocks: list[Block]) -> None:
     for b, (stop, n) in zip(open_, counts):
         size, linked, inside = _length(b.text), b.link / len(b.text), b.region == "in"
         if linked > LINKED:
-            b.label, b.rule = ("short" if inside else "bad"), "links"
+            b.label, b.rule = ("short" if inside else "thin" if b.tag in _PROSE and b.region != "weak" else "bad"), "links"
         elif size < SHORT:
             b.label, b.rule = ("bad" if b.region == "weak" else "short"), "length"
         elif not known:
@@ -234,7 +244,7 @@ def _first_pass(blocks: list[Block]) -> None:
         elif stop >= DENSE * n and n:
             b.label, b.rule = ("good" if size > LONG else "near"), "density"
         else:
-            b.label, b.rule = ("near" if inside or stop >= SPARSE * n and n else "bad"), "density"
+            b.label, b.rule = ("near" if inside or stop >= SPARSE * n and n else "thin"), "density"
 
 
 def classify(blocks: list[Block]) -> None:
@@ -244,12 +254,15 @@ def classify(blocks: list[Block]) -> None:
     outside = [b for b in blocks if b.region == ""]
     if inside:
         # The good blocks outside an article are text only where the article is a teaser of them.
-        weight = [sum(_length(b.text) for b in part if b.label == "good") for part in (inside, outside)]
+        teaser = not any(b.label == "good" for b in inside) and sum(_length(b.text) for b in inside) < LONG
         for b in outside:
-            if b.label != "good" or weight[1] <= max(weight[0], sum(_length(b.text) for b in inside)):
+            if b.label != "good" or not teaser:
                 b.label, b.rule = "bad", "frame"
+        if all(b.label == "bad" for b in inside) and not any(b.label == "good" for b in outside):
+            for b in inside:  # nothing else is there, so a weak mark says nothing
+                b.label = "short" if b.region == "weak" and b.link <= LINKED * len(b.text) else b.label
     for part in (inside, outside):
-        for kind in ("near", "short"):
+        for kind in ("near", "thin", "short"):
             decided = [(i, b.label) for i, b in enumerate(part) if b.label in ("good", "bad") and b.region != "weak"]
             _inherit(part, kind, decided)
 
@@ -264,13 +277,15 @@ def _inherit(blocks: list[Block], kind: str, decided: list[tuple[int, str]]) ->
             at += 1
         before = decided[at - 1] if at else None
         after = decided[at] if at < len(decided) else None
-        if not before and not after:
+        if kind == "thin":
+            b.label = "good" if before and after and before[1] == after[1] == "good" else "bad"
+        elif not before and not after:
             b.label = "good"
         elif kind == "near":
             b.label = "bad" if before and after and before[1] == after[1] == "bad" else "good"
         elif not before or not after or before[1] == after[1]:
             b.label = (before or after)[1]
-        elif b.heading and after[1] == "good":
+        elif b.tag in _HEADINGS and after[1] == "good":
             b.label = "good"
         else:
             nearer = (i - before[0]) - (after[0] - i)
