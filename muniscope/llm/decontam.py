@@ -31,10 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import bound_arrow, discard, give_back, materialise, record_batch, row_keyed, table, utf8
+from .common import bound_arrow, discard, give_back, materialise, record_batch, row_keyed, shared_dir, table, utf8
 
 WINDOW = 13
 SHARD_WORDS = 1 << 18
@@ -261,17 +264,34 @@ def _phrases(items: list[tuple[str, bytes]], mark: bytes) -> Phrases:
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of at most BLOCK_BYTES of text, or of one item; at least one block."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), utf8().alias("_b"))
-    held, size, count = [], 0, 0
-    for name, text in items.toLocalIterator():
-        if held and size + len(text) > BLOCK_BYTES:
-            yield held
-            held, size, count = [], 0, count + 1
-        held.append((name, bytes(text)))
-        size += len(text)
-    if held or not count:
-        yield held
+    """The items in blocks of about BLOCK_BYTES of text at most, or of one item; at least one block.
+
+    Tasks cut the items into blocks and write each to a folder of its own; the driver reads one after another."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), utf8().alias("b"))
+    total, most = items.agg(F.sum(F.length("b"))).first()[0] or 0, BLOCK_BYTES
+
+    def cut(batches):
+        task, block, size = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            marks = []
+            for n in pc.binary_length(batch.column(1)).to_pylist():
+                if size and size + n > most:
+                    block, size = block + 1, 0
+                size += n
+                marks.append(f"{task}-{block}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string())], ["item", "b", "block"])
+
+    bound_arrow(benchmark.sparkSession)
+    path = shared_dir(benchmark.sparkSession, "decontam-items")
+    parts = max(1, -(-total // most))
+    items.repartition(parts).mapInArrow(cut, "item string, b binary, block string").write.partitionBy("block").parquet(path)
+    if not total:  # no item has a word
+        yield []
+        return
+    written = benchmark.sparkSession.read.schema("item string, b binary, block string").parquet(path)
+    for (block,) in written.select("block").distinct().orderBy("block").collect():
+        yield [(r.item, bytes(r.b)) for r in written.where(F.col("block") == block).select("item", "b").collect()]
+    discard(written)
 
 
 def _search_block(source: DataFrame, items: list[tuple[str, bytes]], all_rows: bool, k: int) -> DataFrame:
@@ -329,35 +349,19 @@ def _merge_blocks(parts: list[DataFrame]) -> DataFrame:
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    merged = both.groupBy("row").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.collect_list(F.arrays_zip("word_begins", "word_ends", "byte_begins", "byte_ends")).alias("s"),
-    )
-    spans = F.sort_array(F.flatten("s"))
+    facts = both.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    ends = ["word_begins", "word_ends", "byte_begins", "byte_ends"]
+    spans = both.select("row", F.explode(F.arrays_zip(*ends)).alias("s")).select("row", "s.*")
+    # Spans in order of their begin; one that begins after all before it have ended starts a new one.
+    order = Window.partitionBy("row").orderBy("word_begins", "word_ends")
+    reach = F.max("word_ends").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((reach < F.col("word_begins")).cast("int"), F.lit(1))
+    runs = spans.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.groupBy("row", "run").agg(*((F.min if c.endswith("begins") else F.max)(c).alias(c) for c in ends))
+    lists = whole.groupBy("row").agg(F.sum(F.col("word_ends") - F.col("word_begins")).alias("n_hit"), F.sort_array(F.collect_list(F.struct(*ends))).alias("s"))
     none = F.array().cast("array<struct<word_begins:long,word_ends:long,byte_begins:long,byte_ends:long>>")
-
-    def add(acc, s):
-        top = F.element_at(acc, -1)
-        joined = F.struct(
-            top.word_begins.alias("word_begins"),
-            F.greatest(top.word_ends, s.word_ends).alias("word_ends"),
-            top.byte_begins.alias("byte_begins"),
-            F.greatest(top.byte_ends, s.byte_ends).alias("byte_ends"),
-        )
-        meets = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)).word_ends >= s.word_begins)
-        return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(
-            F.concat(acc, F.array(s))
-        )
-
-    merged = merged.withColumn("s", F.aggregate(spans, none, add))
-    return merged.select(
-        "row",
-        "n_words",
-        F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x.word_ends - x.word_begins).alias("n_hit"),
-        "items",
-        *(F.col(f"s.{c}").alias(c) for c in ("word_begins", "word_ends", "byte_begins", "byte_ends")),
-    )
+    merged = facts.join(lists, "row", "left").withColumn("s", F.coalesce("s", none))
+    return merged.select("row", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "items", *(F.col(f"s.{c}").alias(c) for c in ends))
 
 
 def contaminated():

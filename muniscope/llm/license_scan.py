@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, record_batch, table, utf8
+from .common import map_rows, materialise, record_batch, row_keyed, table, utf8
 from .decontam import words_of
 from .jaccard_join import mix
 
@@ -138,8 +138,6 @@ class Templates:
 
     @staticmethod
     def of(texts: dict[str, str]) -> Templates:
-        if sum(len(t.split()) for t in texts.values()) > MOST_TEMPLATE_WORDS:
-            raise ValueError("templates are too large to send with every task: scan them in parts")
         known = {name: np.unique(shingle_row(words_of(text.encode()))) for name, text in sorted(texts.items())}
         names = [name for name, s in known.items() if s.size]
         sets = [known[name] for name in names]
@@ -209,17 +207,56 @@ SCHEMA = pa.schema(
 )
 
 
-def scan_documents(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """(doc_id, licenses, containment, word_begins, word_ends) per row; lists in order of name."""
+FOUND = ["licenses", "containment", "word_begins", "word_ends"]
+LISTS = "licenses array<string>, containment array<double>, word_begins array<long>, word_ends array<long>"
+
+
+def template_blocks(texts: dict[str, str]) -> list[dict[str, str]]:
+    """The templates in order of name, in blocks of at most MOST_TEMPLATE_WORDS words, or of one template."""
+    blocks: list[dict[str, str]] = [{}]
+    held = 0
+    for name in sorted(texts):
+        n = len(texts[name].split())
+        if blocks[-1] and held + n > MOST_TEMPLATE_WORDS:
+            blocks.append({})
+            held = 0
+        blocks[-1][name] = texts[name]
+        held += n
+    return blocks
+
+
+def _scan_block(source: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """(id, licenses, ...) per row of (id, _b)."""
     templates = Templates.of(texts)
 
     def rows(batch):
         found = [scan(t, templates) for t in batch.column(1).to_pylist()]
         return record_batch(SCHEMA, batch.column(0), *([[m[i] for m in f] for f in found] for i in range(4)))
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("_b"))
-    ddl = "doc_id long, licenses array<string>, containment array<double>, word_begins array<long>, word_ends array<long>"
-    return map_rows(source, rows, ddl)
+    return map_rows(source, rows, f"doc_id long, {LISTS}")
+
+
+def scan_documents(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """(doc_id, licenses, containment, word_begins, word_ends) per row; lists in order of name.
+
+    A task holds one block of templates (see template_blocks). Of several blocks one scans all documents after the other, what
+    they find is written, and the lists of a row are united."""
+    blocks = template_blocks(texts)
+    if len(blocks) == 1:
+        return _scan_block(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("_b")), blocks[0])
+    keyed, key = row_keyed(docs)
+    source = keyed.select(F.col(key).alias("row"), utf8().alias("_b"))
+    found = None
+    for k, block in enumerate(blocks):
+        part = _scan_block(source, block).withColumnRenamed("doc_id", "row").where(F.size("licenses") > 0)
+        part = materialise(part, f"license-{k}")
+        found = part if found is None else found.unionByName(part)
+    each = found.select("row", F.explode(F.arrays_zip(*FOUND)).alias("m"))
+    lists = each.groupBy("row").agg(F.sort_array(F.collect_list("m")).alias("m"))  # one entry a template at most
+    none = F.array().cast("array<struct<licenses:string,containment:double,word_begins:long,word_ends:long>>")
+    ids = keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    met = ids.join(lists, "row", "left").withColumn("m", F.coalesce("m", none))
+    return met.select("doc_id", *(F.col(f"m.{c}").alias(c) for c in FOUND))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,14 +145,16 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     drops = materialise(recurring_lines(source.select("row", "text")), "template-rows")
     # Steps pass structs on, so that no lambda refers to a derived column: such a column would be
     # inlined and evaluated again for every line.
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("raw"), _mask(_flat(x)).alias("line")))
-    hashed = F.transform(lines, lambda s: F.struct(s.raw.alias("raw"), F.struct(*_hashes(s.line)).alias("k")))
-    stay = F.filter(hashed, lambda s: ~F.array_contains("drops", s.k))
+    stay = F.filter(_hashed_lines(), lambda s: ~F.array_contains("drops", s.k))
     rebuilt = F.transform(
         F.array(stay), lambda k: F.struct(F.array_join(F.transform(k, lambda s: s.raw), "\n").alias("text"), F.size(k).alias("n"))
     )
-    has_any = F.col("drops").isNotNull()
-    joined = source.join(drops, "row", "left").withColumn("_new", F.when(has_any, F.get(rebuilt, F.lit(0))))
+    few = drops.where(F.size("drops") <= FEW)
+    joined = source.join(few, "row", "left").withColumn("_new", F.when(F.col("drops").isNotNull(), F.get(rebuilt, F.lit(0))))
+    many = materialise(drops.where(F.size("drops") > FEW), "template-many")
+    if many.limit(1).count():
+        long = materialise(_rebuilt(source, many), "template-long")
+        joined = joined.join(long, "row", "left").withColumn("_new", F.coalesce("_long", "_new"))
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return joined.select(
         "doc_id",
@@ -162,6 +164,25 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Lines to drop that are looked up one by one for each line of a text; with more, lines meet them by a join.
+FEW = 64
+
+
+def _hashed_lines() -> Column:
+    """The text's lines as (raw, k: the hashes of the masked line)."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("raw"), _mask(_flat(x)).alias("line")))
+    return F.transform(lines, lambda s: F.struct(s.raw.alias("raw"), F.struct(*_hashes(s.line)).alias("k")))
+
+
+def _rebuilt(source: DataFrame, drops: DataFrame) -> DataFrame:
+    """(row, _long: struct<text, n>) of texts with many lines to drop: each line meets them by its hashes."""
+    lines = source.join(drops.select("row"), "row", "left_semi").select("row", F.posexplode(_hashed_lines()).alias("pos", "s"))
+    gone = drops.select("row", F.explode("drops").alias("_k")).select("row", "_k.h", "_k.g", F.lit(True).alias("gone"))
+    met = lines.select("row", "pos", "s.raw", "s.k.h", "s.k.g").join(gone, ["row", "h", "g"], "left")
+    kept = met.groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("gone").isNull(), F.struct("pos", "raw")))).alias("k"))
+    return kept.select("row", F.struct(F.array_join(F.transform("k", lambda s: s.raw), "\n").alias("text"), F.size("k").alias("n")).alias("_long"))
+
+
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = drop_recurring_lines(table(spark, sf_dir, "documents"))
     return cleaned.select(

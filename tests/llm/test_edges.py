@@ -67,6 +67,15 @@ def test_stages_keep_columns_and_take_empty_tables(spark, docs, side, name):
     assert STAGES[name](spark, docs.limit(0), side).count() == 0
 
 
+def test_the_last_stage_gives_a_row_a_row(spark, docs, side):
+    got = sentencepiece_codec.tokenise(spark, docs, side)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes"]
+    assert got.count() == len(ROWS) and got.where("doc_id IS NULL").count() == 2
+    sizes = {r.doc_id: r.spanned_bytes for r in got.where("doc_id IS NOT NULL").collect()}
+    assert all(sizes[i] == len((t or "").encode()) for i, t in ROWS if i is not None and i not in (8, 9))
+    assert sentencepiece_codec.tokenise(spark, docs.limit(0), side).count() == 0
+
+
 def test_exact_edges(docs):
     got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs).collect()}
     assert {(1, 2, 3), (2, 2, 3), (None, 2, 3), (6, 7, 2), (7, 7, 2), (8, 9, 2), (9, 9, 2), (10, 10, 2), (None, None, 1)} <= got
