@@ -168,4 +168,4 @@ def test_encoding_through_a_character_map(spark, tmp_path):
         for k, (a, b) in zip(ids[:-1], spans):
             piece = library.id_to_piece(k).replace("▁", "")
             if piece and set(piece) <= set("cdhortw"):  # letters that the map leaves alone and makes of nothing
-                assert piece in raw[a:b].decode()  # what the map deletes goes with its neighbour
+                assert piece in raw[a:b].decode().replace("abcd", "")  # what the map deletes goes with its neighbour
