@@ -18,7 +18,19 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="muniscope-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/muniscope/{tag}-{uuid.uuid4().hex}"
+    return f"{_own(spark, root)}/{tag}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession, root: str) -> str:
+    return f"{root.rstrip('/')}/muniscope/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every intermediate table this application has written, once its results have been read or stored."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark, root))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_table(df: DataFrame, tag: str) -> DataFrame:

@@ -24,8 +24,9 @@ def shell(works: DataFrame, registered: DataFrame, days: int = 30) -> DataFrame:
     return first.join(registered, "vendor").withColumn("gap", gap).where(gap.between(0, days)).select("vendor", "gap")
 
 
-def collusion(works: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """(mp, day, vendor, other): neighbouring bids of two vendors, same official and day, within ``tolerance``."""
+def neighbouring_bids(works: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """(mp, day, vendor, other): bids of two vendors next to each other in order of amount, same official and day, within
+    ``tolerance``. A quick look: a bid between two others hides that these are near; collusion_pairs has them all."""
     w = Window.partitionBy("mp", "day").orderBy("amount", "vendor")
     near = works.withColumn("other", F.lead("vendor").over(w)).withColumn("next", F.lead("amount").over(w))
     close = (F.col("next") - F.col("amount")) <= tolerance * F.col("next")
@@ -72,11 +73,16 @@ def round_trips(awards: DataFrame, payments: DataFrame, first: int = 2, last: in
 
 
 def rollup(works: DataFrame, centrality: DataFrame, patterns: DataFrame) -> DataFrame:
-    """A vendor's works, officials, total, patterns and score."""
-    base = works.groupBy("vendor").agg(
-        F.count(F.lit(1)).alias("works"), F.array_join(F.array_sort(F.collect_set(F.col("mp").cast("string"))), ";").alias("mps"), F.sum("amount").alias("total")
-    )
+    """A vendor's works, number of officials, total, patterns and score; officials_of lists who they are."""
+    by = works.groupBy("vendor", "mp").agg(F.count(F.lit(1)).alias("_n"), F.sum("amount").alias("_sum"))
+    base = by.groupBy("vendor").agg(F.sum("_n").alias("works"), F.count("mp").alias("officials"), F.sum("_sum").alias("total"))
     found = patterns.groupBy("vendor").agg(F.count_distinct("pattern").alias("patterns"))
     out = base.join(centrality, "vendor", "left").join(found, "vendor", "left").na.fill({"centrality": 0.0, "patterns": 0})
     score = F.least(F.least(0.3 * F.col("patterns"), F.lit(1.0)) + 0.2 * F.col("centrality"), F.lit(1.0))
     return out.withColumn("score", score)
+
+
+def officials_of(works: DataFrame, vendors: DataFrame) -> DataFrame:
+    """(vendor, mps): the officials of the given vendors, for a page of them, as one text each."""
+    mine = works.join(vendors.select("vendor").distinct(), "vendor", "left_semi").select("vendor", F.col("mp").cast("string").alias("mp")).distinct()
+    return mine.groupBy("vendor").agg(F.array_join(F.array_sort(F.collect_list("mp")), ";").alias("mps"))

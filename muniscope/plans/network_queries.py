@@ -200,18 +200,29 @@ def vendor_shell(spark, sf):
 
 @query(f"""WITH {_W}, n AS (SELECT *, lead(vendor) OVER o AS other, lead(amount) OVER o AS nxt FROM w WINDOW o AS (PARTITION BY mp, day ORDER BY amount, vendor))
 SELECT mp, day, vendor, other FROM n WHERE vendor <> other AND nxt - amount <= 0.02 * nxt""")
-def vendor_collusion(spark, sf):
-    """Near-equal bids of two vendors on one day."""
-    return vendors.collusion(_vendor_works(spark, sf))
+def vendor_neighbouring_bids(spark, sf):
+    """Near-equal bids of two vendors on one day, next to each other in order of amount."""
+    return vendors.neighbouring_bids(_vendor_works(spark, sf))
+
+
+_COLLUSION = f"""WITH {_W} SELECT DISTINCT a.mp, a.day, least(a.vendor, b.vendor) AS vendor, greatest(a.vendor, b.vendor) AS other
+FROM w a JOIN w b ON a.mp = b.mp AND a.day = b.day AND a.vendor <> b.vendor WHERE b.amount >= a.amount AND b.amount - a.amount <= 0.02 * b.amount"""
 
 
-@query(f"""WITH {_W} SELECT DISTINCT a.mp, a.day, least(a.vendor, b.vendor) AS vendor, greatest(a.vendor, b.vendor) AS other
-FROM w a JOIN w b ON a.mp = b.mp AND a.day = b.day AND a.vendor <> b.vendor WHERE b.amount >= a.amount AND b.amount - a.amount <= 0.02 * b.amount""")
+@query(_COLLUSION)
 def vendor_collusion_pairs(spark, sf):
     """Every pair of vendors with near-equal bids on one day."""
     return vendors.collusion_pairs(_vendor_works(spark, sf))
 
 
+@query(f"SELECT vendor, count(*) AS days, count(DISTINCT other) AS partners FROM (SELECT mp, day, vendor, other FROM ({_COLLUSION}) UNION ALL SELECT mp, day, other, vendor FROM ({_COLLUSION})) GROUP BY vendor")
+def vendor_collusion(spark, sf):
+    """Vendors by how often, and with how many others, they bid near-equal amounts."""
+    p = vendors.collusion_pairs(_vendor_works(spark, sf))
+    ends = p.select(F.explode(F.array(F.struct("vendor", "other"), F.struct(F.col("other").alias("vendor"), F.col("vendor").alias("other")))).alias("e")).select("e.*")
+    return ends.groupBy("vendor").agg(F.count(F.lit(1)).alias("days"), F.count_distinct("other").alias("partners"))
+
+
 @query(f"""WITH {_W}, low AS (SELECT * FROM w WHERE amount < 50000 AND amount >= 50000 * (1 - 0.1)),
 r AS (SELECT *, CASE WHEN coalesce(date_diff('day', lag(day) OVER o, day) > 700, true) THEN 1 ELSE 0 END AS fresh FROM low WINDOW o AS (PARTITION BY vendor, mp ORDER BY day, id)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY vendor, mp ORDER BY day, id ROWS UNBOUNDED PRECEDING) AS run FROM r)
@@ -244,7 +255,7 @@ def vendor_rollup(spark, sf):
     c = c.select(F.substring_index("vertex", ":", -1).cast("long").alias("vendor"), "centrality")
     p = vendors.concentration(w, 0.05, 20).select("vendor", F.lit("concentration").alias("pattern"))
     r = vendors.rollup(w, c, p)
-    return r.select("vendor", "works", F.size(F.split("mps", ";")).cast("long").alias("officials"), F.round("total", 1).alias("total"), "patterns", F.round("score", 6).alias("score"))
+    return r.select("vendor", "works", "officials", F.round("total", 1).alias("total"), "patterns", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT vendor, works, score FROM ({_ROLLUP}) AS r WHERE score > 0.2 ORDER BY score DESC, vendor LIMIT 100")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import images, text
 from ..operators import graph
 from ..session import ship_package
-from ..sources import corpus, sinks, views
+from ..sources import corpus, files, sinks, views
 from .registry import query
 
 
@@ -102,22 +102,17 @@ def pdf_failures(spark, sf):
     return f.select("id", corpus.pdf_failure("content").alias("failure"))
 
 
-@query("""SELECT n_nationkey || '.txt' AS name, CAST(octet_length(encode(n_name)) AS BIGINT) + 1 AS length FROM nation WHERE false
-UNION ALL SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'jpg' ELSE 'pdf' END, count(*) FROM nation GROUP BY 1""")
+@query("""SELECT CASE p_partkey % 3 WHEN 0 THEN 'jpg' ELSE 'pdf' END AS name, count(*) AS files, CAST(sum(octet_length(encode(p_name))) AS BIGINT) AS bytes FROM part WHERE p_partkey % 3 < 2 GROUP BY 1""")
 def attachment_walk(spark, sf):
-    """Media files below a folder by extension, others left out; nations as small files."""
+    """Media files below a folder by extension, whatever its case, others left out; a file for every part."""
     root = graph.shared_folder(spark, "files")
-    names = views.load(spark, sf, "nation").select(
-        F.when(F.col("n_nationkey") % 2 == 0, "jpg").otherwise("pdf").alias("kind"), F.col("n_name").alias("value")
-    )
-    fs, jpath = sinks._file_system(spark, root)
-    for kind, value in names.collect():  # 25 rows
-        out = fs.create(jpath(f"{root}/deep/{kind}/{value}.{kind.upper()}"))
-        out.write(value.encode())
-        out.close()
-    fs.create(jpath(f"{root}/deep/notes.txt")).close()
+    k = F.col("p_partkey")
+    kind = F.when(k % 3 == 0, "JPG").when(k % 3 == 1, "pdf").otherwise("txt")
+    named = views.load(spark, sf, "part").select(k, F.concat(k.cast("string"), F.lit("."), kind).alias("name"), F.col("p_name").cast("binary").alias("content"))
+    files.write_files(named.where(k % 2 == 0), f"{root}/deep/even")
+    files.write_files(named.where(k % 2 == 1), f"{root}/odd")
     found = corpus.attachments(spark, root)
-    return found.groupBy(F.lower(F.substring_index("name", ".", -1)).alias("name")).agg(F.count(F.lit(1)).alias("length"))
+    return found.groupBy(F.lower(F.substring_index("name", ".", -1)).alias("name")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
 @query("""WITH w AS (SELECT o_orderkey AS work, 'img' || (o_orderkey % 50) || '.jpg' AS name FROM orders)

@@ -42,6 +42,18 @@ def write_snapshot(df: DataFrame, path: str, order: list[str]) -> bool:
     return True
 
 
+def drop_old_snapshots(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Delete all versions but the newest ``keep``, which a reader may still have open; the number deleted."""
+    fs, jpath = _file_system(spark, path)
+    pointers = sorted(f.getPath().getName() for f in fs.listStatus(jpath(path)) if f.getPath().getName().startswith("current-"))
+    old = pointers[:-keep]
+    for name in old:
+        version = spark.read.text(f"{path}/{name}").first()[0].split(" ")[0]
+        fs.delete(jpath(f"{path}/{name}"), False)
+        fs.delete(jpath(f"{path}/{version}"), True)
+    return len(old)
+
+
 def _pointer(spark: SparkSession, path: str) -> tuple[str, str, int] | None:
     """(version, digest, number) of the newest snapshot."""
     fs, jpath = _file_system(spark, path)
@@ -120,10 +132,14 @@ def upsert_view(log: DataFrame, key: list[str], at: str) -> DataFrame:
 
 
 def insert_if_new(new: DataFrame, log_path: str, key: str) -> DataFrame:
-    """Append the rows whose key is not on record; returns them."""
+    """Append the rows whose key is not on record; returns them. Of rows that share a key the one whose other columns have the
+    least hash enters, so a batch that runs again takes the same one."""
     spark = new.sparkSession
     fs, jpath = _file_system(spark, log_path)
+    rest = [c for c in new.columns if c != key]
     fresh = new.dropDuplicates([key])
+    if rest:
+        fresh = new.groupBy(key).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_v")).select(key, "_v.*").select(*new.columns)
     if fs.exists(jpath(log_path)):
         fresh = fresh.join(spark.read.parquet(log_path).select(key), key, "left_anti")
     fresh.write.mode("append").parquet(log_path)

@@ -97,7 +97,7 @@ def test_empty_tables(spark):
     works = spark.createDataFrame([], "id int, mp int, vendor int, day date, amount double, c string, p string")
     assert peers.ladder_z(works, "amount", "c", "p").count() == 0
     assert peers.average_rank(works, "amount").count() == 0
-    assert vendors.concentration(works).count() == vendors.collusion(works).count() == vendors.split_invoicing(works, 10.0).count() == 0
+    assert vendors.concentration(works).count() == vendors.neighbouring_bids(works).count() == vendors.split_invoicing(works, 10.0).count() == 0
     assert graph.components(spark.createDataFrame([], "a int, b int")).count() == 0
     assert similarity.hamming_pairs(spark.createDataFrame([], "id int, x long"), "id", "x", 3).count() == 0
     assert quality.duplicated(works, "id", "mp").count() == 0

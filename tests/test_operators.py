@@ -197,6 +197,8 @@ def test_snapshot_log_and_insert(spark, tmp_path):
     assert sinks.write_snapshot(d.orderBy(F.desc("k")), path, ["k"]) is False
     assert sinks.write_snapshot(d.limit(1), path, ["k"]) is True
     assert sinks.read_snapshot(spark, path).count() == 1
+    assert sinks.drop_old_snapshots(spark, path, 1) == 1 and sinks.drop_old_snapshots(spark, path, 1) == 0
+    assert sinks.read_snapshot(spark, path).count() == 1
     log = str(tmp_path / "log")
     assert sinks.insert_if_new(d, log, "k").count() >= 0
     sinks.insert_if_new(spark.createDataFrame([(2, "changed"), (3, "c")], "k int, v string"), log, "k")
@@ -313,3 +315,34 @@ def test_near_texts_equal_brute_force(spark, threshold):
                         want.add((i, j, round(ratio, 9)))
         got = similarity.text_pairs(d, "id", "t", "mp", threshold, across)
         assert {(r.a, r.b, round(r.ratio, 9)) for r in got.collect()} == want and want
+
+
+def test_trees_in_one_give_the_depths_of_each():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3))
+    x[:40, 1] = 0.5  # ties
+    trees = [forest.grow(x[rng.choice(300, n)], rng) for n in (1, 2, 40, 256)]
+
+    def walk(t, row):
+        at = 0
+        while t.feature[at] >= 0:
+            at = t.left[at] if row[t.feature[at]] <= t.cut[at] else t.right[at]
+        return t.length[at]
+
+    got = forest.mean_depth(x, *forest.in_one(trees))
+    assert got == pytest.approx([np.mean([walk(t, row) for t in trees]) for row in x])
+
+
+def test_clean_up_takes_what_the_application_wrote(spark):
+    import os
+
+    d = graph.shared_table(spark.range(3), "some")
+    folder = d.inputFiles()[0].split("/muniscope/")[0].removeprefix("file://") + "/muniscope/" + spark.sparkContext.applicationId
+    assert os.listdir(folder)
+    graph.clean_up(spark)
+    assert not os.path.exists(folder)
+
+
+def test_officials_of_a_page_of_vendors(spark):
+    w = spark.createDataFrame([("v", 2, 1.0), ("v", 1, 2.0), ("v", 2, 3.0), ("u", 9, 1.0)], "vendor string, mp int, amount double")
+    assert [tuple(r) for r in vendors.officials_of(w, w.where("vendor = 'v'")).collect()] == [("v", "1;2")]

@@ -21,4 +21,4 @@ def test_collusion_pairs_are_all_pairs_within_the_tolerance(spark):
     want = {(a[0], a[1], *sorted((a[2], b[2]))) for a in bids for b in bids if a[:2] == b[:2] and a[2] != b[2] and 0 <= b[3] - a[3] <= 0.02 * b[3]}
     got = [tuple(r) for r in vendors.collusion_pairs(d).collect()]
     assert len(got) == len(want) and set(got) == want and (1, "d", "V1", "V3") in want
-    assert (1, "d", "V1", "V3") not in {tuple(r) for r in vendors.collusion(d).collect()}
+    assert (1, "d", "V1", "V3") not in {tuple(r) for r in vendors.neighbouring_bids(d).collect()}
