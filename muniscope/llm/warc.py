@@ -10,11 +10,11 @@ so that a file holds 256 MiB of payload, or one page. Payloads are equal when th
 alone, which records carry, can be made to collide.
 
 Reading: each archive file is parsed member by member, digests are verified, and its captures
-are sorted by URL key and timestamp: a run. Runs are dealt by ranges of (URL key, timestamp,
-page_id, place in the archives) - a URL captured very often spans several ranges - and arrive
-run after run, each in order, from a sort that can spill. A range keeps its runs, about
-RANGE_ROWS captures, as Arrow batches; a loser tree merges the k of them, STEP rows of each
-unpacked at a time, so the index as a whole is ordered.
+are sorted by URL key and timestamp: a run. Ranges of (URL key, timestamp, page_id, place in the archives) are cut at keys
+of a sample, SAMPLED for each range of about RANGE_ROWS captures - a URL captured very often spans several ranges. Each run is cut where
+ranges end, and its pieces travel as blocks of sorted rows, packed: no capture is sorted again. A range
+holds its packed blocks; a loser tree merges the k runs of them, one block of each unpacked at a time, so the index
+as a whole is ordered.
 
 Defined results: null html is an empty payload, equal to other empty ones; of rows that repeat both
 page_id and payload one is the response where that page is; a null url has no target, a null page_id is named
@@ -32,15 +32,15 @@ from datetime import datetime, timedelta
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, join_groups, map_rows, materialise, record_batch, row_keyed, shared_dir, table, utf8
+from .common import bound_arrow, give_back, join_groups, map_rows, materialise, record_batch, row_keyed, shared_dir, table, utf8
 
 #: (largest payload in bytes, records in a file)
 TIERS = ((1 << 18, 1_000), (1 << 23, 32), (1 << 62, 1))
 RANGE_ROWS = 100_000
-STEP = 256
 EPOCH = datetime(2024, 1, 1)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -147,6 +147,11 @@ def _order(row: tuple) -> tuple:
     return row[0], row[1], -(1 << 63) if row[2] is None else row[2]
 
 
+def _place(row: tuple) -> tuple:
+    """The same, then the place in the archives: captures that are alike in all else may go to several ranges."""
+    return *_order(row), row[7], row[8]
+
+
 class LoserTree:
     """k-way merge: losers stay at inner nodes, the winner is replayed along one path."""
 
@@ -270,44 +275,81 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return map_rows(files, run, CAPTURE_DDL)
 
 
+#: Keys looked at to place the end of a range, and rows in a block.
+SAMPLED, BLOCK_ROWS = 20, 2_000
+
+
+def range_ends(captures: DataFrame, total: int, ranges: int) -> list[tuple]:
+    """The first keys of all ranges but the first, from about SAMPLED keys a range."""
+    every = max(1, total // (SAMPLED * ranges))
+    chosen = captures.where(F.pmod(F.xxhash64("archive", "offset"), F.lit(every)) == 0)
+    keys = sorted(_place(tuple(r)) for r in chosen.collect())
+    return [keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else []
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, CAPTURES) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+BLOCKS = pa.schema([("range", pa.int32()), ("run", pa.string()), ("no", pa.int64()), ("block", pa.binary())])
+
+
 def merge_runs(captures: DataFrame) -> DataFrame:
-    """All captures ordered by (url_key, captured_at, page_id) across and within partitions."""
+    """All captures ordered by (url_key, captured_at, page_id) across and within partitions.
+
+    captures: sorted runs, the rows of each together, as read_runs gives them. What one task reads of an
+    archive is a run."""
     spark = captures.sparkSession
     total = captures.count()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
+    ends = range_ends(captures, total, ranges)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: list[list[pa.RecordBatch]] = []
-        archive = None
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, no, last = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            names = batch.column(7)
+            batch = pa.RecordBatch.from_arrays(batch.columns, schema=CAPTURES)
+            keys = [_place(row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            names = batch.column(7).to_pylist()
+            out: list[tuple] = []
             at = 0
-            while at < batch.num_rows:  # a run's rows are together
-                name = names[at].as_py()
-                end = at + 1 + bisect.bisect_left(range(at + 1, batch.num_rows), True, key=lambda k: names[k].as_py() != name)
-                if name != archive:
-                    runs.append([])
-                    archive = name
-                runs[-1].append(batch.slice(at, end - at))
+            while at < len(keys):
+                part = bisect.bisect_right(ends, keys[at])
+                name, end = names[at], at + 1
+                while end < len(keys) and end - at < BLOCK_ROWS and names[end] == name and (part == len(ends) or keys[end] < ends[part]):
+                    end += 1
+                no += 1
+                out.append((part, f"{name}#{task}", no, _packed(batch.slice(at, end - at))))
                 at = end
+            yield record_batch(BLOCKS, *zip(*out, strict=True))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[str, list[bytes]] = {}
+        for batch in batches:
+            for run, block in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                runs.setdefault(run, []).append(block)
 
-        def rows(run: list[pa.RecordBatch]) -> Iterator[tuple]:
-            for batch in run:
-                for at in range(0, batch.num_rows, STEP):
-                    yield from zip(*(c.to_pylist() for c in batch.slice(at, STEP).columns), strict=True)
+        def rows(blocks: list[bytes]) -> Iterator[tuple]:
+            for k, block in enumerate(blocks):
+                blocks[k] = b""
+                for batch in pa.ipc.open_stream(block):
+                    yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
         out = []
-        for row in LoserTree([rows(r) for r in runs], _order):
+        for row in LoserTree([rows(r) for r in runs.values()], _order):
             out.append(row)
             if len(out) == 10_000:
                 yield record_batch(CAPTURES, *zip(*out, strict=True))
                 out = []
         if out:
             yield record_batch(CAPTURES, *zip(*out, strict=True))
+        give_back()
 
     bound_arrow(spark)
-    key = ["url_key", "captured_at", "page_id"]
-    dealt = captures.repartitionByRange(ranges, *key, "archive", "offset").sortWithinPartitions("archive", *key)
+    blocks = captures.mapInArrow(cut, "range int, run string, no long, block binary")
+    dealt = blocks.repartitionById(ranges, F.col("range")).sortWithinPartitions("run", "no")  # names of blocks, no captures
     return dealt.mapInArrow(merge, CAPTURE_DDL)
 
 

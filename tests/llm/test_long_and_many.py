@@ -169,3 +169,27 @@ def test_encoding_through_a_character_map(spark, tmp_path):
             piece = library.id_to_piece(k).replace("▁", "")
             if piece and set(piece) <= set("cdhortw"):  # letters that the map leaves alone and makes of nothing
                 assert piece in raw[a:b].decode().replace("abcd", "")  # what the map deletes goes with its neighbour
+
+
+def test_runs_are_dealt_in_blocks_and_merged_in_order(spark, monkeypatch):
+    """A third of the captures alike in all but their place: they fill several ranges, and no sort of captures is in the plan."""
+    from muniscope.llm import warc
+
+    monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    monkeypatch.setattr(warc, "BLOCK_ROWS", 7)
+    rng = random.Random(6)
+    runs = []
+    for archive in range(9):
+        rows = [("same", "2020", 5) if rng.random() < 0.33 else (f"u{rng.randrange(40)}", str(2000 + rng.randrange(30)), rng.choice([None, *range(9)])) for _ in range(rng.choice([1, 60, 300]))]
+        rows.sort(key=lambda r: (r[0], r[1], -1 if r[2] is None else r[2]))
+        runs += [(*r, 1, "d", "response", None, f"a{archive}", k) for k, r in enumerate(rows)]
+    d = warc.materialise(spark.createDataFrame(runs, warc.CAPTURE_DDL).coalesce(1), "test-runs")
+    merged = warc.merge_runs(d)
+    got = [tuple(r) for r in merged.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, runs))
+    keys = [warc._order(r) for r in got]
+    assert keys == sorted(keys)
+    parts = merged.withColumn("p", F.spark_partition_id()).where("url_key = 'same'").select("p").distinct().count()
+    assert parts > 2
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "url_key" not in "".join(line for line in plan.split("\n") if "Sort " in line)
