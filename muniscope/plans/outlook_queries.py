@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scores import slippy_tile
-from ..operators import outlook, satellite, serving
+from ..operators import evaluation, outlook, satellite, serving
 from ..sources import views
 from .registry import query
 
@@ -103,3 +103,36 @@ def case_moves(spark, sf):
         pick(_ROLES, F.col("event_id")).alias("role"), F.when(F.col("event_id") % 3 > 0, "because").alias("reason"),
     )
     return serving.replay(moves, "case", "item", "ts")
+
+
+_A = ["phantom_work", "coordinate_reuse", "backdated_completion", "genuine", "genuine_unverified", "none"]
+_B = ["structuring", "missing_evidence", "cost_outlier", "cross_year_text_duplicate", "entitlement_pace_cluster", "none", "none"]
+_CASES = lambda names, n: "CASE " + " ".join(f"WHEN ({n}) % {len(names)} = {i} THEN '{s}'" for i, s in enumerate(names)) + " END"
+
+
+@query(f"""WITH w AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey // 3 % 2 = 0 THEN 'A' ELSE 'B' END AS branch, o_custkey AS mp, o_orderpriority AS category, o_totalprice AS amount, 'work ' || (o_orderkey % 7) AS description, o_orderkey % 3 > 0 AS has_images, o_orderkey % 97 AS asset FROM orders),
+t AS (SELECT id, branch, asset, CASE branch WHEN 'A' THEN {_CASES(_A, "id")} ELSE {_CASES(_B, "id")} END AS pattern FROM w),
+c AS (SELECT DISTINCT asset, asset % 3 = 0 AS changed FROM w WHERE asset % 10 < 9),
+a AS (SELECT pattern, changed FROM t LEFT JOIN c USING (asset) WHERE branch = 'A'), b AS (SELECT * FROM w WHERE branch = 'B'),
+p AS (SELECT category, avg(amount) AS m, stddev_samp(amount) AS s FROM b GROUP BY 1), x AS (SELECT description, mp, count(*) AS n FROM b GROUP BY 1, 2), o AS (SELECT mp, sum(amount) AS total FROM b GROUP BY 1),
+e AS (SELECT DISTINCT pattern, unnest(CASE WHEN pattern = 'structuring' THEN [id, id + 14] ELSE [id] END) AS id FROM t WHERE branch = 'B'),
+j AS (SELECT pattern, b.mp, CASE pattern WHEN 'structuring' THEN amount < 150000 WHEN 'missing_evidence' THEN NOT has_images WHEN 'cost_outlier' THEN s > 0 AND (amount - m) / s > 1.2 WHEN 'cross_year_text_duplicate' THEN n > 1 WHEN 'entitlement_pace_cluster' THEN total > 1500000 END AS f
+  FROM e LEFT JOIN b USING (id) LEFT JOIN p USING (category) LEFT JOIN x ON x.description = b.description AND x.mp = b.mp LEFT JOIN o ON o.mp = b.mp)
+SELECT 'A' AS branch, pattern, count(*) FILTER (NOT changed) AS hits, count(*) AS total FROM a WHERE pattern IN ('phantom_work', 'coordinate_reuse', 'backdated_completion') GROUP BY pattern
+UNION ALL SELECT 'A', 'genuine_correctly_not_flagged', count(*) FILTER (changed), count(*) FROM a WHERE pattern LIKE 'genuine%' AND changed IS NOT NULL
+UNION ALL SELECT 'B', pattern, count(*) FILTER (f), count(*) FROM j WHERE pattern NOT IN ('none', 'entitlement_pace_cluster') GROUP BY pattern
+UNION ALL SELECT 'B', pattern, count(DISTINCT mp) FILTER (f), count(DISTINCT mp) FROM j WHERE pattern = 'entitlement_pace_cluster' GROUP BY pattern""")
+def evaluation_report(spark, sf):
+    """2.14, 2.15 /evaluation: hits of each rule among planted irregularities, for both branches."""
+    k = F.col("o_orderkey")
+    pick = lambda names: F.element_at(F.array(*(F.lit(x) for x in names)), (k % len(names) + 1).cast("int"))
+    branch = F.when(F.floor(k / 3) % 2 == 0, "A").otherwise("B")
+    o = views.load(spark, sf, "orders").withColumns({"branch": branch, "asset": k % 97})
+    works = o.select(
+        k.alias("id"), "branch", F.col("o_custkey").alias("mp"), F.col("o_orderpriority").alias("category"), F.col("o_totalprice").alias("amount"),
+        F.concat(F.lit("work "), k % 7).alias("description"), (k % 3 > 0).alias("has_images"),
+    )
+    truth = o.select(k.alias("id"), "branch", "asset", F.when(F.col("branch") == "A", pick(_A)).otherwise(pick(_B)).alias("pattern"))
+    truth = truth.withColumn("cluster", F.when(F.col("pattern") == "structuring", F.array("id", F.col("id") + 14)))
+    change = o.where("asset % 10 < 9").select("asset", (F.col("asset") % 3 == 0).alias("changed")).distinct()
+    return evaluation.branch_report(works, truth, change, 150_000.0, 1_500_000.0, 1.2)

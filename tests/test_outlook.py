@@ -74,3 +74,23 @@ def test_moves_of_a_case(spark, parts):
     assert got == want and {v[2] for v in want.values()} == {"ok", "illegal_transition", "role_not_allowed", "reason_required"}
     moves = spark.createDataFrame([(w[1], r[3], r[4], r[5], w[2]) for r in rows for w in [want[r[1]]]], "from_status string, to_status string, role string, reason string, want string")
     assert serving.check_transitions(moves).where("verdict <> want").count() == 0
+
+
+def test_hits_of_either_branch(spark):
+    from muniscope.operators import evaluation
+
+    works = spark.createDataFrame(
+        [(1, "B", "m", "road", 999_000.0, "x", False), (2, "B", "m", "road", 60_000_000.0, "x", True), (3, "B", "n", "road", 5.0, "y", True), (4, "A", "m", "road", 1.0, "z", True)],
+        "id long, branch string, mp string, category string, amount double, description string, has_images boolean",
+    )
+    truth = spark.createDataFrame(
+        [(4, "A", "phantom_work", "a1", None), (5, "A", "phantom_work", "a2", None), (6, "A", "genuine", "a2", None), (7, "A", "genuine", "a9", None), (1, "B", "structuring", None, [1, 2, 77]),
+         (1, "B", "missing_evidence", None, None), (2, "B", "cross_year_text_duplicate", None, None), (3, "B", "cross_year_text_duplicate", None, None), (1, "B", "entitlement_pace_cluster", None, [1, 2, 3])],
+        "id long, branch string, pattern string, asset string, cluster array<long>",
+    )
+    change = spark.createDataFrame([("a1", False), ("a2", True)], "asset string, changed boolean")
+    got = {(r.branch, r.pattern): (r.hits, r.total) for r in evaluation.branch_report(works, truth, change).collect()}
+    assert got == {
+        ("A", "phantom_work"): (1, 2), ("A", "genuine_correctly_not_flagged"): (1, 1), ("B", "structuring"): (1, 3), ("B", "missing_evidence"): (1, 1),
+        ("B", "cross_year_text_duplicate"): (1, 2), ("B", "entitlement_pace_cluster"): (1, 2),
+    }
