@@ -6,8 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import alert_id, blank, work_key
+from ..sources import sinks
+from .graph import shared_table
 
 VERSION = "quality-checks-v2"
 
@@ -137,3 +140,31 @@ def alert_groups(found: DataFrame) -> DataFrame:
     return found.groupBy("group_key").agg(
         F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("status") == "open").alias("open"), F.min("id").alias("sample")
     ).orderBy(F.desc("alerts"), "group_key")
+
+
+def resolve_alerts(alerts: DataFrame, requests: DataFrame, log: str, audit: str) -> None:
+    """Take requests (alert_id, status, reason, actor, in_scope, at) to settle alerts: those that may are appended to ``log``,
+    and every one, taken or not, to ``audit`` with the state before and after it.
+
+    An alert that nobody knows is not_found, one outside of the actor's scope forbidden; the log keeps all that was
+    decided, of which the latest counts (see alert_states)."""
+    spark = alerts.sparkSession
+    known = alerts.select(F.col("id").alias("alert_id"), F.lit(True).alias("_known"))
+    verdict = F.when(F.col("_known").isNull(), "not_found").when(~F.col("in_scope"), "forbidden").otherwise("ok")
+    judged = requests.join(known, "alert_id", "left").withColumn("verdict", verdict).drop("_known")
+    before = spark.createDataFrame([], "alert_id string, _was string")
+    if sinks.exists(spark, log):
+        before = sinks.upsert_view(spark.read.parquet(log), ["alert_id"], "at").select("alert_id", F.col("status").alias("_was"))
+    judged = shared_table(judged.join(before, "alert_id", "left"), "resolutions")
+    order = Window.partitionBy("alert_id").orderBy("at", "status").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.when(F.col("verdict") == "ok", F.col("status"))
+    was = F.coalesce(F.last(taken, ignorenulls=True).over(order), "_was", F.lit("open"))
+    lines = judged.withColumn("before", was).withColumn("after", F.coalesce(taken, "before"))
+    sinks.append(judged.where("verdict = 'ok'").select("alert_id", "status", "reason", "actor", "at"), log)
+    sinks.append(lines.select("alert_id", "actor", "at", "verdict", "before", "after"), audit)
+
+
+def alert_states(alerts: DataFrame, log: DataFrame) -> DataFrame:
+    """alerts with status (open, or the latest decision), reason, actor and at of that decision."""
+    latest = sinks.upsert_view(log, ["alert_id"], "at").select(F.col("alert_id").alias("id"), "status", "reason", "actor", "at")
+    return alerts.join(latest, "id", "left").withColumn("status", F.coalesce("status", F.lit("open")))

@@ -71,6 +71,26 @@ def related(df: DataFrame, entity: str, item: str, risk: str, top: int = 5) -> D
     return met.withColumn("rank", rank).where(F.col("rank") <= top).select(item, "rank", "other")
 
 
+def work_detail(ids: DataFrame, works: DataFrame, actions: DataFrame, entity: str, item: str, risk: str, top: int = 5) -> DataFrame:
+    """The works that ``ids`` (item) names with their history, status and related works, as one row each.
+
+    actions: (item, at, actor, decision). history lists them by time and actor; status is that of the latest one, Flagged without any;
+    related lists the riskiest others of the same entity. Only entities of the named works are looked at."""
+    named = works.join(ids.select(item).distinct(), item, "left_semi")
+    mine = actions.join(named.select(item), item, "left_semi")
+    history = mine.groupBy(item).agg(F.sort_array(F.collect_list(F.struct("at", "actor", "decision"))).alias("history"))
+    around = works.join(named.select(entity).distinct(), entity, "left_semi")
+    others = related(around, entity, item, risk, top).join(named.select(item), item, "left_semi")
+    others = others.groupBy(item).agg(F.sort_array(F.collect_list(F.struct("rank", "other"))).alias("_r"))
+    met = named.join(history, item, "left").join(others, item, "left")
+    status = F.coalesce(F.element_at("history", -1).decision, F.lit("Flagged"))
+    none = F.array().cast(history.schema["history"].dataType)
+    return met.select(
+        *named.columns, F.coalesce("history", none).alias("history"), status.alias("status"),
+        F.coalesce(F.transform("_r", lambda x: x.other), F.array().cast(f"array<{dict(works.dtypes)[item]}>")).alias("related"),
+    )
+
+
 def attempts_within(log: DataFrame, key: str, at: str, seconds: int = 300) -> DataFrame:
     """log with the number of its key's rows in the seconds before, the row included."""
     second = F.col(at).cast("timestamp").cast("long")

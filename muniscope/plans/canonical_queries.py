@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import amounts, letters, scores, text
-from ..operators import canonical, quality
+from ..operators import canonical, graph, quality
 from ..sources import views
 from .registry import query
 
@@ -192,6 +192,34 @@ def quality_alerts(spark, sf):
     return found.select("id", "work_id", "quality_code", "severity", "field", "raw_value", "group_key")
 
 
+@query(f"""WITH {_ALERTS_SQL}, r AS (SELECT severity, substr(id, 1, 1) AS c FROM alerts),
+v AS (SELECT severity, CASE WHEN c <= '3' THEN 'accepted' WHEN c <= '7' THEN 'resolved' ELSE 'open' END AS status, CASE WHEN c <= '3' THEN 2 WHEN c <= '7' THEN 1 ELSE 0 END AS taken,
+  CASE WHEN c IN ('8', '9') THEN 1 ELSE 0 END AS forbidden, CASE WHEN c = 'a' THEN 1 ELSE 0 END AS unknown, CASE WHEN c <= '3' THEN 1 ELSE 0 END AS changed FROM r)
+SELECT severity, status, count(*) AS alerts, CAST(sum(taken) AS BIGINT) AS taken, CAST(sum(forbidden) AS BIGINT) AS forbidden, CAST(sum(unknown) AS BIGINT) AS unknown, CAST(sum(changed) AS BIGINT) AS changed FROM v GROUP BY ALL""")
+def alert_resolutions(spark, sf):
+    """2.15 POST /quality/alerts/resolve: alerts settled in two rounds, with an audit line for every request, taken or not."""
+    found = quality.alerts(_canonical(spark, sf), quality.standard_rules(_KNOWN))
+    alerts = graph.shared_table(found.select("id", "severity"), "alerts")
+    log, audit = graph.shared_folder(spark, "resolutions"), graph.shared_folder(spark, "resolution-audit")
+    first = F.substring("id", 1, 1)
+
+    def ask(status, at, scope=True, name="id"):
+        return [F.expr(name).alias("alert_id"), F.lit(status).alias("status"), F.lit("seen").alias("reason"), F.lit("reviewer").alias("actor"), F.lit(scope).alias("in_scope"), F.lit(at).alias("at")]
+
+    one = alerts.where(first <= "7").select(*ask("resolved", 1)).union(alerts.where(first.isin("8", "9")).select(*ask("resolved", 1, False)))
+    one = one.union(alerts.where(first == "a").select(*ask("resolved", 1, True, "concat('x', id)")))
+    quality.resolve_alerts(alerts, one, log, audit)
+    quality.resolve_alerts(alerts, alerts.where(first <= "3").select(*ask("accepted", 2)), log, audit)
+    lines = spark.read.parquet(audit).withColumn("id", F.regexp_replace("alert_id", "^x", ""))
+    count = lambda c, name: F.count_if(c).alias(name)
+    per = lines.groupBy("id").agg(
+        count(F.col("verdict") == "ok", "taken"), count(F.col("verdict") == "forbidden", "forbidden"), count(F.col("verdict") == "not_found", "unknown"),
+        count((F.col("before") == "resolved") & (F.col("after") == "accepted"), "changed"),
+    )
+    states = quality.alert_states(alerts, spark.read.parquet(log)).join(per, "id", "left").na.fill(0)
+    return states.groupBy("severity", "status").agg(F.count(F.lit(1)).alias("alerts"), *(F.sum(c).alias(c) for c in ("taken", "forbidden", "unknown", "changed")))
+
+
 @query(f"WITH {_ALERTS_SQL} SELECT code || '|' || field AS group_key, count(*) AS alerts, count(*) AS open, min(id) AS sample FROM alerts GROUP BY 1")
 def quality_alert_groups(spark, sf):
     """Alerts by root cause."""

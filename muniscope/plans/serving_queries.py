@@ -69,6 +69,21 @@ def related_entities_top5(spark, sf):
     return serving.related(w, "mp_id", "record_id", "actual_amount").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"""WITH {views.WORKS_SQL}, n AS (SELECT * FROM works WHERE CAST(record_id AS BIGINT) % 50 = 1),
+a AS (SELECT CAST(user_id * 50 + 1 AS VARCHAR) AS record_id, event_id, ts, event_type FROM events), h AS (SELECT record_id, count(*) AS actions, arg_max(event_type, {{'t': ts, 'e': event_id}}) AS status FROM a GROUP BY 1),
+b AS (SELECT mp_id, record_id AS other, row_number() OVER (PARTITION BY mp_id ORDER BY actual_amount DESC, record_id) AS r FROM works),
+o AS (SELECT n.record_id, b.other, row_number() OVER (PARTITION BY n.record_id ORDER BY r) AS k FROM n JOIN b USING (mp_id) WHERE n.record_id <> b.other), l AS (SELECT record_id, string_agg(other, ',' ORDER BY k) AS related FROM o WHERE k <= 5 GROUP BY 1)
+SELECT record_id, constituency, actual_amount, coalesce(actions, 0) AS actions, coalesce(status, 'Flagged') AS status, coalesce(related, '') AS related FROM n LEFT JOIN h USING (record_id) LEFT JOIN l USING (record_id)""")
+def work_details(spark, sf):
+    """2.15 /works/{id}: works with their history of actions, status and related works; every fiftieth record asked for."""
+    w = views.works(spark, sf).select("record_id", "mp_id", "constituency", "actual_amount")
+    asked = w.where(F.col("record_id").cast("long") % 50 == 1).select("record_id")
+    e = views.load(spark, sf, "events")
+    actions = e.select((F.col("user_id") * 50 + 1).cast("string").alias("record_id"), F.col("ts").alias("at"), F.col("event_id").alias("actor"), F.col("event_type").alias("decision"))
+    d = serving.work_detail(asked, w, actions, "mp_id", "record_id", "actual_amount")
+    return d.select("record_id", "constituency", "actual_amount", F.size("history").cast("long").alias("actions"), "status", F.array_join("related", ",").alias("related"))
+
+
 @query("""WITH r AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, value DESC) AS k, count(*) OVER (PARTITION BY user_id) AS reviews FROM events)
 SELECT user_id, event_type, value, reviews FROM r WHERE k = 1""")
 def latest_review_action(spark, sf):

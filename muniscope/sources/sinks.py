@@ -120,6 +120,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _file_system(spark, path)
+    return fs.exists(jpath(path))
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
