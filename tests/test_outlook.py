@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from muniscope.operators import outlook, satellite, serving
 
@@ -94,3 +93,31 @@ def test_hits_of_either_branch(spark):
         ("A", "phantom_work"): (1, 2), ("A", "genuine_correctly_not_flagged"): (1, 1), ("B", "structuring"): (1, 3), ("B", "missing_evidence"): (1, 1),
         ("B", "cross_year_text_duplicate"): (1, 2), ("B", "entitlement_pace_cluster"): (1, 2),
     }
+
+
+def test_alerts_are_settled_by_the_latest_decision(spark, tmp_path):
+    from muniscope.operators import quality
+
+    alerts = spark.createDataFrame([("a", "info"), ("b", "critical"), ("c", "info")], "id string, severity string")
+    log, audit = str(tmp_path / "log"), str(tmp_path / "audit")
+    ddl = "alert_id string, status string, reason string, actor string, in_scope boolean, at int"
+    first = [("a", "resolved", "r", "p", True, 1), ("a", "accepted", "r", "p", True, 2), ("b", "resolved", "r", "q", False, 3), ("zz", "resolved", "r", "p", True, 4)]
+    quality.resolve_alerts(alerts, spark.createDataFrame(first, ddl), log, audit)
+    quality.resolve_alerts(alerts, spark.createDataFrame([("a", "resolved", "again", "q", True, 9)], ddl), log, audit)
+    got = {r.id: (r.status, r.reason) for r in quality.alert_states(alerts, spark.read.parquet(log)).collect()}
+    assert got == {"a": ("resolved", "again"), "b": ("open", None), "c": ("open", None)}
+    lines = sorted((r["at"], r.alert_id, r.verdict, r.before, r.after) for r in spark.read.parquet(audit).collect())
+    assert lines == [
+        (1, "a", "ok", "open", "resolved"), (2, "a", "ok", "resolved", "accepted"), (3, "b", "forbidden", "open", "open"),
+        (4, "zz", "not_found", "open", "open"), (9, "a", "ok", "accepted", "resolved"),
+    ]
+
+
+def test_details_of_works(spark):
+    works = spark.createDataFrame([(1, "m", 5.0), (2, "m", 9.0), (3, "m", 7.0), (4, "n", 1.0)], "id int, mp string, amount double")
+    actions = spark.createDataFrame([(1, 20, "u", "Confirm"), (1, 10, "v", "Dismiss"), (4, 5, "u", "Dismiss"), (2, 1, "u", "Confirm")], "id int, at int, actor string, decision string")
+    ids = spark.createDataFrame([(1,), (1,), (4,), (99,), (3,)], "id int")
+    got = {r.id: r for r in serving.work_detail(ids, works, actions, "mp", "id", "amount", 2).collect()}
+    assert set(got) == {1, 3, 4}
+    assert [(h["at"], h.decision) for h in got[1].history] == [(10, "Dismiss"), (20, "Confirm")] and got[1].status == "Confirm"
+    assert (got[1].related, got[3].related, got[4].related) == ([2, 3], [2, 1], []) and (got[3].status, got[3].history) == ("Flagged", [])
