@@ -24,6 +24,7 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def strength(score: Column, fired: Column) -> Column:
+    # The labels.
     return F.when(fired, F.when(score >= STRONG, "strong").when(score >= MEDIUM, "medium").otherwise("weak"))
 
 

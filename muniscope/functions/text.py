@@ -25,9 +25,13 @@ def upper_norm(x: Column) -> Column:
     return F.upper(strip_space(x))
 
 
+#: Fixed value: the letter number that activities begin with.
+ACTIVITY_PREFIX = r"^WS/MP\d+/\d{4}-\d{4}/\d+-"
+
+
 def activity_norm(x: Column) -> Column:
     """Without a leading letter number."""
-    return strip_space(F.regexp_replace(x, r"^WS/MP\d+/\d{4}-\d{4}/\d+-", ""))
+    return strip_space(F.regexp_replace(x, ACTIVITY_PREFIX, ""))
 
 
 def description_norm(x: Column) -> Column:
