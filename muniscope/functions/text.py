@@ -79,3 +79,9 @@ def rupees(x: Column) -> Column:
 def exactly(column: str, allowed: list[str]) -> Column:
     """The raw value is one of those allowed, without any normalisation; null is none."""
     return F.coalesce(F.col(column).isin(allowed), F.lit(False))
+
+
+def holds(column: str, pattern: str, regex: bool = False) -> Column:
+    """The value has the pattern in it, whatever the case of either; null has none. A plain pattern stands for itself."""
+    found = F.col(column).rlike(f"(?iu){pattern}") if regex else F.contains(F.lower(column), F.lower(F.lit(pattern)))
+    return F.coalesce(found, F.lit(False))

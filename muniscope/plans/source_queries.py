@@ -182,6 +182,15 @@ def exact_scope(spark, sf):
     return c.where(text.exactly("c_mktsegment", ["BUILDING", "machinery"])).select(F.col("c_custkey").alias("id"))
 
 
+@query("""SELECT p_partkey AS id, contains(lower(p_name), 'widget') AS plain, contains(lower(p_brand), 'd#1') AS literal, regexp_matches(p_name, '^(cold|large) .*t$', 'i') AS pattern FROM part
+WHERE contains(lower(p_name), 'widget') OR contains(lower(p_brand), 'd#1') OR regexp_matches(p_name, '^(cold|large) .*t$', 'i')""")
+def column_containment(spark, sf):
+    """a text or a regular expression inside a column, whatever the case."""
+    p = views.load(spark, sf, "part")
+    p = p.select(F.col("p_partkey").alias("id"), text.holds("p_name", "WIDGET").alias("plain"), text.holds("p_brand", "D#1").alias("literal"), text.holds("p_name", "^(Cold|Large) .*T$", True).alias("pattern"))
+    return p.where("plain OR literal OR pattern")
+
+
 @query("""SELECT o_orderkey AS id, CAST(greatest(1, round_even(o_custkey % 900 * 0.1, 0)) AS INTEGER) AS top_end, CAST(o_custkey % 900 - greatest(1, round_even(o_custkey % 900 * 0.1, 0)) AS INTEGER) AS bottom_begin FROM orders""")
 def stamp_bands(spark, sf):
     """The rows of a picture where stamps stand."""
