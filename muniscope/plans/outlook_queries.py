@@ -15,21 +15,23 @@ f AS (SELECT mp, len(x) AS months, list_reduce(list_transform(list_concat([x[1]]
   lambda a, e: {'l': 0.5 * e.v + 0.5 * (a.l + a.t), 't': 0.3 * (0.5 * e.v + 0.5 * (a.l + a.t) - a.l) + 0.7 * a.t, 'v': e.v}) AS z FROM x)"""
 
 
-@query(f"""WITH spent AS (SELECT o_custkey AS mp, CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS INTEGER) AS month, sum(l_extendedprice) AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
-granted AS (SELECT o_custkey AS mp, sum(o_totalprice) AS given FROM orders GROUP BY 1), paid AS (SELECT mp, sum(amount) AS paid FROM spent GROUP BY mp), {_FOLD},
+@query(f"""WITH spent AS (SELECT o_custkey AS mp, CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS INTEGER) AS month, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+granted AS (SELECT o_custkey AS mp, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS given FROM orders GROUP BY 1), paid AS (SELECT mp, sum(amount) AS paid FROM spent GROUP BY mp), {_FOLD},
 t AS (SELECT mp, z.l AS level, z.t AS trend, list_sum(list_transform(range(1, 7), lambda h: greatest(0.0, z.l + h * z.t))) AS forecast FROM f)
-SELECT mp, round(level, 1) AS level, round(trend, 1) AS trend, round(forecast, 1) AS forecast, round(given - paid, 1) AS balance,
+SELECT mp, round(level, 3) AS level, round(trend, 3) AS trend, round(forecast, 3) AS forecast, round(given - paid, 2) AS balance,
   CASE WHEN round(given - paid, 3) > 0 THEN round(least(1.0, forecast / (given - paid)), 5) END AS absorbed FROM t JOIN paid USING (mp) JOIN granted USING (mp)""")
 def fund_forecast(spark, sf):
     """2.14: what six months are expected to take of an official's funds, by smoothed level and trend."""
     o, l = views.load(spark, sf, "orders"), views.load(spark, sf, "lineitem")
     works = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("mp"), "l_shipdate", "l_extendedprice")
-    spent = outlook.monthly(works, "mp", "l_shipdate", "l_extendedprice")
-    granted = o.select(F.col("o_custkey").alias("mp"), F.col("o_totalprice").alias("amount"))
+    money = lambda c: F.col(c).cast("decimal(18,2)").alias(c)  # noqa: E731  sums do not depend on the order of rows
+    spent = outlook.monthly(works.select("mp", "l_shipdate", money("l_extendedprice")), "mp", "l_shipdate", "l_extendedprice")
+    spent = spent.withColumn("amount", F.col("amount").cast("double"))
+    granted = o.select(F.col("o_custkey").alias("mp"), money("o_totalprice").alias("amount")).groupBy("mp").agg(F.sum("amount").cast("double").alias("amount"))
     found = outlook.fund_forecast(spent, granted, "mp")
     balance = F.round("balance", 3)
     return found.select(
-        "mp", *(F.round(c, 1).alias(c) for c in ("level", "trend", "forecast", "balance")), F.when(balance > 0, F.round("absorbed", 5)).alias("absorbed")
+        "mp", *(F.round(c, n).alias(c) for c, n in (("level", 3), ("trend", 3), ("forecast", 3), ("balance", 2))), F.when(balance > 0, F.round("absorbed", 5)).alias("absorbed")
     )
 
 
