@@ -155,6 +155,7 @@ BENFORD = 15.507
 def recall_by_detector(works: DataFrame, n: int = 10, names: list[str] | None = None) -> DataFrame:
     """(pattern, injected, found, recall): n works of each pattern put in, each looked for by its own rule."""
     names = names or list(PATTERNS)
+    works = shared_table(works, "works")  # pictures are drawn once, not for every pattern
     mixed = shared_table(inject(works, n, names), "injected")
     seen = None
     for name in names:
