@@ -12,6 +12,8 @@ only where the recovered turn differs is its content escaped (one backslash more
 percent codes), after which it parses to the source. The whole text is parsed again at
 the end, and a conversation that still differed would raise.
 
+Other columns of a table are not read and may have any name.
+
 Defined results: null texts and roles count as empty; turns go by number, then role, then
 text, nulls first, so ties and repeated rows have one order; a null conv_id is one
 conversation; an empty table gives no rows (the query's own conversation -1 aside).

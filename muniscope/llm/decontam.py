@@ -17,6 +17,8 @@ one item). A block is sent to the workers, which build its windows, searched aga
 documents, its hits are written, and it is destroyed before the next one is read; what
 several blocks found in a row is united by the row's key.
 
+Other columns of a table are not read and may have any name; the pipeline stage passes them on as they are.
+
 Defined results: null and empty texts have no words and no hits; an item without words
 has no window; an item shorter than 13 words is one window; every row is judged by its own
 text, whether its doc_id is null, repeated or its own; repeated item ids count once in a list, a null

@@ -13,6 +13,8 @@ so a group holding a third of all rows moves one copy of each chunk per task. Sh
 different chunks ever meet under one fingerprint, that fingerprint's rows are regrouped
 by SHA-256 of the text.
 
+Other columns of a table are not read and may have any name; the pipeline stage passes them on as they are.
+
 Defined results: null text counts as empty; empty texts are equal to each other; of a group
 the row with the largest doc_id stays, rows without a doc_id only where the group has no other;
 of several such rows (same id and text) one stays; an empty table gives an empty result.

@@ -28,6 +28,8 @@
     compatible chunks is a task, so memory is bounded; the work in a component grows with the
     square of its distinct sets, as its links do.
 
+Other columns of a table are not read and may have any name; the pipeline stage passes them on as they are.
+
 Defined results: null, empty and blank texts have no shingles and no links; a text of fewer
 words than a shingle is one shingle; every row counts, whether its doc_id is null, repeated or its
 own; a component is named by its least doc_id, null if it has none; an empty table gives an empty result.

@@ -9,6 +9,8 @@ many bands, of one minimum hash each, as make (1 - s) ** bands less than MISS fo
 in it: the probability to overlook a template that is there. What the bands retrieve is verified
 by exact shingle containment in the window.
 
+Other columns of a table are not read and may have any name.
+
 Defined results: null and empty texts, and texts of fewer words than a shingle, match
 nothing; templates need five words; repeated rows give repeated results; an empty table an
 empty result. Templates are a parameter; they go to the workers with the task, so

@@ -15,6 +15,8 @@ documents share is one row of the leaf's lines; where rows per document meet it,
 broadcast. Support does not depend on the other lines of a leaf, so a line that recurs
 in a corpus recurs in every larger one. Lines are told apart by 128 bits of hash.
 
+Other columns of a table are not read and may have any name.
+
 Defined results: null text counts as empty; empty and blank lines stay; every row counts as a document,
 whether its doc_id is null, repeated or its own; an empty table gives an empty result.
 """

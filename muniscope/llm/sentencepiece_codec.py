@@ -10,6 +10,8 @@ piece's span in the original UTF-8 bytes.
 The model file is a parameter; without one the default is found by the worker itself, so the driver's
 folders need not be the executors'.
 
+Other columns of a table are not read and may have any name.
+
 Defined results: null and empty texts give the end id alone and decode to the empty text; a byte
 that is not part of valid UTF-8 is encoded as U+FFFD and spans that byte; repeated rows give repeated results; an empty table an empty result. Memory follows the
 longest single text.

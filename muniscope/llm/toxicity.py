@@ -12,6 +12,8 @@ each (of repeated ids the least text); counts for the lexicon are made on the ex
 at most LEXICON terms and TRAIN_ROWS rows of features reach the driver.
 Scoring covers every row and the whole text.
 
+Other columns of a table are not read and may have any name; the pipeline stage passes them on as they are.
+
 Defined results: null and empty texts have zero features and get a score like any other;
 without labelled texts of both kinds every score is 0; null labels are no labels; a null id
 is not held out; repeated rows give repeated results; an empty table an empty result.

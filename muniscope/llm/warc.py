@@ -16,6 +16,8 @@ ranges end, and its pieces travel as blocks of sorted rows, packed: no capture i
 holds its packed blocks; a loser tree merges the k runs of them, one block of each unpacked at a time, so the index
 as a whole is ordered.
 
+Other columns of a table are not read and may have any name.
+
 Defined results: null html is an empty payload, equal to other empty ones; of rows that repeat both
 page_id and payload one is the response where that page is; a null url has no target, a null page_id is named
 None and sorts first; an empty table writes no record and gives an empty result.
