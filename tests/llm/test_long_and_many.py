@@ -1,7 +1,9 @@
 """Texts with very many lines or spans, phrases and templates in blocks, and the character map."""
 
+import os
 import random
 import struct
+import time
 
 import duckdb
 import pytest
@@ -193,3 +195,27 @@ def test_runs_are_dealt_in_blocks_and_merged_in_order(spark, monkeypatch):
     assert parts > 2
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert "url_key" not in "".join(line for line in plan.split("\n") if "Sort " in line)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """The jobs of materialise (and of shared_table) take their shuffle files with them, whatever the driver's garbage."""
+    from muniscope.llm import common
+    from muniscope.operators import graph
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+
+    def left():
+        return {f for f in map(str, env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")) if "/shuffle_" in f}
+
+    before, setting = left(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    rows = spark.range(40_000).groupBy((F.col("id") % 20_011).alias("g")).agg(F.sum("id").alias("s"))
+    for write in (common.materialise, graph.shared_table):
+        assert write(rows, "test-shuffle").count() == 20_011
+    for _ in range(50):  # files go a moment after the job; that of the count stays
+        new = left() - before
+        if len(new) <= 2 * 8:
+            break
+        time.sleep(0.1)
+    sizes = [os.path.getsize(f) for f in new if f.endswith(".data") and os.path.exists(f)]
+    assert sum(sizes) < 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
