@@ -88,6 +88,19 @@ def hash_pairs(df: DataFrame, item: str, bits: str, distance: int) -> DataFrame:
     return near.unionByName(copies.select(F.col("first").alias("a"), F.col(item).alias("b"), F.lit(0).alias("distance")))
 
 
+def with_neighbour(asked: DataFrame, df: DataFrame, item: str, bits: str, distance: int, width: int = 64) -> DataFrame:
+    """(item): those of ``asked`` that have another item of ``df`` at most ``distance`` bits away, itself left out.
+
+    A search of few values in many, by the bands of hamming_pairs: rows of df meet no other rows of df."""
+    edges = [round(i * width / (distance + 1)) for i in range(distance + 2)]
+    x = F.col(bits)
+    parts = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(x, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)).alias("part")) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
+    cut = lambda d: d.select(F.col(item).alias("id"), x.alias("x"), F.explode(parts).alias("at"))
+    met = cut(df).alias("b").join(cut(asked).alias("a"), F.col("a.at") == F.col("b.at"))
+    near = (F.col("a.id") != F.col("b.id")) & (hamming(F.col("a.x"), F.col("b.x")) <= distance)
+    return met.where(near).select(F.col("a.id").alias(item)).distinct()
+
+
 #: Distinct hashes in a block: two blocks make one tile of distance_histogram.
 BLOCK = 4096
 
