@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import difflib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import matching
 from ..functions.scores import hamming
 from ..session import ship_package
 from .graph import discard, shared_table
@@ -203,15 +205,74 @@ def adaptive_threshold(histogram: DataFrame, share: float = 0.01) -> DataFrame:
     return p.select(F.least(F.lit(6), F.greatest(F.lit(2), F.floor(F.col("p") / 2))).cast("int").alias("threshold"))
 
 
-@F.pandas_udf(T.DoubleType())
-def ratcliff(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio, first argument first: the measure is not symmetric."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
-
+#: Texts and characters of a group that are compared with one another where they are; what has more meets on an index.
+GROUP, CHARACTERS = 2048, 4 << 20
+#: Pairs that are looked at together, and that make a task.
+PAIRS, TASK = 1 << 17, 1 << 20
+
+
+def _numbered(*columns: pa.Array) -> list[np.ndarray]:
+    """Equal values of all columns as equal numbers, nulls as -1; the last is the list of values."""
+    coded = pa.concat_arrays(columns).dictionary_encode()
+    codes = np.asarray(coded.indices.fill_null(-1)).astype(np.int64)
+    return [*np.split(codes, np.cumsum([len(c) for c in columns])[:-1]), coded.dictionary]
+
+
+def _near_in_groups(rows: pa.Table, starts: np.ndarray, apart: bool, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The near pairs of whole groups, the earlier row first."""
+    text, texts = _numbered(rows["t"].combine_chunks())
+    low, high, _ = _numbered(rows["low"].combine_chunks(), rows["high"].combine_chunks())
+    known = matching.Texts(texts.to_pylist())
+    ids = rows["id"].combine_chunks()
+    ends = np.append(starts[1:], len(text))
+    after = np.repeat(ends, ends - starts) - np.arange(len(text)) - 1  # rows of its group that follow a row
+    before = np.concatenate([[0], np.cumsum(after)])
+    at = 0
+    while at < len(text):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS, "right")) - 1)
+        i = np.repeat(np.arange(at, to), after[at:to])
+        j = i + 1 + np.arange(len(i)) - (before[i] - before[at])
+        if apart:
+            far = (np.minimum(low[i], low[j]) >= 0) & ((low[i] != high[j]) | (high[i] != low[j]))
+            i, j = i[far], j[far]
+        place, ratio = matching.near(known, text[i], text[j], threshold)
+        if len(place):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[place])), ids.take(pa.array(j[place])), pa.array(ratio)], ["a", "b", "ratio"])
+        at = to
+
+
+def _compare_groups(group: str, apart: bool, threshold: float):
+    """Rows sorted by group to near pairs. Of a group that goes on in the next batch the rows are held until it ends."""
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            key = rows[group].combine_chunks()
+            starts = np.append(0, np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)) + 1)
+            last = int(starts[-1])
+            if last:
+                yield from _near_in_groups(rows[:last], starts[:-1], apart, threshold)
+            held = rows[last:]
+        if held is not None:
+            yield from _near_in_groups(held, np.zeros(1, dtype=np.int64), apart, threshold)
+
+    return compare
+
+
+def _compare_pairs(threshold: float):
+    """(a, b, t_a, t_b) to those that are near."""
+
+    def compare(batches):
+        for batch in batches:
+            i, j, texts = _numbered(batch["t_a"], batch["t_b"])
+            place, ratio = matching.near(matching.Texts(texts.to_pylist()), i, j, threshold)
+            yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(place)), batch["b"].take(pa.array(place)), pa.array(ratio)], ["a", "b", "ratio"])
 
-def _letters(x: Column) -> Column:
-    """Counts of a-z and of all else, for an upper bound of the ratio."""
-    return F.array(*(F.length(x) - F.length(F.replace(x, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz "))
+    return compare
 
 
 def _gram_size(threshold: float) -> tuple[int, float]:
@@ -227,57 +288,73 @@ def _gram_size(threshold: float) -> tuple[int, float]:
 
 
 def _indexed(one: DataFrame, group: str, threshold: float) -> DataFrame:
-    """(group, id, gram, nth): of each text the rarest q-grams of its group, so many that two texts above the
-    threshold share one of them."""
+    """(group, k, gram, nth): of each text the rarest q-grams of its group, so many that two texts above the
+    threshold share one of them. k: a number that no two texts share."""
     q, share = _gram_size(threshold)
     least = threshold / (2 - threshold)
-    rows = one.select(group, "id", "n", F.explode(F.sequence(F.lit(1), F.col("n") - q + 1)).alias("p"), "t").where(F.col("n") >= q)
-    grams = rows.groupBy(group, "id", "n", F.expr(f"substring(t, p, {q})").alias("gram")).agg(F.count(F.lit(1)).alias("c"))
-    grams = shared_table(grams.select(group, "id", "n", "gram", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("nth")), "grams")
+    rows = one.select(group, "k", "n", F.explode(F.sequence(F.lit(1), F.col("n") - q + 1)).alias("p"), "t").where(F.col("n") >= q)
+    grams = rows.groupBy(group, "k", "n", F.expr(f"substring(t, p, {q})").alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+    grams = shared_table(grams.select(group, "k", "n", "gram", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("nth")), "grams")
     often = grams.groupBy(group, "gram", "nth").agg(F.count(F.lit(1)).alias("often"))
-    met = grams.alias("g").join(often.alias("o"), [F.col(f"g.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (group, "gram", "nth")])
-    place = F.row_number().over(Window.partitionBy(group, "id").orderBy("often", "gram", "nth"))
-    common = F.floor(F.col("n") * (1 + least) * share - (q - 1)) + 1  # at least so many with any partner
-    ranked = met.select(*(F.col(f"g.{c}").alias(c) for c in (group, "id", "n", "gram", "nth")), "often").withColumn("place", place)
-    return ranked.where(F.col("place") <= F.col("n") - q + 1 - common + 1).select(group, "id", "gram", "nth")
+    met = grams.join(often, [group, "gram", "nth"])
+    place = F.row_number().over(Window.partitionBy("k").orderBy("often", "gram", "nth"))
+    common = F.floor(F.col("n") * (1 + least) * share - (q - 1) - 1e-9) + 1  # at least so many with any partner
+    ranked = met.select(group, "k", "n", "gram", "nth", "often").withColumn("place", place)
+    return ranked.where(F.col("place") <= F.col("n") - q + 1 - common + 1).select(group, "k", "gram", "nth")
 
 
-def text_pairs(df: DataFrame, item: str, text: str, group: str, threshold: float = 0.9, across: str | None = None) -> DataFrame:
-    """(a, b, ratio): texts of one group with a Ratcliff-Obershelp ratio above the threshold.
-
-    Distinct texts only, each named by its least item; with ``across`` only texts that stand under different
-    values of that column, a fiscal year say. Texts of a group meet on an index of their rarest q-grams, without loss, so a group is
-    not compared as a whole and its lists, being of rare grams, are short; texts too short for that meet by their
-    length. Native bounds from lengths and letter counts come before the exact ratio."""
-    ship_package(df.sparkSession)
+def _indexed_pairs(one: DataFrame, group: str, threshold: float, apart: bool) -> DataFrame:
+    """(a, b, ratio) of groups too large to be compared as a whole: candidates from an index, without loss."""
     q, share = _gram_size(threshold)
     least = threshold / (2 - threshold)  # the shorter length over the longer is above this
-    year = F.col(across) if across else F.lit(0)
-    one = df.where(F.length(text) > 0).groupBy(group, text).agg(F.min(item).alias("id"), F.min(year).alias("low"), F.max(year).alias("high"))
-    one = one.select(group, "id", "low", "high", F.col(text).alias("t"), F.length(text).alias("n"))
-    if across:  # a text that no other year can meet is no one's partner
-        years = one.groupBy(group).agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high").select(F.col(group).alias("_g"))
-        one = one.join(years, F.col(group).eqNullSafe(F.col("_g")), "left_semi")
-    one = shared_table(one, "texts")
+    if apart:  # a text that no other year can meet is no one's partner
+        years = one.groupBy(group).agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high").select(group)
+        one = one.join(years, group, "left_semi")
+    one = shared_table(one.withColumn("n", F.length("t")).withColumn("k", F.monotonically_increasing_id()), "large-groups")
     index = shared_table(_indexed(one, group, threshold), "text-index")
     key = [group, "gram", "nth"]
-    x, y = index.select(*key, F.col("id").alias("a")), index.select(*key, F.col("id").alias("b"))
-    pairs = x.join(y, key).where("a < b").select(group, "a", "b")
+    x, y = index.select(*key, F.col("k").alias("x")), index.select(*key, F.col("k").alias("y"))
+    pairs = x.join(y, key).where("x < y").select("x", "y")
     # Texts so short that no gram need be common, and what is short enough to be near them.
     short = int((q - 1) / ((1 + least) * share))
-    tiny = one.where(F.col("n") <= short / least).select(group, "id", "n")
-    u, v = tiny.select(group, F.col("id").alias("a"), "n"), tiny.select(group, F.col("id").alias("b"), F.col("n").alias("m"))
-    close = u.join(v, group).where("a < b").where(2 * F.least("n", "m") > threshold * (F.col("n") + F.col("m")))
-    pairs = pairs.unionByName(close.select(group, "a", "b")).distinct()
-    facts = one.select(group, "id", "low", "high", "t", "n", _letters(F.col("t")).alias("c"))
-    left = facts.select(group, *(F.col(c).alias("a" if c == "id" else f"{c}_a") for c in facts.columns if c != group))
-    right = facts.select(group, *(F.col(c).alias("b" if c == "id" else f"{c}_b") for c in facts.columns if c != group))
-    met = pairs.join(left, [group, "a"]).join(right, [group, "b"])
-    if across:
-        met = met.where("low_a <> high_b OR high_a <> low_b")
-    total = F.col("n_a") + F.col("n_b")
-    common = F.aggregate(F.arrays_zip(F.col("c_a").alias("x"), F.col("c_b").alias("y")), F.lit(0), lambda s, z: s + F.least(z.x, z.y))
-    other = F.least(*(F.col(f"n_{k}") - F.aggregate(f"c_{k}", F.lit(0), lambda s, z: s + z) for k in "ab"))
-    met = met.where(2 * F.least("n_a", "n_b") > threshold * total).where(2 * (common + other) > threshold * total)
-    scored = met.select("a", "b", ratcliff(F.col("t_a"), F.col("t_b")).alias("ratio"))
-    return scored.where(F.col("ratio") > threshold)
+    tiny = one.where(F.col("n") <= short / least).select(group, "k", "n")
+    u, v = tiny.select(group, F.col("k").alias("x"), "n"), tiny.select(group, F.col("k").alias("y"), F.col("n").alias("m"))
+    close = u.join(v, group).where("x < y").where(2.0 * F.least("n", "m") / (F.col("n") + F.col("m")) > threshold)
+    pairs = pairs.unionByName(close.select("x", "y")).distinct()
+    side = lambda k: one.select(F.col("k").alias(k), F.struct("id", "t", "low", "high", "n").alias(f"_{k}"))
+    met = pairs.join(side("x"), "x").join(side("y"), "y")
+    first = F.struct("_x.id", "_x.t") < F.struct("_y.id", "_y.t")
+    met = met.select(F.when(first, F.col("_x")).otherwise(F.col("_y")).alias("p"), F.when(first, F.col("_y")).otherwise(F.col("_x")).alias("q"))
+    if apart:
+        met = met.where("p.low <> q.high OR p.high <> q.low")
+    met = met.where(2.0 * F.least("p.n", "q.n") / (F.col("p.n") + F.col("q.n")) > threshold)
+    met = met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.t").alias("t_a"), F.col("q.t").alias("t_b"))
+    kind = one.schema["id"].dataType.simpleString()
+    return met.mapInArrow(_compare_pairs(threshold), f"a {kind}, b {kind}, ratio double")
+
+
+def text_pairs(df: DataFrame, item: str, text: str, group: str, threshold: float = 0.9, across: str | None = None, most: int = GROUP) -> DataFrame:
+    """(a, b, ratio): texts of one group with a Ratcliff-Obershelp ratio above the threshold, the text of the lesser item first.
+
+    Distinct texts only, one row per pair of them, each named by its least item; two texts with the same least item are a pair too, in
+    the order of the texts. With ``across`` only texts that stand under different values of that column, a fiscal year say. Null
+    items and groups are in no pair. A group of up to ``most`` texts is compared within a task, whole groups at a time, bounds from lengths
+    and letter counts before the exact ratio. The texts of a larger one meet on an index of their rarest q-grams, without loss;
+    texts too short for that meet by their length."""
+    ship_package(df.sparkSession)
+    year = F.col(across) if across else F.lit(0)
+    one = df.where((F.length(text) > 0) & F.col(group).isNotNull()).groupBy(group, text).agg(F.min(item).alias("id"), F.min(year).alias("low"), F.max(year).alias("high"))
+    one = one.where("id IS NOT NULL").select(group, "id", "low", "high", F.col(text).alias("t"))
+    one = shared_table(one, "texts")
+    sizes = one.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("t")).alias("_chars"))
+    sizes = sizes.withColumn("_large", (F.col("_n") > most) | (F.col("_chars") > CHARACTERS))
+    work = F.sum(F.when(~F.col("_large"), F.col("_n") * (F.col("_n") - 1) / 2 + 16 * F.col("_n")))
+    tasks, large = sizes.agg(F.ceil(F.coalesce(work, F.lit(0)) / TASK), F.count_if("_large")).first()
+    small = one
+    if large:
+        names = shared_table(sizes.where("_large").select(group), "large-groups")
+        small = one.join(names, group, "left_anti")
+    kind = one.schema["id"].dataType.simpleString()
+    small = small.repartition(max(1, int(tasks)), group).sortWithinPartitions(group, "id", "t")
+    found = small.mapInArrow(_compare_groups(group, across is not None, threshold), f"a {kind}, b {kind}, ratio double")
+    return found.unionByName(_indexed_pairs(one.join(names, group, "left_semi"), group, threshold, across is not None)) if large else found
