@@ -158,7 +158,10 @@ def text_near_pairs(spark, sf):
     w = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, "l_partkey")
     text = F.lower(F.concat_ws(" ", F.lit("supply and laying of"), "p_name", "p_brand", F.lit("for order of"), "o_orderpriority"))
     d = w.select(F.col("l_orderkey").alias("id"), F.col("o_custkey").alias("mp"), text.alias("t"), F.year("o_orderdate").alias("year"))
-    return similarity.text_pairs(d, "id", "t", "mp", across="year").select("a", "b", F.round("ratio", 6).alias("ratio"))
+    works = graph.shared_table(d, "works")  # the joins' shuffle files go before the texts are dealt
+    pairs = similarity.text_pairs(works, "id", "t", "mp", across="year").select("a", "b", F.round("ratio", 6).alias("ratio"))
+    graph.discard(works)
+    return pairs
 
 
 _W = """w AS (SELECT l_suppkey AS vendor, o_custkey AS mp, CAST(o_orderdate AS DATE) AS day, l_extendedprice AS amount, l_orderkey * 10 + l_linenumber AS id
